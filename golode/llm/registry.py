@@ -1,8 +1,10 @@
 """Queries of the training-data operators and the SQL that checks them."""
 
-from golode.llm import exact_dedup
+from golode.llm import exact_dedup, packing, token_files
 
 QUERIES = {
+    "op1_packing": packing.op1,
+    "op4_token_files": token_files.op4,
     "op10_exact_dedup": exact_dedup.op10,
 }
 
