@@ -1,13 +1,16 @@
 """Queries of the training-data operators and the SQL that checks them."""
 
-from golode.llm import exact_dedup, packing, token_files
+from golode.llm import exact_dedup, licenses, packing, quality, token_files
 
 QUERIES = {
     "op1_packing": packing.op1,
     "op4_token_files": token_files.op4,
+    "op7_licenses": licenses.op7,
+    "op8_quality": quality.op8,
     "op10_exact_dedup": exact_dedup.op10,
 }
 
 ORACLES = {
+    "op7_licenses": licenses.OP7_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
