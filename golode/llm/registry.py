@@ -1,9 +1,10 @@
 """Queries of the training-data operators and the SQL that checks them."""
 
-from golode.llm import exact_dedup, licenses, packing, quality, token_files
+from golode.llm import exact_dedup, licenses, near_dedup, packing, quality, token_files
 
 QUERIES = {
     "op1_packing": packing.op1,
+    "op2_order_minhash": near_dedup.op2,
     "op4_token_files": token_files.op4,
     "op7_licenses": licenses.op7,
     "op8_quality": quality.op8,
