@@ -1,6 +1,6 @@
 """Queries of the training-data operators and the SQL that checks them."""
 
-from golode.llm import exact_dedup, licenses, near_dedup, packing, quality, token_files
+from golode.llm import exact_dedup, licenses, near_dedup, packing, quality, token_files, warc
 
 QUERIES = {
     "op1_packing": packing.op1,
@@ -8,10 +8,12 @@ QUERIES = {
     "op4_token_files": token_files.op4,
     "op7_licenses": licenses.op7,
     "op8_quality": quality.op8,
+    "op9_warc": warc.op9,
     "op10_exact_dedup": exact_dedup.op10,
 }
 
 ORACLES = {
     "op7_licenses": licenses.OP7_SQL,
+    "op9_warc": warc.OP9_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
