@@ -1,11 +1,12 @@
 """Queries of the training-data operators and the SQL that checks them."""
 
-from golode.llm import exact_dedup, licenses, near_dedup, packing, quality, token_files, warc
+from golode.llm import exact_dedup, licenses, near_dedup, packing, quality, token_files, topk, warc
 
 QUERIES = {
     "op1_packing": packing.op1,
     "op2_order_minhash": near_dedup.op2,
     "op4_token_files": token_files.op4,
+    "op5_topk": topk.op5,
     "op7_licenses": licenses.op7,
     "op8_quality": quality.op8,
     "op9_warc": warc.op9,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_topk": topk.OP5_SQL,
     "op7_licenses": licenses.OP7_SQL,
     "op9_warc": warc.OP9_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
