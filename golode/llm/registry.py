@@ -1,10 +1,11 @@
 """Queries of the training-data operators and the SQL that checks them."""
 
-from golode.llm import exact_dedup, licenses, near_dedup, packing, quality, token_files, topk, warc
+from golode.llm import bpe, exact_dedup, licenses, near_dedup, packing, quality, token_files, topk, warc
 
 QUERIES = {
     "op1_packing": packing.op1,
     "op2_order_minhash": near_dedup.op2,
+    "op3_byte_bpe": bpe.op3,
     "op4_token_files": token_files.op4,
     "op5_topk": topk.op5,
     "op7_licenses": licenses.op7,
