@@ -1,4 +1,6 @@
 """Queries of the executable-metadata operators and the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from golode.plans import queries
+
+QUERIES: dict = dict(queries.QUERIES)
+ORACLES: dict = dict(queries.ORACLES)
