@@ -216,8 +216,8 @@ def q_generic_args(spark, sf_dir):
 
 @query(
     f"""WITH {F_SQL}, g AS (SELECT *, coalesce(package, '(unknown)') AS pkg FROM f)
-        SELECT {_TIER.format(p="pkg")} AS tier, pkg AS package, count(*) AS n_funcs, count_if(is_method) AS n_methods,
-               count_if(is_closure) AS n_closures, count_if(deferreturn <> 0) AS n_defer FROM g GROUP BY 1, 2"""
+        SELECT {_TIER.format(p="pkg")} AS tier, pkg AS package, count(*) AS n_funcs, count(*) FILTER (WHERE is_method) AS n_methods,
+               count(*) FILTER (WHERE is_closure) AS n_closures, count(*) FILTER (WHERE deferreturn <> 0) AS n_defer FROM g GROUP BY 1, 2"""
 )
 def q_tier_report(spark, sf_dir):
     return reports.tier_report(_func(spark, sf_dir))
@@ -225,8 +225,8 @@ def q_tier_report(spark, sf_dir):
 
 @query(
     f"""WITH {F_SQL}, g AS (SELECT *, {_TIER.format(p="coalesce(package, '')")} AS tier FROM f)
-        SELECT count(*) AS n_funcs, count_if(tier = 'USER') AS n_user, count_if(tier = 'STDLIB') AS n_stdlib, count_if(tier = 'INTERNAL') AS n_internal,
-               count_if(is_method) AS n_methods, count_if(is_closure) AS n_closures, count_if(deferreturn <> 0) AS n_defer,
+        SELECT count(*) AS n_funcs, count(*) FILTER (WHERE tier = 'USER') AS n_user, count(*) FILTER (WHERE tier = 'STDLIB') AS n_stdlib, count(*) FILTER (WHERE tier = 'INTERNAL') AS n_internal,
+               count(*) FILTER (WHERE is_method) AS n_methods, count(*) FILTER (WHERE is_closure) AS n_closures, count(*) FILTER (WHERE deferreturn <> 0) AS n_defer,
                count(DISTINCT coalesce(package, '(unknown)')) AS n_packages FROM g"""
 )
 def q_summary(spark, sf_dir):
@@ -340,7 +340,7 @@ def q_inline_active(spark, sf_dir):
     return intervals.active_at(_values(spark, sf_dir), probes, ["user_id"]).select("event_id", "pc", "value")
 
 
-_UP = f"""RECURSIVE t AS ({a.plain(a.TREE)}), u(id, at, depth) AS (SELECT id, parent, 0 FROM t UNION ALL SELECT u.id, t.parent, u.depth + 1 FROM u JOIN t ON t.id = u.at WHERE u.depth < 32),
+_UP = f"""RECURSIVE t AS ({a.plain(a.TREE)}), u(id, above, depth) AS (SELECT id, parent, 0 FROM t UNION ALL SELECT u.id, t.parent, u.depth + 1 FROM u JOIN t ON t.id = u.above WHERE u.depth < 32),
   d AS (SELECT id, max(depth) AS depth FROM u GROUP BY id)"""
 
 
@@ -476,7 +476,7 @@ def q_compiler(spark, sf_dir):
 
 @query(
     f"""WITH g AS (SELECT DISTINCT image_no, scrubbed, split_part(name, '.', 1) AS pkg FROM ({a.plain(a.GARBLE)})),
-        c AS (SELECT image_no, any_value(scrubbed) AS scrubbed, count(*) AS total, count_if(starts_with(pkg, 'ab12cd')) AS obfuscated FROM g GROUP BY 1)
+        c AS (SELECT image_no, any_value(scrubbed) AS scrubbed, count(*) AS total, count(*) FILTER (WHERE starts_with(pkg, 'ab12cd')) AS obfuscated FROM g GROUP BY 1)
         SELECT image_no, total, obfuscated, CASE WHEN obfuscated * 2 >= total AND scrubbed THEN 3 WHEN obfuscated * 2 >= total THEN 2 WHEN obfuscated * 5 >= total THEN 1 ELSE 0 END AS obf_tier FROM c"""
 )
 def q_garble(spark, sf_dir):
