@@ -590,6 +590,74 @@ def q_arch_versions(spark, sf_dir):
     return _read(spark, sf_dir, "part").select("p_partkey", values.arch(lc, F.when(F.col("p_partkey") % 2 == 0, 4).otherwise(8)).alias("arch"), values.version_range(version).alias("versions"))
 
 
+# Round trips: rows of a nation are written as an image, which is read again
+
+
+def _image_of(rows, make):
+    import pyarrow as pa
+
+    def one(key, group):
+        content = make(group.to_pylist())
+        return pa.table({"path": [str(key[0].as_py())], "length": pa.array([len(content)], pa.int64()), "content": pa.array([content], pa.binary())})
+
+    return rows.groupBy("nation").applyInArrow(one, "path string, length long, content binary")
+
+
+@query(
+    """SELECT concat('main.f', s_suppkey) AS name, s_suppkey * 64 AS entry_offset, CAST(s_suppkey % 500 AS INT) AS start_line, CAST(s_suppkey % 500 + 3 AS INT) AS end_line,
+              CAST(s_suppkey % 101 AS INT) AS func_id, concat('/src/n', s_nationkey, '.go') AS source_file FROM supplier"""
+)
+def q_roundtrip_functions(spark, sf_dir):
+    from golode.sources import imagegen
+
+    def make(rows):
+        rows = sorted(rows, key=lambda r: r["s_suppkey"])
+        path = f"/src/n{rows[0]['nation']}.go"
+        funcs = [
+            {"name": f"main.f{k}", "entry": k * 64, "start_line": k % 500, "lines": [(8, k % 500), (32, k % 500 + 3), (64, k % 500 + 1)], "file": path, "func_id": k % 101}
+            for k in (r["s_suppkey"] for r in rows)
+        ]
+        return imagegen.image(funcs, [path])
+
+    rows = _read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"))
+    return tables.functions(_image_of(rows, make), with_derived=False).select("name", "entry_offset", "start_line", "end_line", "func_id", "source_file")
+
+
+@query("SELECT CAST(s_nationkey AS STRING) AS nation, concat('mod/', s_name) AS path, concat('v', s_suppkey) AS version FROM supplier")
+def q_roundtrip_buildinfo(spark, sf_dir):
+    from golode.sources import imagegen
+
+    make = lambda rows: imagegen.image(modinfo=f"path\t{rows[0]['nation']}\n" + "".join(f"dep\tmod/{r['s_name']}\tv{r['s_suppkey']}\th1:=\n" for r in rows))
+    rows = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.col("s_nationkey").alias("nation"))
+    parts = tables._image_parts(_image_of(rows, make))
+    deps = tables.dependencies(tables.mod_lines(parts)).join(parts.select("image_id", F.col("path").alias("nation")), "image_id")
+    return deps.select("nation", "path", "version")
+
+
+@query(
+    """SELECT concat('*n', n_nationkey, '.', n_name) AS name, 'pointer' AS kind, 8 AS size, concat('n', n_nationkey, '.', n_name) AS elem FROM nation"""
+)
+def q_roundtrip_types(spark, sf_dir):
+    from golode.sources import imagegen
+
+    def make(rows):
+        name = f"n{rows[0]['nation']}.{rows[0]['n_name']}"
+        return imagegen.image(types=[{"name": f"*{name}", "kind": 22, "size": 8, "elem": 1}, {"name": name, "kind": 2, "size": 16}])
+
+    found = tables.types(_image_of(_read(spark, sf_dir, "nation").select("n_name", F.col("n_nationkey").alias("nation")), make))
+    target = found.select("image_id", F.col("type_va").alias("elem_va"), F.col("name").alias("elem"))
+    return found.where("kind = 'pointer'").join(target, ["image_id", "elem_va"]).select("name", "kind", F.col("size").cast("int").alias("size"), "elem")
+
+
+@query("SELECT DISTINCT concat('text of ', s_name) AS text FROM supplier")
+def q_roundtrip_strings(spark, sf_dir):
+    from golode.sources import imagegen
+
+    make = lambda rows: imagegen.image(strings=sorted(f"text of {r['s_name']}" for r in rows))
+    rows = _read(spark, sf_dir, "supplier").select("s_name", F.col("s_nationkey").alias("nation"))
+    return tables.go_strings(_image_of(rows, make)).where("text like 'text of %'").select("text").distinct()
+
+
 # Additions: categories of query that go beyond single images
 
 

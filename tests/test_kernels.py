@@ -4,8 +4,7 @@ import random
 
 import pytest
 
-from golode.sources import buildmeta, container, lines, module, runtime_types, view
-from tests import imagegen
+from golode.sources import buildmeta, container, imagegen, lines, module, runtime_types, view
 
 FUNCS = [
     dict(name=f"main.f{i}", entry=i * 64, start_line=10 + i, lines=[(8, 11 + i), (40, 10 + i), (64, 30 + i)], file="/b.go", args=8, flags=4, deferreturn=i % 2, sp=[(4, 0), (64, 32)])

@@ -4,7 +4,7 @@ import pytest
 
 from golode.operators import reports, tables
 from golode.streaming import ingest
-from tests import imagegen
+from golode.sources import imagegen
 from tests.test_kernels import FUNCS, TYPES
 
 TEXT = "path\tx/y\nmod\tx/y\t(devel)\ndep\ta/b\tv1\th1:x\n=>\tc/d\tv2\n=>\t./v\ndep\te/f\tv0\nbuild\t-compiler=gc\nbuild\tGOOS=linux\nbuild\t-tags=a,,b\nbuild\tbare\n"
