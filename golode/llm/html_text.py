@@ -3,9 +3,9 @@
 A page is read once by a small tokenizer into blocks (text between block-level tags), each with
 the kind of region it stands in: inside the article (article or main), inside furniture (menus,
 headers, footers, sidebars, notices, adverts, forms, comments: by tag, role, class or id), or
-neither. Pages of a host are sorted by URL path, and each is compared with its nearest neighbour:
-the sequences of lines are aligned by longest common subsequence, and shared lines are what the
-site adds to its pages. Shared lines are deleted, but for those inside an article: two copies of an
+neither. Pages of a host are sorted by URL path, and each is compared with its nearest neighbours, one on
+either side: the sequences of lines are aligned by longest common subsequence, and shared lines are
+what the site adds to its pages. Shared lines are deleted, but for those inside an article: two copies of an
 article under two paths share all of it, and it is the article that is wanted. Pages without any
 article keep all lines that are neither shared nor furniture.
 
@@ -230,7 +230,6 @@ def extract(pages: DataFrame, id_col="page_id", url_col="url", html_col="html")
             regions = [[r for r, _ in f] for f in found]
             lines = [[t for _, t in f] for f in found]
             hashes = [[zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in ls] for ls in lines]
-            # An article's own lines are kept whatever neighbours hold.
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(c) for c in ("id", "url", "host", "path")),
@@ -246,32 +245,47 @@ def extract(pages: DataFrame, id_col="page_id", url_col="url", html_col="html")
     grouped = read.join(counts, "host", "left").withColumn("shard", F.pmod(F.xxhash64("path"), F.coalesce("shards", F.lit(1))))
 
     def differenced(batches):
-        """Rows in order of host, shard and path: each page meets the one before it, the first of
-        a group the one after it. One page is held back at a time."""
-        held = before = None
-
-        def done(page, neighbour):
-            a = page["hashes"].astype(np.int64)
-            shared = np.zeros(len(a), bool) if neighbour is None else shared_lines(a, neighbour["hashes"])
+        """Rows in order of host, shard and path: each page meets the pages beside it, the first
+        and last of a group the two on their one side. Three pages are held at a time."""
+        held: list[dict] = []  # up to two pages that are done, then up to two that wait
+
+        def done(at: int):
+            page = held[at]
+            near = [p for p in (*held[:at][::-1], *held[at + 1 :]) if p["group"] == page["group"]]
+            sides = [p for p in (held[at - 1] if at else None, held[at + 1] if at + 1 < len(held) else None) if p in near]
+            shared = np.zeros(len(page["hashes"]), bool)
+            for other in sides if len(sides) == 2 else near[:2]:
+                shared |= shared_lines(page["hashes"], other["hashes"])
             return page["id"], page["url"], main_text(list(zip(page["regions"], page["lines"], strict=True)), shared)
 
+        waiting = 0
         for batch in batches:
             rows = []
             for one in batch.to_pylist():
-                page = one | {"hashes": np.array(one["hashes"], np.int64), "group": (one["host"], one["shard"])}
-                if held is not None:
-                    near = before if before is not None and before["group"] == held["group"] else page if page["group"] == held["group"] else None
-                    rows.append(done(held, near))
-                before, held = held, page
+                held.append(Page(one | {"hashes": np.array(one["hashes"], np.int64), "group": (one["host"], one["shard"])}))
+                waiting += 1
+                if waiting == 3:
+                    rows.append(done(len(held) - 3))
+                    waiting = 2
+                del held[:-4]
             if rows:
                 yield _texts(rows)
-        if held is not None:
-            yield _texts([done(held, before if before is not None and before["group"] == held["group"] else None)])
+        if waiting:
+            yield _texts([done(len(held) - k) for k in range(waiting, 0, -1)])
 
     ordered = grouped.repartition("host", "shard").sortWithinPartitions("host", "shard", "path", "id")
     return ordered.select("id", "url", "host", "shard", "regions", "lines", "hashes").mapInArrow(differenced, "id long, url string, text string")
 
 
+class Page(dict):
+    """A page while it is compared; two are the same only if they are one object."""
+
+    def __eq__(self, other):
+        return self is other
+
+    __hash__ = None
+
+
 def _texts(rows) -> pa.RecordBatch:
     ids, urls, texts = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string())], ["id", "url", "text"])
