@@ -17,6 +17,7 @@ QUERIES = {
 
 ORACLES = {
     "op5_topk": topk.OP5_SQL,
+    "op6_html_text": html_text.OP6_SQL,
     "op7_licenses": licenses.OP7_SQL,
     "op9_warc": warc.OP9_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
