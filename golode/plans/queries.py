@@ -264,8 +264,8 @@ def q_tier_breaks(spark, sf_dir):
 
 
 @query(
-    """SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END,
-          CASE o_orderstatus WHEN 'F' THEN 'p.(*T).m' WHEN 'O' THEN 'p.f' ELSE 'p.f.func1' END || o_orderpriority[1], o_orderkey) AS nth FROM orders"""
+    """SELECT o_orderkey, o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END,
+          CASE o_orderstatus WHEN 'F' THEN 'p.(*T).m' WHEN 'O' THEN 'p.f' ELSE 'p.f.func1' END || o_orderpriority[1], o_orderkey) AS INT) AS nth FROM orders"""
 )
 def q_func_sort_rank(spark, sf_dir):
     shape = F.when(F.col("o_orderstatus") == "F", "p.(*T).m").when(F.col("o_orderstatus") == "O", "p.f").otherwise("p.f.func1")
