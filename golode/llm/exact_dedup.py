@@ -98,15 +98,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_dedup drops. Rows that repeat one id are copies too: the
     one with the smallest hash of the whole row stays."""
-    kept = staged(exact_dedup(docs, id_col, text_col).where("kept").select(F.col("id").alias("__id")), "kept")
+    fates = exact_dedup(docs, id_col, text_col).groupBy("id").agg(F.count_if(F.col("kept")).alias("times"))
+    odd = staged(fates.where("times <> 1").withColumnRenamed("id", "__id"), "fates")  # few, so docs need no shuffle
     same = F.col(id_col).eqNullSafe(F.col("__id"))
-    repeated = staged(kept.groupBy("__id").count().where("count > 1").select("__id"), "repeated")
+    rest = docs.join(odd.where("times = 0"), same, "left_anti")
+    repeated = odd.where("times > 1")
     if repeated.isEmpty():
-        return docs.join(kept, same, "left_semi")
-    once = docs.join(kept.join(repeated, "__id", "left_anti"), same, "left_semi")
+        return rest
     order = Window.partitionBy(id_col).orderBy(F.xxhash64(*[F.col(c) for c in docs.columns]))
-    first = docs.join(repeated, same, "left_semi").withColumn("__nth", F.row_number().over(order))
-    return once.unionByName(first.where("__nth = 1").select(docs.columns))
+    first = rest.join(repeated, same, "left_semi").withColumn("__nth", F.row_number().over(order))
+    return rest.join(repeated, same, "left_anti").unionByName(first.where("__nth = 1").select(docs.columns))
 
 
 def op10(spark, sf_dir):
