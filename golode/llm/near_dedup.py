@@ -12,14 +12,16 @@ for which a band of (1 - SIMILARITY) of the length suffices, so the check is exa
 Copies first: texts of equal words are one class before any sketch is compared, so thousands of
 copies cost one representative. Then two rounds, each of which proposes pairs bucket by bucket,
 verifies them and joins the links to components:
- 1. every text is tried against the one before it in the bucket that agrees with it in most
-    samples: a number of pairs that follows the rows, whatever the size of a group;
+ 1. every text is tried against the one before it in the bucket that it is most likely similar
+    to: a number of pairs that follows the rows, whatever the size of a group;
  2. only buckets that still hold several classes are looked at: every text is tried against the
-    best agreeing text of each other class that agrees with it in AGREE samples or more. Two
-    classes that share such a pair are so always tried; pairs within a class never are.
+    most likely text of each other class. Pairs within a class never are.
+A pair is likely enough for an alignment when a one-permutation sketch of 64 bytes puts the common
+share of their k-mers at LIKELY or more, far below what similar texts have; so texts that share a
+passage only are no candidates, however many share it.
 Runs of a bucket are streamed; one of over BLOCK texts is dealt to parts by its texts' other
-samples (a pair that agrees in AGREE >= 2 samples meets in one of them), so no task holds an
-unbounded bucket. Components come from alternating large-star and small-star rounds on tables in
+samples (a pair that agrees in two samples meets in one of them), so no task holds an unbounded
+bucket. Components come from alternating large-star and small-star rounds on tables in
 the shared folder: no links are collected.
 
 Defined results: texts of under SHINGLE words are duplicates only of texts of equal words; null
@@ -45,9 +47,10 @@ SIMILARITY = 0.8
 ELLS = 2
 SAMPLES = 16
 BLOCK = 2000
-#: Samples, of SAMPLES, that a pair agrees in before it is tried across classes. At a k-mer
-#: similarity of 0.8 a pair agrees in about 10, in fewer than 2 once in some 100,000 times.
-AGREE = 2
+#: Bins of the one-permutation sketch that estimates the share of common k-mers, and the least
+#: estimate of a pair that is worth an alignment. Copies with a word in 30 changed have about 0.7.
+BINS = 64
+LIKELY = 0.45
 KEPT_WORDS = 400_000
 _MIX = np.random.default_rng(20240229).integers(1, 2**63, SAMPLES, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 
@@ -111,6 +114,22 @@ def sketch(words: np.ndarray) -> np.ndarray:
     return out
 
 
+def estimator(words: np.ndarray) -> bytes:
+    """A byte for each of BINS ranges of k-mer hashes: of the smallest in it, or 0 if it is empty.
+    Equal bytes, among bins that either text fills, estimate the Jaccard similarity of k-mers."""
+    h = np.sort(_finish(kmers(words) * np.uint64(0x9E3779B97F4A7C15)))
+    bins, first = np.unique(h >> np.uint64(58), return_index=True)
+    out = np.zeros(BINS, np.uint8)
+    out[bins.astype(int)] = (h[first] % np.uint64(255)).astype(np.uint8) + np.uint8(1)
+    return out.tobytes()
+
+
+def likeness(many: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """The estimate for each row of ``many`` against ``one``."""
+    filled = ((many > 0) | (one > 0)).sum(1)
+    return ((many == one) & (many > 0)).sum(1) / np.maximum(filled, 1)
+
+
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     """Whether the edit distance of two word sequences is at most (1 - least) of the longer one:
     furthest-reaching diagonals, within the band that this distance allows."""
@@ -190,23 +209,30 @@ def _banded(a: np.ndarray, b: np.ndarray, most: int) -> int:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, digest of the words, n_words, samples (empty under SHINGLE words)."""
+    """id, digest of the words, n_words, samples and estimator (empty under SHINGLE words)."""
 
     def run(batches):
         for batch in batches:
-            digests, sizes, samples = [], [], []
+            digests, sizes, samples, estimates = [], [], [], []
             for text in batch.column(1):
                 words = word_hashes(text.as_py())
                 digests.append(hashlib.blake2b(words.tobytes(), digest_size=16).digest())
                 sizes.append(len(words))
                 samples.append(sketch(words).view(np.int64) if len(words) >= SHINGLE else np.empty(0, np.int64))
+                estimates.append(estimator(words) if len(words) >= SHINGLE else b"")
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(samples, pa.list_(pa.int64()))],
-                ["id", "digest", "n_words", "samples"],
+                [
+                    batch.column(0),
+                    pa.array(digests, pa.binary()),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(samples, pa.list_(pa.int64())),
+                    pa.array(estimates, pa.binary()),
+                ],
+                ["id", "digest", "n_words", "samples", "sketch"],
             )
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    return slim.mapInArrow(run, "id long, digest binary, n_words long, samples array<long>")
+    return slim.mapInArrow(run, "id long, digest binary, n_words long, samples array<long>, sketch binary")
 
 
 def runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -230,7 +256,7 @@ def _several(rows: pa.Table, starts, ends, last: int, most: int):
         return
     classes, ids, sizes = (rows.column(c).to_numpy() for c in ("class", "id", "n_words"))
     flat = rows.column("sketch").combine_chunks()
-    data = np.frombuffer(b"".join(flat.to_pylist()), np.uint32).reshape(-1, SAMPLES)
+    data = np.frombuffer(b"".join(flat.to_pylist()), np.uint8).reshape(-1, BINS)
     for lo, hi in zip(starts, np.minimum(ends, last), strict=True):
         for at in range(lo, hi, most):
             part = slice(at, min(at + most, hi))
@@ -244,25 +270,26 @@ def may_reach(sizes: np.ndarray, size: int) -> np.ndarray:
 
 
 def nearest_before(classes, ids, sizes, data) -> list[tuple[int, int]]:
+    """Of each text, the one before it that it is most likely similar to."""
     out = []
     for i in range(1, len(ids)):
-        agree = (data[:i] == data[i]).sum(1) * may_reach(sizes[:i], sizes[i])
-        best = int(agree.argmax())
-        if agree[best]:
+        like = likeness(data[:i], data[i]) * may_reach(sizes[:i], sizes[i])
+        best = int(like.argmax())
+        if like[best] >= LIKELY:
             out.append((int(ids[i]), int(ids[best])))
     return out
 
 
 def across_classes(classes, ids, sizes, data) -> list[tuple[int, int]]:
-    """Of each text and each other class, the pair that agrees in most samples, if in AGREE."""
+    """Of each text and each other class, the most likely pair, if it is likely enough."""
     out = []
     if (classes == classes[0]).all():
         return out
     for i in range(1, len(ids)):
-        agree = (data[:i] == data[i]).sum(1)
-        ok = np.flatnonzero((agree >= AGREE) & (classes[:i] != classes[i]) & may_reach(sizes[:i], sizes[i]))
+        like = likeness(data[:i], data[i])
+        ok = np.flatnonzero((like >= LIKELY) & (classes[:i] != classes[i]) & may_reach(sizes[:i], sizes[i]))
         if len(ok):
-            order = ok[np.lexsort((ids[ok], -agree[ok], classes[ok]))]
+            order = ok[np.lexsort((ids[ok], -like[ok], classes[ok]))]
             first = np.concatenate([[True], classes[order][1:] != classes[order][:-1]])
             out += [(int(ids[i]), int(ids[k])) for k in order[first]]
     return out
@@ -270,8 +297,7 @@ def across_classes(classes, ids, sizes, data) -> list[tuple[int, int]]:
 
 def bucketed(reps: DataFrame) -> DataFrame:
     """A row for each sample of each text: bucket, class, id, n_words, sketch."""
-    low = F.unhex(F.array_join(F.transform("samples", lambda x: F.lpad(F.hex(x.bitwiseAND(0xFFFFFFFF)), 8, "0")), ""))
-    return reps.where(F.size("samples") > 0).select(F.explode("samples").alias("bucket"), "class", "id", "n_words", low.alias("sketch"))
+    return reps.where(F.size("samples") > 0).select(F.explode("samples").alias("bucket"), "samples", "class", "id", "n_words", "sketch")
 
 
 def proposed(rows: DataFrame, propose) -> DataFrame:
@@ -281,10 +307,9 @@ def proposed(rows: DataFrame, propose) -> DataFrame:
     large = staged(sizes.select(F.col("bucket").alias("large")), "large")
     if not large.isEmpty():
         here = F.col("bucket") == F.col("large")
-        other = F.explode(F.array(*[F.substring("sketch", 4 * s + 1, 4) for s in range(SAMPLES)]))
-        parts = rows.join(large, here, "left_semi").select("*", other.alias("part"))
+        parts = rows.join(large, here, "left_semi").select("*", F.explode("samples").alias("part")).where("part <> bucket")
         parts = parts.select(F.xxhash64("bucket", "part").alias("bucket"), "class", "id", "n_words", "sketch")
-        rows = rows.join(large, here, "left_anti").unionByName(parts)
+        rows = rows.drop("samples").join(large, here, "left_anti").unionByName(parts)
 
     def run(batches):
         for found in runs(batches, BLOCK):
@@ -293,6 +318,7 @@ def proposed(rows: DataFrame, propose) -> DataFrame:
                 a, b = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
+    rows = rows.drop("samples")
     ordered = rows.repartition(shuffle_width(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "id")
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
@@ -347,7 +373,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """id, class_id, class_size: one row for each row of docs."""
     found = staged(sketches(docs, id_col, text_col), "sketches")
     reps = staged(
-        found.groupBy("digest").agg(F.min("id").alias("id"), F.first("n_words").alias("n_words"), F.first("samples").alias("samples")),
+        found.groupBy("digest").agg(F.min("id").alias("id"), F.first("n_words").alias("n_words"), F.first("samples").alias("samples"), F.first("sketch").alias("sketch")),
         "reps",
     ).withColumn("class", F.col("id"))
     rows = bucketed(reps)
