@@ -1,8 +1,9 @@
 """Exact top-k by inner product: dual-tree search with cover trees.
 
-Rows are dealt to cells (the nearest of at most PIVOTS sampled vectors) and cells to blocks of
-about BLOCK rows; every block is a cover tree, of candidates or of queries: children of a node
-cover its points within half its radius, and their centres are further apart than that. A pair of
+Rows are dealt to cells (the nearest of at most PIVOTS sampled vectors, one for every BLOCK rows) and cells to blocks of
+about BLOCK rows; every block is a cover tree, of candidates or of queries: the centres of a node's children are further
+apart than half its radius, and cover its points within that, or after FAN of them as nearly as
+they come (in many dimensions halves would be single points). Bounds use the measured radii. A pair of
 nodes (query centre a, radius r; candidate centre b, radius s) scores at most
     <a, b> + |a| s + |b| r + r s,
 and is pruned when that is below the worst kth score of the queries under the query node. Each
@@ -28,7 +29,8 @@ from golode.llm.common import staged, table
 PIVOTS = 64
 BLOCK = 8192
 QUERY_BLOCK = 512
-LEAF = 32
+LEAF = 128
+FAN = 16
 CHUNK = 2048
 SCALE = 1024
 NONE = np.iinfo(np.int64).min
@@ -78,7 +80,7 @@ class Tree:
             of[nearer], best[nearer] = len(centres), away[nearer]
             centres.append(c)
             far = int(best.argmax())
-            if best[far] <= within:
+            if best[far] <= within or len(centres) == FAN:
                 return [(c, rows[of == i]) for i, c in enumerate(centres) if (of == i).any()]
             c = int(rows[far])
 
@@ -91,24 +93,26 @@ def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Best:
-    """The k best (score, id) of each query, those with the smaller id first among equals."""
+    """The k best (score, id) of each query, those with the smaller id first among equals. ``kth``
+    is the score that a candidate must reach: the floor, or the kth best once there are k."""
 
     def __init__(self, ids: np.ndarray, k: int, floor: np.ndarray):
-        self.ids, self.k, self.floor = ids, k, floor
+        self.ids, self.k, self.kth = ids, k, floor.copy()
         self.score, self.found = [np.empty(0, np.int64)] * len(ids), [np.empty(0, np.int64)] * len(ids)
 
-    def worst(self, q: int) -> int:
-        own = self.score[q]
-        return max(int(own[-1]) if len(own) == self.k else NONE, int(self.floor[q]))
-
     def add(self, queries: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
-        for row, q in enumerate(queries):
-            s = scores[row]
-            ok = np.flatnonzero((s >= self.worst(q)) & (ids != self.ids[q]))
-            if len(ok):
-                score, found = np.concatenate([self.score[q], s[ok]]), np.concatenate([self.found[q], ids[ok]])
-                top = np.lexsort((found, -score))[: self.k]
-                self.score[q], self.found[q] = score[top], found[top]
+        hit = (scores >= self.kth[queries][:, None]) & (ids[None, :] != self.ids[queries][:, None])
+        for row in np.flatnonzero(hit.any(1)):
+            q, ok = queries[row], np.flatnonzero(hit[row])
+            s = scores[row, ok]
+            if len(ok) > 4 * self.k:  # only what reaches the kth of these
+                least = np.partition(s, len(s) - self.k)[len(s) - self.k]
+                ok, s = ok[s >= least], s[s >= least]
+            score, found = np.concatenate([self.score[q], s]), np.concatenate([self.found[q], ids[ok]])
+            top = np.lexsort((found, -score))[: self.k]
+            self.score[q], self.found[q] = score[top], found[top]
+            if len(top) == self.k:
+                self.kth[q] = max(self.kth[q], score[top[-1]])
 
 
 def dual_search(qx: np.ndarray, qids: np.ndarray, cx: np.ndarray, cids: np.ndarray, k: int, floor: np.ndarray, trees=None) -> Best:
@@ -126,7 +130,7 @@ def dual_search(qx: np.ndarray, qids: np.ndarray, cx: np.ndarray, cids: np.ndarr
     def visit(n: int, nodes: np.ndarray) -> None:
         rows = q.order[q.lo[n] : q.hi[n]]
         top = bounds(n, nodes)
-        keep = top >= min(best.worst(i) for i in rows)
+        keep = top >= best.kth[rows].min()
         nodes, top = nodes[keep], top[keep]
         if not len(nodes):
             return
@@ -146,7 +150,7 @@ def dual_search(qx: np.ndarray, qids: np.ndarray, cx: np.ndarray, cids: np.ndarr
             order = np.argsort(-top, kind="stable")
             at = 0
             while at < len(order):
-                if top[order[at]] < min(best.worst(i) for i in rows):
+                if top[order[at]] < best.kth[rows].min():
                     return
                 picked, size = [], 0
                 while at < len(order) and size < CHUNK:
@@ -257,7 +261,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, id_col="vec_id", vector_col
     spark = vectors.sparkSession
     whole = staged(integer_vectors(vectors, id_col, vector_col, scale).withColumn("q", F.coalesce(is_query, F.lit(False))), "vectors")
     dim = whole.agg(F.max(F.size("x"))).first()[0] or 0
-    pivots = whole.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select("x").toArrow()  # a bounded sample
+    cells = max(1, min(PIVOTS, -(-whole.count() // BLOCK)))
+    pivots = whole.orderBy(F.xxhash64("id"), "id").limit(cells).select("x").toArrow()  # a bounded sample
     at = _matrix(pivots.column("x"), dim) if dim else np.zeros((1, 0))
 
     def celled(batches):
