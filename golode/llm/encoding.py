@@ -14,8 +14,8 @@ from array import array
 
 import public_tokenizers
 
-#: Pieces that a process keeps; beyond it the kept ones are dropped and learnt anew.
-KEPT_PIECES = 700_000
+#: Pieces that a process keeps.
+KEPT_PIECES = 1_200_000
 
 #: White space as the patterns of the vocabularies mean it (Unicode White_Space).
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -47,13 +47,19 @@ def blank_pieces(text: str) -> list[bytes]:
 
 
 class _Kept(dict):
+    """Ids by piece, in two generations: when the young one is full it becomes the old one, from
+    which pieces that are met again return; the others are forgotten."""
+
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, piece):
-        ids = self.make(piece)
-        if len(self) >= KEPT_PIECES:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.make(piece)
+        if len(self) >= KEPT_PIECES // 2:
+            self.old = dict(self)
             self.clear()
         self[piece] = ids
         return ids
@@ -83,16 +89,24 @@ class Encoder:
         simple = _SIMPLE_WORD.fullmatch(text)
         if not simple:
             return self._whole(text)
-        ids = self._model(simple[1].lower().translate(_SPELT))
-        return ids + self.kept[simple[2].encode()] if simple[2] else ids
+        word, signs = simple[1], simple[2]
+        if signs:
+            return self.kept[word.encode()] + self.kept[signs.encode()]
+        low = word.lower()
+        if low != word:
+            return self.kept[low.encode()]
+        return self._model(word if word.isascii() else word.translate(_SPELT))
 
     def _of_text(self, piece: str) -> bytes:
         blank = piece[0] == " "
         simple = _SIMPLE_WORD.fullmatch(piece, 1 if blank else 0)
         if not simple:
             return self._whole(piece)
-        ids = self._model(("Ġ" if blank else "") + simple[1].translate(_SPELT))
-        return ids + self.kept[simple[2]] if simple[2] else ids
+        word, signs = simple[1], simple[2]
+        if signs:
+            return self.kept[" " + word if blank else word] + self.kept[signs]
+        word = word if word.isascii() else word.translate(_SPELT)
+        return self._model("Ġ" + word if blank else word)
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.kept.__getitem__, self.pieces(text)))
