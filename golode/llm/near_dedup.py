@@ -175,37 +175,38 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _banded(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Edit distance, or most + 1 if it is larger. By furthest-reaching rows over diagonals:
-    O(distance) rounds, each a slide along matching words in blocks."""
+    """Edit distance, or more than ``most`` if it is larger. The band around the diagonal is a bit
+    vector (vertical differences up and down) that moves on by a row with each word of the shorter
+    sequence; whole columns are whole-number operations."""
+    if len(a) < len(b):
+        a, b = b, a
     n, m = len(a), len(b)
-    goal = m - n
-    reach = np.full(2 * most + 3, -2, np.int64)  # rows of a reached on diagonal d at index d + most + 1
-    mid = most + 1
-
-    def slide(i: int, d: int) -> int:
-        j, step = i + d, 16
-        while i < n and j < m:
-            k = min(step, n - i, m - j)
-            same = a[i : i + k] == b[j : j + k]
-            if same.all():
-                i, j, step = i + k, j + k, step * 2
-            else:
-                return i + int(same.argmin())
-        return i
-
-    reach[mid] = slide(0, 0)
-    if goal == 0 and reach[mid] >= n:
-        return 0
-    for e in range(1, most + 1):
-        old = reach.copy()
-        spare = most - e
-        for d in range(max(-e, goal - spare - 0, -n), min(e, goal + spare, m) + 1):
-            i = max(old[mid + d] + 1, old[mid + d + 1] + 1 if d + 1 <= most else -2, old[mid + d - 1] if d - 1 >= -most else -2)
-            i = min(max(i, 0, -d), n, m - d)
-            reach[mid + d] = slide(i, d)
-        if reach[mid + goal] >= n:
-            return e
-    return most + 1
+    at: dict[int, int] = {}
+    for i, word in enumerate(a.tolist()):
+        at[word] = at.get(word, 0) | 1 << i
+    width = 2 * most + 2
+    full = (1 << width) - 1
+    up, down = full << (width - most - 1) & full, 0
+    distance, start = most, most + 1 - width
+    diagonal, last_row = 1 << (width - 1), 1 << (width - 2)
+    hopeless = most + m - (n - most)
+    for j, word in enumerate(b.tolist()):
+        same = at.get(word, 0)
+        same = (same >> start if start >= 0 else same << -start) & full
+        zero = ((same & up) + up ^ up | same | down) & full
+        right_up = (down | ~(zero | up)) & full
+        right_down = zero & up
+        if j < n - most:
+            distance += not zero & diagonal
+        else:
+            distance += bool(right_up & last_row) - bool(right_down & last_row)
+            last_row >>= 1
+        if distance > hopeless:
+            return most + 1
+        moved = zero >> 1
+        up, down = (right_down | ~(moved | right_up)) & full, moved & right_up
+        start += 1
+    return distance
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
