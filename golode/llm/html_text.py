@@ -10,8 +10,9 @@ article under two paths share all of it, and it is the article that is wanted. P
 article keep all lines that are neither shared nor furniture.
 
 Hosts are dealt to groups of at most about GROUP pages (by a hash of the path, when the host's
-count asks for it), so a host with a third of all pages is many tasks; only hashes of lines and
-paths are sorted in a group, and texts are joined by row.
+count asks for it), so a host with a third of all pages is many tasks. Only hashes of lines are
+shuffled to a group, and the lines of pages without an article; pages with one are read once more
+for their text, which needs no shuffle.
 
 Defined results: null html is empty and gives an empty text; null url is a host of its own with an
 empty path; rows that repeat an id are extracted each; an empty table gives no rows; other columns
@@ -203,9 +204,13 @@ def _walk_back(trail: list[dict], i: int, j: int) -> list[int]:
     return out[::-1]
 
 
+def has_article(found: list[tuple[int, str]]) -> bool:
+    return any(region == ARTICLE for region, _ in found)
+
+
 def main_text(found: list[tuple[int, str]], shared: np.ndarray) -> str:
     """The blocks that are left, joined by line feeds."""
-    if any(region == ARTICLE for region, _ in found):
+    if has_article(found):
         return "\n".join(line for region, line in found if region == ARTICLE)
     return "\n".join(line for (region, line), s in zip(found, shared, strict=True) if region == PLAIN and not s)
 
@@ -224,24 +229,34 @@ def extract(pages: DataFrame, id_col="page_id", url_col="url", html_col="html")
     )
     counts = base.groupBy("host").count().select("host", F.ceil(F.col("count") / GROUP).alias("shards"))
 
-    def parsed(batches):
+    def direct(batches):
+        """Texts of pages with an article: what is shared outside it goes with all else outside."""
+        for batch in batches:
+            rows = []
+            for page, url, raw in zip(*(batch.column(c) for c in ("id", "url", "html")), strict=True):
+                found = blocks(raw.as_py())
+                if has_article(found):
+                    rows.append((page.as_py(), url.as_py(), main_text(found, None)))
+            if rows:
+                yield _texts(rows)
+
+    def compared(batches):
+        """Hashes of the lines of every page; the lines themselves only where they may be wanted."""
         for batch in batches:
             found = [blocks(x.as_py()) for x in batch.column("html")]
-            regions = [[r for r, _ in f] for f in found]
-            lines = [[t for _, t in f] for f in found]
-            hashes = [[zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in ls] for ls in lines]
+            open_ = [None if has_article(f) else f for f in found]
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(c) for c in ("id", "url", "host", "path")),
-                    pa.array(regions, pa.list_(pa.int32())),
-                    pa.array(lines, pa.list_(pa.string())),
-                    pa.array(hashes, pa.list_(pa.int64())),
+                    pa.array([None if f is None else [r for r, _ in f] for f in open_], pa.list_(pa.int32())),
+                    pa.array([None if f is None else [t for _, t in f] for f in open_], pa.list_(pa.string())),
+                    pa.array([[zlib.crc32(t.encode("utf-8", "surrogatepass")) - (1 << 31) for _, t in f] for f in found], pa.list_(pa.int32())),
                 ],
                 ["id", "url", "host", "path", "regions", "lines", "hashes"],
             )
 
-    schema = "id long, url string, host string, path string, regions array<int>, lines array<string>, hashes array<long>"
-    read = base.mapInArrow(parsed, schema)
+    schema = "id long, url string, host string, path string, regions array<int>, lines array<string>, hashes array<int>"
+    read = base.mapInArrow(compared, schema)
     grouped = read.join(counts, "host", "left").withColumn("shard", F.pmod(F.xxhash64("path"), F.coalesce("shards", F.lit(1))))
 
     def differenced(batches):
@@ -265,16 +280,19 @@ def extract(pages: DataFrame, id_col="page_id", url_col="url", html_col="html")
                 held.append(Page(one | {"hashes": np.array(one["hashes"], np.int64), "group": (one["host"], one["shard"])}))
                 waiting += 1
                 if waiting == 3:
-                    rows.append(done(len(held) - 3))
+                    rows.append(done(len(held) - 3)) if held[-3]["lines"] is not None else None
                     waiting = 2
                 del held[:-4]
             if rows:
                 yield _texts(rows)
-        if waiting:
-            yield _texts([done(len(held) - k) for k in range(waiting, 0, -1)])
+        rows = [done(len(held) - k) for k in range(waiting, 0, -1) if held[-k]["lines"] is not None]
+        if rows:
+            yield _texts(rows)
 
     ordered = grouped.repartition("host", "shard").sortWithinPartitions("host", "shard", "path", "id")
-    return ordered.select("id", "url", "host", "shard", "regions", "lines", "hashes").mapInArrow(differenced, "id long, url string, text string")
+    texts = "id long, url string, text string"
+    others = ordered.select("id", "url", "host", "shard", "regions", "lines", "hashes").mapInArrow(differenced, texts)
+    return base.select("id", "url", "html").mapInArrow(direct, texts).unionByName(others)
 
 
 class Page(dict):
