@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -31,8 +30,8 @@ from pyspark.sql import functions as F
 from golode.llm.common import table, text_or_empty
 from golode.llm.encoding import byte_pieces
 
-#: Pieces and words that a process keeps, and words of a DuckDB query.
-KEPT = 600_000
+#: Pieces and words of a generation that a process keeps, and bytes of words of a DuckDB query.
+KEPT = 400_000
 BLOCK_BYTES = 250_000
 LONG = 64
 
@@ -91,6 +90,27 @@ SELECT word, string_agg(t.hexed, '' ORDER BY pos) AS hexed FROM coded JOIN token
 """
 
 
+class Kept:
+    """Values by key in two generations: what is added or met again is in the young one; once that
+    has over ``most`` keys it becomes the old one, and the old one is forgotten."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def known(self, keys: set) -> dict:
+        """Those of the keys that are kept."""
+        young, old = self.young, self.old
+        found = {k: young[k] for k in keys if k in young}
+        again = {k: old[k] for k in keys if k in old and k not in found}
+        self.add(again)
+        return found | again
+
+    def add(self, found: dict) -> None:
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        self.young.update(found)
+
+
 class Codec:
     """Encodes and decodes by a rank file; lives in a Python worker."""
 
@@ -118,12 +138,11 @@ class Codec:
             "(SELECT tok, min(merged) AS least FROM (SELECT l AS tok, merged FROM pairs UNION ALL SELECT r, merged FROM pairs) "
             "GROUP BY tok) t ON t.tok = p.merged"
         )
-        self.single = [self.ranks[bytes([b])] for b in range(256)]
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, tuple[bytes, bytes]] = {}
+        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        self.words, self.pieces = Kept(KEPT), Kept(KEPT)
 
-    def contract(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of words that are no token themselves."""
+    def contract(self, words: list[bytes]) -> list[bytes]:
+        """The ids (little-endian unsigned 32-bit) of words that are no token themselves."""
         out: list = [None] * len(words)
         for long in (False, True):
             at = [i for i, w in enumerate(words) if (len(w) > LONG) == long]
@@ -134,67 +153,69 @@ class Codec:
                     size += len(words[at[hi]])
                     hi += 1
                 block = [words[i] for i in at[lo:hi]]
-                single = self.single
-                rows = self._rows([[single[b] for b in w] for w in block])
-                for word, toks in self._ask(ALL_AT_ONCE if long else ONE_BY_ONE, "start", rows):
-                    out[at[lo + word]] = toks
+                tokens = self.single[np.frombuffer(b"".join(block), np.uint8)]
+                found = self._ask(ALL_AT_ONCE if long else ONE_BY_ONE, "start", [len(w) for w in block], tokens)
+                lists = found.column(1).combine_chunks()
+                ends = (lists.offsets.to_numpy().astype(np.int64) * 4).tolist()
+                raw = lists.values.to_numpy().astype("<u4").tobytes()
+                for k, word in enumerate(found.column(0).to_pylist()):
+                    out[at[lo + word]] = raw[ends[k] : ends[k + 1]]
                 lo = hi
         return out
 
-    @staticmethod
-    def _rows(lists: list[list[int]]) -> pa.Table:
-        """word, pos, tok: a row for each token of each list."""
-        sizes = np.array([len(x) for x in lists], np.int64)
-        starts = np.cumsum(sizes) - sizes
-        word = np.repeat(np.arange(len(lists), dtype=np.int32), sizes)
-        pos = (np.arange(len(word)) - starts[word]).astype(np.int32)
-        return pa.table({"word": word, "pos": pos, "tok": np.fromiter(chain.from_iterable(lists), np.int32, len(word))})
-
-    def _ask(self, sql: str, name: str, rows: pa.Table):
-        self.db.register(name, rows)
+    def _ask(self, sql: str, name: str, sizes: list[int], tokens: np.ndarray) -> pa.Table:
+        """Runs a query over rows (word, pos, tok): tokens, of which each word has so many."""
+        sizes = np.array(sizes, np.int64)
+        word = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        pos = (np.arange(len(word)) - (np.cumsum(sizes) - sizes)[word]).astype(np.int32)
+        self.db.register(name, pa.table({"word": word, "pos": pos, "tok": tokens}))
         found = self.db.sql(sql).to_arrow_table()
         self.db.unregister(name)
-        return zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True)
+        return found
 
-    def expand(self, coded: list[list[int]]) -> list[bytes]:
-        """The bytes of id lists."""
+    def expand(self, coded: list[bytes]) -> list[bytes]:
+        """The bytes that ids stand for."""
         out: list[bytes] = []
         for lo in range(0, len(coded), 50_000):
             block = coded[lo : lo + 50_000]
-            got = dict(self._ask(DECODE, "coded", self._rows(block)))
+            found = self._ask(DECODE, "coded", [len(x) >> 2 for x in block], np.frombuffer(b"".join(block), "<i4"))
+            got = dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
             out += [bytes.fromhex(got.get(i, "")) for i in range(len(block))]
         return out
 
-    def learn(self, pieces: set[str]) -> None:
-        """Keep the ids, and the bytes they decode to, of pieces."""
-        if len(self.pieces) + len(pieces) > KEPT:
-            self.pieces.clear()
-        if len(self.words) > KEPT:
-            self.words.clear()
+    def learn(self, pieces: set[str]) -> dict[str, tuple[bytes, bytes]]:
+        """The ids, and the bytes they decode to, of pieces, which are kept."""
         cut = {p: self.pattern.findall(p) for p in pieces}
-        new = list({w for ws in cut.values() for w in ws} - self.words.keys())
+        wanted = {w for ws in cut.values() for w in ws}
+        known = self.words.known(wanted)
+        new = list(wanted - known.keys())
         raw = [w.encode("utf-8", "surrogatepass") for w in new]
         whole = [self.ranks.get(w) for w in raw]
         rest = iter(self.contract([w for w, t in zip(raw, whole, strict=True) if t is None]))
-        ids = [[t] if t is not None else next(rest) for t in whole]
-        for word, toks, back in zip(new, ids, self.expand(ids), strict=True):
-            self.words[word] = (b"".join(t.to_bytes(4, "little") for t in toks), back)
+        ids = [t.to_bytes(4, "little") if t is not None else next(rest) for t in whole]
+        learnt = dict(zip(new, zip(ids, self.expand(ids), strict=True), strict=True))
+        self.words.add(learnt)
+        known |= learnt
+        found = {}
         for piece, ws in cut.items():
-            found = [self.words[w] for w in ws]
-            self.pieces[piece] = (b"".join(f[0] for f in found), b"".join(f[1] for f in found))
+            if len(ws) == 1:
+                found[piece] = known[ws[0]]
+            else:
+                parts = [known[w] for w in ws]
+                found[piece] = (b"".join([f[0] for f in parts]), b"".join([f[1] for f in parts]))
+        self.pieces.add(found)
+        return found
 
     def encode_all(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Of each text its ids, as little-endian unsigned 32-bit, and the bytes they decode to."""
         cut = [byte_pieces(t) for t in texts]
-        unknown = {p for ps in cut for p in ps} - self.pieces.keys()
-        if unknown:
-            if len(self.pieces) + len(unknown) > KEPT:  # what is kept goes, so all are learnt anew
-                self.pieces.clear()
-                unknown = {p for ps in cut for p in ps}
-            self.learn(unknown)
+        wanted = {p for ps in cut for p in ps}
+        known = self.pieces.known(wanted)
+        if len(known) < len(wanted):
+            known |= self.learn(wanted - known.keys())
         out = []
         for ps in cut:
-            found = [self.pieces[p] for p in ps]
+            found = [known[p] for p in ps]
             out.append((b"".join([f[0] for f in found]), b"".join([f[1] for f in found])))
         return out
 
@@ -243,7 +264,7 @@ def decode(coded: DataFrame, name: str, pattern: str = public_tokenizers.PATTERN
         known = codec(name, pattern)
         for batch in batches:
             lists = batch.column(1).to_pylist()
-            back = known.expand([x or [] for x in lists])
+            back = known.expand([np.array(x or [], "<i4").tobytes() for x in lists])
             out = [None if x is None else b for x, b in zip(lists, back, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "bytes"])
 
