@@ -10,19 +10,23 @@ of both in a band: similar when 1 - (edit distance of words) / (words of the lon
 for which a band of (1 - SIMILARITY) of the length suffices, so the check is exact.
 
 Copies first: texts of equal words are one class before any sketch is compared, so thousands of
-copies cost one representative. Then two rounds, each of which proposes pairs bucket by bucket,
+copies cost one representative. Then rounds, each of which proposes pairs bucket by bucket,
 verifies them and joins the links to components:
- 1. every text is tried against the one before it in the bucket that it is most likely similar
-    to: a number of pairs that follows the rows, whatever the size of a group;
- 2. only buckets that still hold several classes are looked at: every text is tried against the
-    most likely text of each other class. Pairs within a class never are.
-A pair is likely enough for an alignment when a one-permutation sketch of 64 bytes puts the common
-share of their k-mers at LIKELY or more, far below what similar texts have; so texts that share a
-passage only are no candidates, however many share it.
-Runs of a bucket are streamed; one of over BLOCK texts is dealt to parts by its texts' other
-samples (a pair that agrees in two samples meets in one of them), so no task holds an unbounded
-bucket. Components come from alternating large-star and small-star rounds on tables in
-the shared folder: no links are collected.
+ 1. every text is tried against the one before it, in each bucket of its Order MinHash samples,
+    that it is most likely similar to: a number of pairs that follows the rows, whatever the size
+    of a group. A bucket of over BLOCK texts is dealt to cells, another way in each bucket;
+ 2. buckets of SINGLES samples of one k-mer (of three words in order for texts of under SHORT
+    words, few of whose k-mers outlive an edit) hold any pair of SIMILARITY but for a rest that
+    ``test_recall_of_scattered_edits`` measures. In each that holds several classes, every text is
+    tried against the MOST most likely texts of each other class. Pairs within a class never are;
+ 3. where round 2 left pairs of different classes because of MOST, all that are still in
+    different classes and untried.
+A pair is left out before the alignment only where bounds show that it can't be similar: its
+lengths, or the words that one text has and the other lacks (counted in BITS bits by hash). The
+sketch only orders pairs. In rounds 2 and 3 a bucket of over BLOCK texts is dealt to all pairs of
+its cells, so each pair meets in one task, and no task holds more than two cells. Components come
+from alternating large-star and small-star rounds on tables in the shared folder: no links are
+collected.
 
 Defined results: texts of under SHINGLE words are duplicates only of texts of equal words; null
 text counts as empty, and all empty texts are one class; an empty table gives no rows; of a class
@@ -46,13 +50,17 @@ SHINGLE = 5
 SIMILARITY = 0.8
 ELLS = 2
 SAMPLES = 16
-BLOCK = 2000
-#: Bins of the one-permutation sketch that estimates the share of common k-mers, and the least
-#: estimate of a pair that is worth an alignment. Copies with a word in 30 changed have about 0.7.
-BINS = 64
-LIKELY = 0.45
+#: Samples of one k-mer. Texts of similarity 0.8 by scattered edits share about 0.2 of their k-mers.
+SINGLES = 32
+SHORT = 64
+SHORT_ELLS = 3
+#: Rows of a cell of a large bucket.
+BLOCK = 8000
+#: Bits of the set of words that bounds the edit distance.
+BITS = 512
+MOST = 4
 KEPT_WORDS = 400_000
-_MIX = np.random.default_rng(20240229).integers(1, 2**63, SAMPLES, dtype=np.int64).astype(np.uint64) | np.uint64(1)
+_MIX = np.random.default_rng(20240229).integers(1, 2**63, SINGLES, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 
 
 class _WordHash(dict):
@@ -77,11 +85,11 @@ def _finish(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def kmers(words: np.ndarray) -> np.ndarray:
-    """Hashes of the k-mers, each labelled by its occurrence."""
-    n = len(words) - SHINGLE + 1
+def kmers(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """Hashes of the runs of ``size`` words, each labelled by its occurrence."""
+    n = len(words) - size + 1
     h = np.zeros(n, np.uint64)
-    for i in range(SHINGLE):
+    for i in range(size):
         h = _finish(h * np.uint64(0x100000001B3) + words[i : i + n])
     order = np.argsort(h, kind="stable")
     ranked = h[order]
@@ -94,40 +102,55 @@ def kmers(words: np.ndarray) -> np.ndarray:
     return h
 
 
-def sketch(words: np.ndarray) -> np.ndarray:
-    """Of each sample: the hash of its ELLS smallest k-mers in text order."""
-    h = kmers(words)
-    out = np.empty(SAMPLES, np.uint64)
+def _samples(h: np.ndarray, ells: int, first: int, count: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each of ``count`` samples: the hash of its ``ells`` smallest in text order, and the smallest."""
+    out, least = np.empty(count, np.uint64), np.empty(count, np.uint64)
     step = max(1, 200_000 // len(h))
-    for lo in range(0, SAMPLES, step):
-        mixed = _finish(h[None, :] * _MIX[lo : lo + step, None])
+    for lo in range(0, count, step):
+        mixed = _finish(h[None, :] * _MIX[first + lo : first + min(lo + step, count), None])
         rows = np.arange(len(mixed))
         at = mixed.argmin(1)[:, None]
-        while at.shape[1] < min(ELLS, len(h)):
+        least[lo : lo + step] = h[at[:, 0]]
+        while at.shape[1] < min(ells, len(h)):
             mixed[rows, at[:, -1]] = np.uint64(2**64 - 1)
             at = np.concatenate([at, mixed.argmin(1)[:, None]], 1)
         at.sort(1)
-        key = np.arange(lo, lo + len(mixed), dtype=np.uint64)
+        key = np.arange(salt + lo, salt + lo + len(mixed), dtype=np.uint64)
         for c in range(at.shape[1]):
             key = _finish(key * np.uint64(0x100000001B3) + h[at[:, c]])
         out[lo : lo + step] = key
-    return out
+    return out, least
+
+
+def sketch(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the ordered samples, and those of the single ones (with words, for short texts)."""
+    h = kmers(words)
+    ordered, least = _samples(h, ELLS, 0, SAMPLES, 0)
+    _, rest = _samples(h, 1, SAMPLES, SINGLES - SAMPLES, 0)
+    single = _finish(np.concatenate([least, rest]) + np.arange(1000, 1000 + SINGLES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    if len(words) < SHORT:
+        single = np.concatenate([single, _samples(kmers(words, 1), SHORT_ELLS, 0, SAMPLES, 2000)[0]])
+    return ordered, single
+
+
+def word_bits(words: np.ndarray) -> bytes:
+    """A set of BITS bits: those of the words' hashes."""
+    bits = np.zeros(BITS, bool)
+    bits[(_finish(words * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(BITS)] = True
+    return np.packbits(bits).tobytes()
 
 
-def estimator(words: np.ndarray) -> bytes:
-    """A byte for each of BINS ranges of k-mer hashes: of the smallest in it, or 0 if it is empty.
-    Equal bytes, among bins that either text fills, estimate the Jaccard similarity of k-mers."""
-    h = np.sort(_finish(kmers(words) * np.uint64(0x9E3779B97F4A7C15)))
-    bins, first = np.unique(h >> np.uint64(58), return_index=True)
-    out = np.zeros(BINS, np.uint8)
-    out[bins.astype(int)] = (h[first] % np.uint64(255)).astype(np.uint8) + np.uint8(1)
-    return out.tobytes()
+def distances(many: np.ndarray, counts: np.ndarray, at: int) -> np.ndarray:
+    """Of each column of ``many`` (words of bits) before ``at``: the least edit distance to that of
+    ``at``. An edit takes one word away and adds one, so what either lacks bounds it."""
+    common = np.bitwise_count(many[:, :at] & many[:, at : at + 1]).sum(0, dtype=np.int32)
+    return np.maximum(counts[:at], counts[at]) - common
 
 
-def likeness(many: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """The estimate for each row of ``many`` against ``one``."""
-    filled = ((many > 0) | (one > 0)).sum(1)
-    return ((many == one) & (many > 0)).sum(1) / np.maximum(filled, 1)
+def allowed(sizes: np.ndarray, at: int) -> np.ndarray:
+    """The most edits of each text before ``at`` and that one, or -1 if their lengths exceed them."""
+    most = ((1 - SIMILARITY) * np.maximum(sizes[:at], sizes[at]) + 1e-9).astype(np.int64)
+    return np.where(np.abs(sizes[:at] - sizes[at]) <= most, most, -1)
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
@@ -210,118 +233,152 @@ def _banded(a: np.ndarray, b: np.ndarray, most: int) -> int:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, digest of the words, n_words, samples and estimator (empty under SHINGLE words)."""
+    """id, digest of the words, n_words, samples, singles and bits (none under SHINGLE words)."""
 
     def run(batches):
+        none = np.empty(0, np.uint64)
         for batch in batches:
-            digests, sizes, samples, estimates = [], [], [], []
+            digests, sizes, samples, singles, bits = [], [], [], [], []
             for text in batch.column(1):
                 words = word_hashes(text.as_py())
                 digests.append(hashlib.blake2b(words.tobytes(), digest_size=16).digest())
                 sizes.append(len(words))
-                samples.append(sketch(words).view(np.int64) if len(words) >= SHINGLE else np.empty(0, np.int64))
-                estimates.append(estimator(words) if len(words) >= SHINGLE else b"")
+                ordered, single = sketch(words) if len(words) >= SHINGLE else (none, none)
+                samples.append(ordered.view(np.int64))
+                singles.append(single.view(np.int64))
+                bits.append(word_bits(words) if len(words) >= SHINGLE else b"")
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(digests, pa.binary()),
                     pa.array(sizes, pa.int64()),
                     pa.array(samples, pa.list_(pa.int64())),
-                    pa.array(estimates, pa.binary()),
+                    pa.array(singles, pa.list_(pa.int64())),
+                    pa.array(bits, pa.binary()),
                 ],
-                ["id", "digest", "n_words", "samples", "sketch"],
+                ["id", "digest", "n_words", "samples", "singles", "bits"],
             )
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    return slim.mapInArrow(run, "id long, digest binary, n_words long, samples array<long>, sketch binary")
+    return slim.mapInArrow(run, "id long, digest binary, n_words long, samples array<long>, singles array<long>, bits binary")
 
 
-def runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(class, id, n_words, samples) of each bucket of several rows, from rows in order of bucket;
-    a bucket of more than ``most`` rows comes in parts."""
-    held = None
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(class, id, n_words, cell, bits) of each bucket of several rows, from rows in order of bucket."""
+    held: list[pa.RecordBatch] = []
+    last = None
     for batch in batches:
-        table_ = pa.table(batch) if held is None else pa.concat_tables([held, pa.table(batch)])
-        keys = table_.column("bucket").to_numpy()
-        ends = np.flatnonzero(np.concatenate([keys[1:] != keys[:-1], [True]])) + 1
-        starts = np.concatenate([[0], ends[:-1]])
-        last = starts[-1] if len(keys) - starts[-1] <= most else len(keys)
-        yield from _several(table_.slice(0, last), starts, ends, last, most)
-        held = table_.slice(last)
-    if held is not None and held.num_rows:
-        yield from _several(held, np.array([0]), np.array([held.num_rows]), held.num_rows, most)
-
-
-def _several(rows: pa.Table, starts, ends, last: int, most: int):
-    if not last:
+        keys = batch.column("bucket").to_numpy()
+        if not len(keys):
+            continue
+        if held and (keys[0] != last or keys[-1] != last):
+            end = int(np.searchsorted(keys != last, True)) if keys[0] == last else 0
+            yield from _several(pa.Table.from_batches([*held, batch.slice(0, end)]))
+            held, batch, keys = [], batch.slice(end), keys[end:]
+        if not held:
+            start = len(keys) - int((keys[::-1] != keys[-1]).argmax()) if keys[0] != keys[-1] else 0
+            if start:
+                yield from _several(pa.Table.from_batches([batch.slice(0, start)]))
+            batch = batch.slice(start)
+        held.append(batch)
+        last = keys[-1]
+    if held:
+        yield from _several(pa.Table.from_batches(held))
+
+
+def _several(rows: pa.Table):
+    keys, classes, ids, sizes, cells = (rows.column(c).to_numpy() for c in ("bucket", "class", "id", "n_words", "cell"))
+    if len(keys) < 2:
         return
-    classes, ids, sizes = (rows.column(c).to_numpy() for c in ("class", "id", "n_words"))
-    flat = rows.column("sketch").combine_chunks()
-    data = np.frombuffer(b"".join(flat.to_pylist()), np.uint8).reshape(-1, BINS)
-    for lo, hi in zip(starts, np.minimum(ends, last), strict=True):
-        for at in range(lo, hi, most):
-            part = slice(at, min(at + most, hi))
-            if part.stop - part.start > 1:
-                yield classes[part], ids[part], sizes[part], data[part]
+    flat = rows.column("bits").combine_chunks()
+    data = np.frombuffer(b"".join(flat.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+    ends = np.flatnonzero(np.concatenate([keys[1:] != keys[:-1], [True]])) + 1
+    starts = np.concatenate([[0], ends[:-1]])
+    for lo, hi in zip(starts, ends, strict=True):
+        if hi - lo > 1:
+            part = slice(lo, hi)
+            yield classes[part], ids[part], sizes[part], cells[part], np.ascontiguousarray(data[part].T)
 
 
-def may_reach(sizes: np.ndarray, size: int) -> np.ndarray:
-    """Which lengths can be similar to a length at all."""
-    return np.abs(sizes - size) <= (1 - SIMILARITY) * np.maximum(sizes, size) + 1e-9
-
-
-def nearest_before(classes, ids, sizes, data) -> list[tuple[int, int]]:
+def nearest_before(classes, ids, sizes, cells, data) -> list[tuple[int, int, bool]]:
     """Of each text, the one before it that it is most likely similar to."""
-    out = []
+    out, counts = [], np.bitwise_count(data).sum(0, dtype=np.int32)
     for i in range(1, len(ids)):
-        like = likeness(data[:i], data[i]) * may_reach(sizes[:i], sizes[i])
-        best = int(like.argmax())
-        if like[best] >= LIKELY:
-            out.append((int(ids[i]), int(ids[best])))
+        most, least = allowed(sizes, i), distances(data, counts, i)
+        share = np.where(least <= most, least / np.maximum(sizes[:i], sizes[i]), np.inf)
+        best = int(share.argmin())
+        if share[best] < np.inf:
+            out.append((int(ids[i]), int(ids[best]), False))
     return out
 
 
-def across_classes(classes, ids, sizes, data) -> list[tuple[int, int]]:
-    """Of each text and each other class, the most likely pair, if it is likely enough."""
-    out = []
-    if (classes == classes[0]).all():
+def across_classes(most_each: int | None):
+    """Of each text and each other class, the ``most_each`` most likely pairs of those that may be
+    similar, and whether there are more; None: all."""
+
+    def propose(classes, ids, sizes, cells, data) -> list[tuple[int, int, bool]]:
+        out = []
+        if (classes == classes[0]).all():
+            return out
+        counts = np.bitwise_count(data).sum(0, dtype=np.int32)
+        apart = bool((cells != cells[0]).any())
+        for i in range(1, len(ids)):
+            open_ = classes[:i] != classes[i]
+            if apart:
+                open_ &= cells[:i] != cells[i]
+            if not open_.any():
+                continue
+            least = distances(data, counts, i)
+            ok = np.flatnonzero(open_ & (least <= allowed(sizes, i)))
+            if not len(ok):
+                continue
+            if most_each is None or len(ok) <= most_each:
+                out += [(int(ids[i]), int(ids[k]), False) for k in ok]
+                continue
+            order = ok[np.lexsort((ids[ok], least[ok], classes[ok]))]
+            new = np.concatenate([[True], classes[order][1:] != classes[order][:-1]])
+            rank = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+            cut = bool((rank >= most_each).any())
+            out += [(int(ids[i]), int(ids[k]), cut) for k in order[rank < most_each]]
         return out
-    for i in range(1, len(ids)):
-        like = likeness(data[:i], data[i])
-        ok = np.flatnonzero((like >= LIKELY) & (classes[:i] != classes[i]) & may_reach(sizes[:i], sizes[i]))
-        if len(ok):
-            order = ok[np.lexsort((ids[ok], -like[ok], classes[ok]))]
-            first = np.concatenate([[True], classes[order][1:] != classes[order][:-1]])
-            out += [(int(ids[i]), int(ids[k])) for k in order[first]]
-    return out
 
+    return propose
 
-def bucketed(reps: DataFrame) -> DataFrame:
-    """A row for each sample of each text: bucket, class, id, n_words, sketch."""
-    return reps.where(F.size("samples") > 0).select(F.explode("samples").alias("bucket"), "samples", "class", "id", "n_words", "sketch")
 
+def bucketed(reps: DataFrame, samples: str) -> DataFrame:
+    """A row for each sample of each text: bucket, class, id, n_words, bits."""
+    return reps.where(F.size(samples) > 0).select(F.explode(samples).alias("bucket"), "class", "id", "n_words", "bits")
 
-def proposed(rows: DataFrame, propose) -> DataFrame:
-    """Distinct pairs (a > b) that ``propose`` finds in buckets of at most BLOCK rows. Larger
-    buckets are first dealt to parts by each text's other samples."""
+
+def proposed(rows: DataFrame, propose, all_cells: bool) -> DataFrame:
+    """a > b, cut: distinct pairs that ``propose`` finds in buckets. Those of over BLOCK rows are
+    dealt to cells by ids, and with ``all_cells`` to all pairs of cells, each by itself too."""
     sizes = rows.groupBy("bucket").count().where(f"count > {BLOCK}")
-    large = staged(sizes.select(F.col("bucket").alias("large")), "large")
-    if not large.isEmpty():
+    large = staged(sizes.select(F.col("bucket").alias("large"), F.ceil(F.col("count") / BLOCK).alias("cells")), "large")
+    slim = ["bucket", "class", "id", "n_words", "cell", "bits"]
+    whole = F.lit(0).cast("long")
+    if large.isEmpty():
+        rows = rows.withColumn("cell", whole).select(slim)
+    else:
         here = F.col("bucket") == F.col("large")
-        parts = rows.join(large, here, "left_semi").select("*", F.explode("samples").alias("part")).where("part <> bucket")
-        parts = parts.select(F.xxhash64("bucket", "part").alias("bucket"), "class", "id", "n_words", "sketch")
-        rows = rows.drop("samples").join(large, here, "left_anti").unionByName(parts)
+        dealt = rows.join(large, here).withColumn("cell", F.pmod(F.xxhash64("id", "bucket"), "cells"))
+        if all_cells:
+            dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
+            part = F.xxhash64("bucket", F.least("cell", "other"), F.greatest("cell", "other"))
+        else:
+            part = F.xxhash64("bucket", "cell")
+        dealt = dealt.withColumn("bucket", part).select(slim)
+        rows = rows.join(large, here, "left_anti").withColumn("cell", whole).select(slim).unionByName(dealt)
 
     def run(batches):
-        for found in runs(batches, BLOCK):
+        for found in runs(batches):
             pairs = propose(*found)
             if pairs:
-                a, b = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+                a, b, cut = (np.array(x) for x in zip(*pairs, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(cut)], ["a", "b", "cut"])
 
-    rows = rows.drop("samples")
     ordered = rows.repartition(shuffle_width(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "id")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    return ordered.mapInArrow(run, "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -373,20 +430,24 @@ def components(links: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, class_id, class_size: one row for each row of docs."""
     found = staged(sketches(docs, id_col, text_col), "sketches")
-    reps = staged(
-        found.groupBy("digest").agg(F.min("id").alias("id"), F.first("n_words").alias("n_words"), F.first("samples").alias("samples"), F.first("sketch").alias("sketch")),
-        "reps",
-    ).withColumn("class", F.col("id"))
-    rows = bucketed(reps)
-    tried = staged(proposed(rows, nearest_before), "tried")
+    first = [F.first(c).alias(c) for c in ("n_words", "samples", "singles", "bits")]
+    reps = staged(found.groupBy("digest").agg(F.min("id").alias("id"), *first), "reps").withColumn("class", F.col("id"))
+    tried = staged(proposed(bucketed(reps, "samples"), nearest_before, False).select("a", "b"), "tried")
     links = staged(verified(tried, docs, id_col, text_col), "links")
     classes = staged(components(links), "classes").withColumnRenamed("class", "of")
 
-    labelled = reps.drop("class").join(classes, "id", "left").withColumn("class", F.coalesce("of", "id")).drop("of")
-    more = proposed(bucketed(labelled), across_classes).join(tried, ["a", "b"], "left_anti")
-    more = staged(verified(staged(more, "more"), docs, id_col, text_col), "more_links")
-    if not more.isEmpty():
-        classes = staged(components(links.unionByName(more)), "classes").withColumnRenamed("class", "of")
+    for most in (MOST, None):
+        labelled = reps.drop("class").join(classes, "id", "left").withColumn("class", F.coalesce("of", "id")).drop("of")
+        # Pairs that were tried and refused stay in what is cut, so cut is kept before they go.
+        more = staged(proposed(bucketed(labelled, "singles"), across_classes(most), True), "more")
+        untried = staged(more.select("a", "b").join(tried, ["a", "b"], "left_anti"), "untried")
+        linked = staged(verified(untried, docs, id_col, text_col), "more_links")
+        if not linked.isEmpty():
+            links = links.unionByName(linked)
+            classes = staged(components(links), "classes").withColumnRenamed("class", "of")
+        if more.where("cut").isEmpty():
+            break
+        tried = tried.unionByName(untried)
 
     named = reps.select("digest", "id").join(classes, "id", "left").select("digest", F.coalesce("of", "id").alias("class_id"))
     member = staged(found.select("id", "digest").join(named, "digest").select("id", "class_id"), "members")

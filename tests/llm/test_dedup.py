@@ -86,6 +86,44 @@ def test_large_buckets_are_split(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
 
 
+def scattered(words, share, rng):
+    out = list(words)
+    for at in rng.choice(len(out), int(share * len(out)), replace=False):
+        out[at] = f"new{rng.integers(1 << 40)}"
+    return out
+
+
+def test_recall_of_scattered_edits():
+    rng = np.random.default_rng(4)
+    for n in (10, 20, 40, 60, 100, 300, 1000):
+        met = 0
+        for _ in range(200):
+            a = [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+            a, b = (near_dedup.word_hashes(" ".join(x)) for x in (a, scattered(a, 0.2, rng)))
+            assert near_dedup.similar(a, b)
+            bits = np.frombuffer(near_dedup.word_bits(a) + near_dedup.word_bits(b), np.uint64).reshape(2, -1).T
+            sizes, counts = np.array([len(a), len(b)]), np.bitwise_count(bits).sum(0, dtype=np.int32)
+            assert near_dedup.distances(bits, counts, 1)[0] <= near_dedup.allowed(sizes, 1)[0]
+            met += bool(np.isin(near_dedup.sketch(a)[1], near_dedup.sketch(b)[1]).any())
+        assert met >= 0.97 * 200, (n, met)
+
+
+@pytest.mark.parametrize("block", [5, 8000])
+def test_scattered_edits_and_a_common_passage(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = np.random.default_rng(6)
+    passage = [f"p{i}" for i in range(75)]
+    texts = []
+    for share in (0.08, 0.12, 0.16, 0.2):
+        for k in range(4):
+            base = [f"w{x}" for x in rng.integers(0, 1 << 40, 150)]
+            texts += [" ".join(base), " ".join(scattered(base, share, rng))]
+            own = [f"v{x}" for x in rng.integers(0, 1 << 40, 25)]
+            texts += [" ".join(passage + own), " ".join(passage + scattered(own, 2 * share, rng))]
+    got = {r["id"]: r["class_id"] for r in near_dedup.near_dedup(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts)
+
+
 def test_near_empty(spark):
     assert near_dedup.near_dedup(docs_of(spark, []).where("false")).count() == 0
 
