@@ -7,7 +7,9 @@ neither. Pages of a host are sorted by URL path, and each is compared with its n
 either side: the sequences of lines are aligned by longest common subsequence, and shared lines are
 what the site adds to its pages. Shared lines are deleted, but for those inside an article: two copies of an
 article under two paths share all of it, and it is the article that is wanted. Pages without any
-article keep all lines that are neither shared nor furniture.
+article keep all lines that are neither shared nor furniture. A neighbour that leaves next to
+nothing of such a page is a copy of it, not a template: the nearest page beyond that is none is
+taken, and a page that meets copies only keeps its lines.
 
 Hosts are dealt to groups of at most about GROUP pages (by a hash of the path, when the host's
 count asks for it), so a host with a third of all pages is many tasks. Only hashes of lines are
@@ -33,6 +35,8 @@ from pyspark.sql import functions as F
 from golode.llm.common import table
 
 GROUP = 1000
+#: The share of a page's letters outside furniture that is left beside a copy of it, at most.
+COPY = 0.05
 
 #: Elements that start and end a block.
 BLOCKS = frozenset(
@@ -260,34 +264,17 @@ def extract(pages: DataFrame, id_col="page_id", url_col="url", html_col="html")
     grouped = read.join(counts, "host", "left").withColumn("shard", F.pmod(F.xxhash64("path"), F.coalesce("shards", F.lit(1))))
 
     def differenced(batches):
-        """Rows in order of host, shard and path: each page meets the pages beside it, the first
-        and last of a group the two on their one side. Three pages are held at a time."""
-        held: list[dict] = []  # up to two pages that are done, then up to two that wait
-
-        def done(at: int):
-            page = held[at]
-            near = [p for p in (*held[:at][::-1], *held[at + 1 :]) if p["group"] == page["group"]]
-            sides = [p for p in (held[at - 1] if at else None, held[at + 1] if at + 1 < len(held) else None) if p in near]
-            shared = np.zeros(len(page["hashes"]), bool)
-            for other in sides if len(sides) == 2 else near[:2]:
-                shared |= shared_lines(page["hashes"], other["hashes"])
-            return page["id"], page["url"], main_text(list(zip(page["regions"], page["lines"], strict=True)), shared)
-
-        waiting = 0
+        """Rows in order of host, shard and path; a group is held at a time."""
+        group, held = None, []
         for batch in batches:
-            rows = []
             for one in batch.to_pylist():
-                held.append(Page(one | {"hashes": np.array(one["hashes"], np.int64), "group": (one["host"], one["shard"])}))
-                waiting += 1
-                if waiting == 3:
-                    rows.append(done(len(held) - 3)) if held[-3]["lines"] is not None else None
-                    waiting = 2
-                del held[:-4]
-            if rows:
-                yield _texts(rows)
-        rows = [done(len(held) - k) for k in range(waiting, 0, -1) if held[-k]["lines"] is not None]
-        if rows:
-            yield _texts(rows)
+                if held and (one["host"], one["shard"]) != group:
+                    yield from texts_of(held)
+                    held = []
+                group = one["host"], one["shard"]
+                held.append(one | {"hashes": np.array(one["hashes"], np.int64)})
+        if held:
+            yield from texts_of(held)
 
     ordered = grouped.repartition("host", "shard").sortWithinPartitions("host", "shard", "path", "id")
     texts = "id long, url string, text string"
@@ -295,13 +282,45 @@ def extract(pages: DataFrame, id_col="page_id", url_col="url", html_col="html")
     return base.select("id", "url", "html").mapInArrow(direct, texts).unionByName(others)
 
 
-class Page(dict):
-    """A page while it is compared; two are the same only if they are one object."""
+def template_lines(page: dict, other: dict) -> np.ndarray | None:
+    """Lines of page that other shares, or None if other is a copy of it."""
+    shared = shared_lines(page["hashes"], other["hashes"])
+    own = np.array([len(t) if r == PLAIN else 0 for r, t in zip(page["regions"], page["lines"], strict=True)], np.int64)
+    return None if own[~shared].sum() <= COPY * own.sum() else shared
 
-    def __eq__(self, other):
-        return self is other
 
-    __hash__ = None
+def texts_of(pages: list[dict]):
+    """Texts of the pages without an article of a group in order of path: each meets the nearest
+    page on either side that is no copy of it, or the nearest two on one side."""
+    rows = []
+    for at, page in enumerate(pages):
+        if page["lines"] is None:
+            continue
+        if PLAIN not in page["regions"]:
+            rows.append((page["id"], page["url"], ""))
+            continue
+        tried: dict[bytes, np.ndarray | None] = {}
+
+        def met(places):
+            for k in places:
+                key = pages[k]["hashes"].tobytes()
+                if key not in tried:
+                    tried[key] = template_lines(page, pages[k])
+                if tried[key] is not None:
+                    yield tried[key]
+
+        before, after = met(range(at - 1, -1, -1)), met(range(at + 1, len(pages)))
+        sides = [next(before, None), next(after, None)]
+        if sides[0] is None:
+            sides.append(next(after, None))
+        elif sides[1] is None:
+            sides.append(next(before, None))
+        shared = np.zeros(len(page["hashes"]), bool)
+        for side in sides:
+            shared |= False if side is None else side
+        rows.append((page["id"], page["url"], main_text(list(zip(page["regions"], page["lines"], strict=True)), shared)))
+    if rows:
+        yield _texts(rows)
 
 
 def _texts(rows) -> pa.RecordBatch:

@@ -76,6 +76,14 @@ def test_article_copies_keep_their_text(spark):
     assert len({r["text"] for r in got}) == 1 and got[0]["text"].startswith("Title & more\nOne two.")
 
 
+def test_copies_without_article_keep_their_text(spark):
+    shell = "<body><div>Welcome to the site</div><p>Own text {}.</p><div>All rights kept</div></body>"
+    rows = [(i, f"http://h.example/{i // 3}?print={i}", shell.format(i // 3)) for i in range(9)] + [(9 + i, f"http://k.example/{i}", shell.format(7)) for i in range(3)]
+    got = {r["id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: got[i] for i in range(9)} == {i: f"Own text {i // 3}." for i in range(9)}
+    assert {got[i] for i in range(9, 12)} == {"Welcome to the site\nOwn text 7.\nAll rights kept"}
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/x", "<p>é</p>"), (2, "http://a/y", "<p>é</p>"), (3, None, None), (4, "http://b/\r\nX: y", "\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\n"), (5, "", ""), (6, "u", "a" * 100_000)]
     path = scratch(spark, "warc")
