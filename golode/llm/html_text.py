@@ -11,8 +11,10 @@ article keep all lines that are neither shared nor furniture. A neighbour that l
 nothing of such a page is a copy of it, not a template: the nearest page beyond that is none is
 taken, and a page that meets copies only keeps its lines.
 
-Hosts are dealt to groups of at most about GROUP pages (by a hash of the path, when the host's
-count asks for it), so a host with a third of all pages is many tasks. Only hashes of lines are
+Hosts of over GROUP pages are cut into ranges of GROUP pages in order of path, so a host with a
+third of all pages is many tasks; the EDGE pages on either side of a range come along to be
+compared with, so a page meets the neighbours that it has in the whole host. The ranks that give
+the cuts take only the paths and ids of such hosts. Only hashes of lines are
 shuffled to a group, and the lines of pages without an article; pages with one are read once more
 for their text, which needs no shuffle.
 
@@ -29,12 +31,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from golode.llm.common import table
 
 GROUP = 1000
+#: Pages beyond a range that its own are compared with: a run of more copies than that at a cut hides what lies beyond.
+EDGE = 50
 #: The share of a page's letters outside furniture that is left beside a copy of it, at most.
 COPY = 0.05
 
@@ -231,7 +235,13 @@ def extract(pages: DataFrame, id_col="page_id", url_col="url", html_col="html")
     base = pages.select(
         F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"), F.coalesce(html_col, F.lit("")).alias("html")
     )
-    counts = base.groupBy("host").count().select("host", F.ceil(F.col("count") / GROUP).alias("shards"))
+    edge = min(EDGE, (GROUP - 1) // 2)
+    large = base.groupBy("host").count().where(f"count > {GROUP}").select("host")
+    rank = F.row_number().over(Window.partitionBy("host").orderBy("path", "id")) - 1
+    ranked = base.select("host", "path", "id").join(large, "host", "left_semi").withColumn("rank", rank)
+    # Of each cut: where the edge before it starts, the cut, and where the edge after it ends.
+    marks = ranked.where(f"rank % {GROUP} = {GROUP - edge} or rank >= {GROUP} and rank % {GROUP} in (0, {edge})")
+    cuts = marks.groupBy("host").agg(F.collect_list(F.struct("path", "id")).alias("cuts"))
 
     def direct(batches):
         """Texts of pages with an article: what is shared outside it goes with all else outside."""
@@ -261,7 +271,12 @@ def extract(pages: DataFrame, id_col="page_id", url_col="url", html_col="html")
 
     schema = "id long, url string, host string, path string, regions array<int>, lines array<string>, hashes array<int>"
     read = base.mapInArrow(compared, schema)
-    grouped = read.join(counts, "host", "left").withColumn("shard", F.pmod(F.xxhash64("path"), F.coalesce("shards", F.lit(1))))
+    passed = F.size(F.filter("cuts", lambda c: c <= F.struct("path", "id"))) + 1
+    placed = read.join(cuts, "host", "left").withColumn("passed", F.when(F.col("cuts").isNull(), 1).otherwise(passed)).drop("cuts")
+    shard = F.floor(F.col("passed") / 3).cast("int")
+    beside = F.when(F.col("passed") % 3 == 0, shard - 1).when(F.col("passed") % 3 == 2, shard + 1)
+    places = F.array_compact(F.array(shard, beside))
+    grouped = placed.select("*", F.posexplode(places).alias("copy", "shard")).withColumn("own", F.col("copy") == 0)
 
     def differenced(batches):
         """Rows in order of host, shard and path; a group is held at a time."""
@@ -278,7 +293,7 @@ def extract(pages: DataFrame, id_col="page_id", url_col="url", html_col="html")
 
     ordered = grouped.repartition("host", "shard").sortWithinPartitions("host", "shard", "path", "id")
     texts = "id long, url string, text string"
-    others = ordered.select("id", "url", "host", "shard", "regions", "lines", "hashes").mapInArrow(differenced, texts)
+    others = ordered.select("id", "url", "host", "shard", "own", "regions", "lines", "hashes").mapInArrow(differenced, texts)
     return base.select("id", "url", "html").mapInArrow(direct, texts).unionByName(others)
 
 
@@ -294,7 +309,7 @@ def texts_of(pages: list[dict]):
     page on either side that is no copy of it, or the nearest two on one side."""
     rows = []
     for at, page in enumerate(pages):
-        if page["lines"] is None:
+        if page["lines"] is None or not page["own"]:
             continue
         if PLAIN not in page["regions"]:
             rows.append((page["id"], page["url"], ""))

@@ -84,6 +84,16 @@ def test_copies_without_article_keep_their_text(spark):
     assert {got[i] for i in range(9, 12)} == {"Welcome to the site\nOwn text 7.\nAll rights kept"}
 
 
+def test_large_hosts_are_cut_by_path(spark, monkeypatch):
+    shell = "<body><div>Section {0}</div><p>Own text {1}.</p></body>"
+    rows = [(i, f"http://h.example/{i // 4:03}/{i:03}", shell.format(i // 4, i)) for i in range(80)]
+    whole = {i: f"Own text {i}." for i in range(80)}
+    for group in (7, 16, 1000):
+        monkeypatch.setattr(html_text, "GROUP", group)
+        got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+        assert len(got) == 80 and {r["id"]: r["text"] for r in got} == whole
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/x", "<p>é</p>"), (2, "http://a/y", "<p>é</p>"), (3, None, None), (4, "http://b/\r\nX: y", "\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\n"), (5, "", ""), (6, "u", "a" * 100_000)]
     path = scratch(spark, "warc")
