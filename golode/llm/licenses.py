@@ -1,7 +1,8 @@
 """License scan: an exact set-similarity join of text blocks and license templates, natively.
 
 Base: places where the words of a known phrase stand in a row. The join: a block (a line of a
-text) meets a template when it holds at least THRESHOLD of the template's distinct words. Tokens
+text, or, since notices are wrapped over lines, a window over the words of a text of several
+lines; windows are twice as long as the longest template and overlap by half) meets a template when it holds at least THRESHOLD of the template's distinct words. Tokens
 are ordered by how many blocks of the whole table hold them, rarest first. A block can only meet a
 template of n words if it shares ``overlap = ceil(THRESHOLD * n)`` words with it, so
  - prefix filter: it holds one of the template's first n - overlap + 1 words in that order;
@@ -86,11 +87,20 @@ def base_places(docs: DataFrame, id_col: str, text_col: str, phrases=PHRASES) ->
     )
 
 
-def blocks(docs: DataFrame, id_col: str, text_col: str, dictionary: list[str]) -> DataFrame:
-    """id, block, held: for each line, the distinct words of it that some template has."""
-    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_or_empty(text_col), "\n")))
-    held = F.filter(F.split(spaced(F.col("col")), " "), lambda w: w.isin(dictionary))
-    return lines.select("id", F.col("pos").alias("block"), F.array_distinct(held).alias("held"))
+def blocks(docs: DataFrame, id_col: str, text_col: str, dictionary: list[str], span: int) -> DataFrame:
+    """id, block, held: for each line, and each window of 2 * ``span`` words (numbered from -1
+    down), the distinct words of it that some template has."""
+    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+
+    def held(words: Column) -> Column:
+        return F.array_distinct(F.filter(words, lambda w: w.isin(dictionary)))
+
+    lines = texts.select("id", F.posexplode(F.split("text", "\n")))
+    lines = lines.select("id", F.col("pos").alias("block"), held(F.split(spaced(F.col("col")), " ")).alias("held"))
+    words = texts.where(F.col("text").contains("\n")).select("id", F.split(spaced(F.col("text")), " ").alias("words"))
+    starts = F.sequence(F.lit(0), F.size("words") - 1, F.lit(span))
+    windows = words.select("id", F.posexplode(F.transform(starts, lambda i: F.slice("words", i + 1, 2 * span))))
+    return lines.unionByName(windows.select("id", (-1 - F.col("pos")).alias("block"), held(F.col("col")).alias("held")))
 
 
 def template_rows(templates=TEMPLATES, threshold: float = THRESHOLD) -> list[dict]:
@@ -102,13 +112,13 @@ def template_rows(templates=TEMPLATES, threshold: float = THRESHOLD) -> list[dic
 
 
 def containment_join(docs: DataFrame, id_col="doc_id", text_col="text", templates=TEMPLATES, threshold=THRESHOLD) -> DataFrame:
-    """id, block, template, label, containment: every line of every text that holds at least
+    """id, block, template, label, containment: every line and window of every text that holds at least
     ``threshold`` of a template's distinct words."""
     spark = docs.sparkSession
     rows = template_rows(templates, threshold)
     dictionary = sorted({w for r in rows for w in r["words"]})
     least = min(r["overlap"] for r in rows)
-    found = blocks(docs, id_col, text_col, dictionary).where(F.size("held") > 0)
+    found = blocks(docs, id_col, text_col, dictionary, max(len(words_of(text)) for _, text in templates)).where(F.size("held") > 0)
     # What can meet no template for its length still counts in the frequencies below.
     counted = found.select(F.explode("held").alias("word")).groupBy("word").count()
     order = {r["word"]: r["count"] for r in counted.collect()}  # at most one row per template word

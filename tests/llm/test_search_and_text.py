@@ -94,6 +94,18 @@ def test_large_hosts_are_cut_by_path(spark, monkeypatch):
         assert len(got) == 80 and {r["id"]: r["text"] for r in got} == whole
 
 
+@pytest.mark.parametrize("width", [3, 12])
+def test_wrapped_license_notices(spark, width):
+    texts = []
+    for _, notice in licenses.TEMPLATES:
+        words = ["other"] * len(texts) * 5 + notice.split() + ["words"] * 90
+        texts.append("\n * ".join(" ".join(words[i : i + width]) for i in range(0, len(words), width)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r for r in licenses.scan(df).collect()}
+    for i, (label, _) in enumerate(licenses.TEMPLATES):
+        assert label in got[i]["labels"].split(",") and got[i]["score"] == 1.0, (i, got[i])
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/x", "<p>é</p>"), (2, "http://a/y", "<p>é</p>"), (3, None, None), (4, "http://b/\r\nX: y", "\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\n"), (5, "", ""), (6, "u", "a" * 100_000)]
     path = scratch(spark, "warc")
