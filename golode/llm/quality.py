@@ -77,7 +77,7 @@ def structure(text: str, tokens: list[str]) -> list[float]:
         10 * len(set(lines)) / len(lines),
         10 * raw.count(b"|") / blanks,
         10 * raw.count(b"!") / blanks,
-        10 * sum(t.isupper() for t in tokens[::4]) / max(1, len(tokens[::4])),
+        10 * sum(t.isupper() for t in tokens) / count,
         10 * (signs + stops) / count,
         np.log1p(n),
     ]

@@ -106,6 +106,11 @@ def test_wrapped_license_notices(spark, width):
         assert label in got[i]["labels"].split(",") and got[i]["score"] == 1.0, (i, got[i])
 
 
+def test_capitals_of_all_tokens_count():
+    for text, share in (("a BB CC d", 0.5), ("AA b c d", 0.25), ("a b c d", 0.0)):
+        assert quality.structure(text, text.split())[11] == 10 * share
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/x", "<p>é</p>"), (2, "http://a/y", "<p>é</p>"), (3, None, None), (4, "http://b/\r\nX: y", "\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\n"), (5, "", ""), (6, "u", "a" * 100_000)]
     path = scratch(spark, "warc")
