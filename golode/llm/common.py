@@ -51,3 +51,64 @@ def shuffle_width(spark: SparkSession) -> int:
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until no column of df is called that."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: A key that holds over 1 / HEAVY of all rows is joined by broadcast.
+HEAVY = 256
+
+
+def heavy_join(many: DataFrame, few: DataFrame, key: str, count: str, rows: int) -> DataFrame:
+    """many joined with few, which has each key once and, in ``count``, how many of the ``rows`` rows
+    of many hold it. Of keys that hold over rows / HEAVY there are fewer than HEAVY: these are
+    broadcast, so no task gets all rows of one."""
+    frequent = F.col(count) > rows / HEAVY
+    heavy = F.broadcast(few.where(frequent))
+    apart = many.join(heavy, key)
+    return many.join(heavy.select(key), key, "left_anti").join(few.where(~frequent), key).unionByName(apart)
+
+
+#: Bytes that a process keeps of what it worked out for words or pieces of one operator.
+KEPT_BYTES = 48 << 20
+_OWNERS: list[Kept] = []
+
+
+class Kept(dict):
+    """Results by key, in two generations of half of KEPT_BYTES each: when the young one is full it
+    becomes the old one, from which keys that are met again return; the others are forgotten.
+    A process keeps those of one operator only: ``own`` empties the others."""
+
+    #: Bytes of an entry beside its key and result: headers of both, and its share of the table.
+    OVERHEAD = 200
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old, self.size = make, {}, 0
+        _OWNERS.append(self)
+
+    def own(self) -> None:
+        for other in _OWNERS:
+            if other is not self:
+                other.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.old, self.size = {}, 0
+
+    def __missing__(self, key):
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        self.size += self.OVERHEAD + len(key) + (len(got) if isinstance(got, bytes) else 0)
+        if self.size > KEPT_BYTES // 2:
+            self.old, self.size = dict(self), 0
+            self.clear()
+        self[key] = got
+        return got

@@ -10,74 +10,76 @@ of both in a band: similar when 1 - (edit distance of words) / (words of the lon
 for which a band of (1 - SIMILARITY) of the length suffices, so the check is exact.
 
 Copies first: texts of equal words are one class before any sketch is compared, so thousands of
-copies cost one representative. Then rounds, each of which proposes pairs bucket by bucket,
-verifies them and joins the links to components:
- 1. every text is tried against the one before it, in each bucket of its Order MinHash samples,
-    that it is most likely similar to: a number of pairs that follows the rows, whatever the size
-    of a group. A bucket of over BLOCK texts is dealt to cells, another way in each bucket;
- 2. buckets of SINGLES samples of one k-mer (of three words in order for texts of under SHORT
-    words, few of whose k-mers outlive an edit) hold any pair of SIMILARITY but for a rest that
-    ``test_recall_of_scattered_edits`` measures. In each that holds several classes, every text is
-    tried against the MOST most likely texts of each other class. Pairs within a class never are;
- 3. where round 2 left pairs of different classes because of MOST, all that are still in
-    different classes and untried.
+copies cost one representative. Then:
+ 1. every text is tried against the one of the WINDOW before it (in order of length), in each bucket
+    of its ordered samples, that it is most likely similar to: as many pairs as rows, whatever the
+    size of a group. The links among them make the first classes;
+ 2. each ordered sample also has a wide bucket, of its smallest k-mer alone (and texts of under SHORT
+    words, few of whose k-mers outlive an edit, buckets of three words in order). Wide buckets hold
+    any pair of SIMILARITY but for a rest that ``test_recall_of_scattered_edits`` measures. A first
+    pass over them keeps the rows that bounds leave a partner of another class; a second pass, over
+    these rows with their words, aligns every pair that is not linked yet and gives a spanning
+    forest of the links of a bucket: never more rows than the bucket has, and no link between
+    classes is lost.
 A pair is left out before the alignment only where bounds show that it can't be similar: its
-lengths, or the words that one text has and the other lacks (counted in BITS bits by hash). The
-sketch only orders pairs. In rounds 2 and 3 a bucket of over BLOCK texts is dealt to all pairs of
-its cells, so each pair meets in one task, and no task holds more than two cells. Components come
+lengths, or the labelled words that one text has and the other lacks (in the first pass counted in
+bits by hash, at least as many bits as words; in the second exactly). A wide bucket of over BLOCK
+rows (in the second pass: of over CELL_WORDS words) is dealt to all pairs of its cells, so each pair
+meets in one task and no task holds more than two cells; that costs rows times cells, and the
+comparisons of bits within a bucket grow with the square of its rows of like length. Components come
 from alternating large-star and small-star rounds on tables in the shared folder: no links are
-collected.
+collected. Keys that hold over 1 / HEAVY of all rows are joined by broadcast (HEAVY rows at most).
 
 Defined results: texts of under SHINGLE words are duplicates only of texts of equal words; null
 text counts as empty, and all empty texts are one class; an empty table gives no rows; of a class
-the smallest id is its name; rows that repeat an id are copies; other columns are ignored.
+the smallest id is its name; rows that repeat an id are copies of each other; a row without an id
+is a class of its own (class_id null, class_size 1); other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from golode.llm.common import shuffle_width, staged, table, text_or_empty
+from golode.llm.common import Kept, free_name, heavy_join, shuffle_width, staged, table, text_or_empty
 
 SHINGLE = 5
 SIMILARITY = 0.8
 ELLS = 2
 SAMPLES = 16
-#: Samples of one k-mer. Texts of similarity 0.8 by scattered edits share about 0.2 of their k-mers.
-SINGLES = 32
-SHORT = 64
+#: Texts of fewer words also have samples of SHORT_ELLS single words.
+SHORT = 80
 SHORT_ELLS = 3
-#: Rows of a cell of a large bucket.
+#: Rows before a text, in a bucket of ordered samples, that it is tried against.
+WINDOW = 64
+#: Rows of a cell of a large bucket, and words of one.
 BLOCK = 8000
-#: Bits of the set of words that bounds the edit distance.
+CELL_WORDS = 2_000_000
+#: The fewest bits that stand for a text's words.
 BITS = 512
-MOST = 4
-KEPT_WORDS = 400_000
-_MIX = np.random.default_rng(20240229).integers(1, 2**63, SINGLES, dtype=np.int64).astype(np.uint64) | np.uint64(1)
+_MIX = np.random.default_rng(20240229).integers(1, 2**63, SAMPLES, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 
+#: 64-bit hashes of words that this process met.
+_WORDS = Kept(lambda word: xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")))
 
-class _WordHash(dict):
-    def __missing__(self, word: str) -> int:
-        raw = word.encode("utf-8", "surrogatepass")
-        value = zlib.crc32(raw) << 32 | zlib.crc32(raw, 0x9E3779B9)
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        self[word] = value
-        return value
 
+def words_of(text: str) -> list[str]:
+    return text.lower().split()
 
-_WORDS = _WordHash()
 
+def digest_of(words: list[str]) -> bytes:
+    """Of the words themselves, not of their hashes: equal digests are equal words."""
+    return hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
-def word_hashes(text: str) -> np.ndarray:
-    return np.fromiter(map(_WORDS.__getitem__, text.lower().split()), np.uint64)
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
 
 
 def _finish(x: np.ndarray) -> np.ndarray:
@@ -102,20 +104,20 @@ def kmers(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return h
 
 
-def _samples(h: np.ndarray, ells: int, first: int, count: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each of ``count`` samples: the hash of its ``ells`` smallest in text order, and the smallest."""
-    out, least = np.empty(count, np.uint64), np.empty(count, np.uint64)
+def _samples(h: np.ndarray, ells: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each sample: the hash of its ``ells`` smallest in text order, and that of the smallest alone."""
+    out, least = np.empty(SAMPLES, np.uint64), np.empty(SAMPLES, np.uint64)
     step = max(1, 200_000 // len(h))
-    for lo in range(0, count, step):
-        mixed = _finish(h[None, :] * _MIX[first + lo : first + min(lo + step, count), None])
+    for lo in range(0, SAMPLES, step):
+        mixed = _finish(h[None, :] * _MIX[lo : lo + step, None])
         rows = np.arange(len(mixed))
         at = mixed.argmin(1)[:, None]
-        least[lo : lo + step] = h[at[:, 0]]
+        key = np.arange(salt + lo, salt + lo + len(mixed), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        least[lo : lo + step] = _finish(h[at[:, 0]] + key)
         while at.shape[1] < min(ells, len(h)):
             mixed[rows, at[:, -1]] = np.uint64(2**64 - 1)
             at = np.concatenate([at, mixed.argmin(1)[:, None]], 1)
         at.sort(1)
-        key = np.arange(salt + lo, salt + lo + len(mixed), dtype=np.uint64)
         for c in range(at.shape[1]):
             key = _finish(key * np.uint64(0x100000001B3) + h[at[:, c]])
         out[lo : lo + step] = key
@@ -123,34 +125,33 @@ def _samples(h: np.ndarray, ells: int, first: int, count: int, salt: int) -> tup
 
 
 def sketch(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the ordered samples, and those of the single ones (with words, for short texts)."""
-    h = kmers(words)
-    ordered, least = _samples(h, ELLS, 0, SAMPLES, 0)
-    _, rest = _samples(h, 1, SAMPLES, SINGLES - SAMPLES, 0)
-    single = _finish(np.concatenate([least, rest]) + np.arange(1000, 1000 + SINGLES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    """Buckets of the ordered samples, and the wide ones."""
+    ordered, wide = _samples(kmers(words), ELLS, 0)
     if len(words) < SHORT:
-        single = np.concatenate([single, _samples(kmers(words, 1), SHORT_ELLS, 0, SAMPLES, 2000)[0]])
-    return ordered, single
+        wide = np.concatenate([wide, _samples(kmers(words, 1), SHORT_ELLS, 1000)[0]])
+    return ordered, wide
 
 
 def word_bits(words: np.ndarray) -> bytes:
-    """A set of BITS bits: those of the words' hashes."""
-    bits = np.zeros(BITS, bool)
-    bits[(_finish(words * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(BITS)] = True
+    """The set of labelled words, as the bits of their hashes: a power of two of bits, BITS at least
+    and no fewer than words. The bits of half the size are the two halves laid over each other."""
+    width = max(BITS, 1 << (len(words) - 1).bit_length())
+    bits = np.zeros(width, bool)
+    bits[(_finish(kmers(words, 1) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) & np.uint64(width - 1)] = True
     return np.packbits(bits).tobytes()
 
 
-def distances(many: np.ndarray, counts: np.ndarray, at: int) -> np.ndarray:
-    """Of each column of ``many`` (words of bits) before ``at``: the least edit distance to that of
-    ``at``. An edit takes one word away and adds one, so what either lacks bounds it."""
-    common = np.bitwise_count(many[:, :at] & many[:, at : at + 1]).sum(0, dtype=np.int32)
-    return np.maximum(counts[:at], counts[at]) - common
+def folded(data: np.ndarray, width: int) -> np.ndarray:
+    """Rows of bits (64 to a number) cut to ``width`` bits."""
+    while data.shape[1] * 64 > width:
+        half = data.shape[1] // 2
+        data = data[:, :half] | data[:, half:]
+    return data
 
 
-def allowed(sizes: np.ndarray, at: int) -> np.ndarray:
-    """The most edits of each text before ``at`` and that one, or -1 if their lengths exceed them."""
-    most = ((1 - SIMILARITY) * np.maximum(sizes[:at], sizes[at]) + 1e-9).astype(np.int64)
-    return np.where(np.abs(sizes[:at] - sizes[at]) <= most, most, -1)
+def most_edits(size):
+    """The most edits of a similar pair whose longer text has ``size`` words."""
+    return ((1 - SIMILARITY) * size + 1e-9).astype(np.int64)
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
@@ -233,169 +234,258 @@ def _banded(a: np.ndarray, b: np.ndarray, most: int) -> int:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, digest of the words, n_words, samples, singles and bits (none under SHINGLE words)."""
+    """id, digest of the words, n_words, samples, wide samples, bits and BITS of them (none under
+    SHINGLE words)."""
 
     def run(batches):
+        _WORDS.own()
         none = np.empty(0, np.uint64)
         for batch in batches:
-            digests, sizes, samples, singles, bits = [], [], [], [], []
+            digests, sizes, samples, wide, bits, brief = [], [], [], [], [], []
             for text in batch.column(1):
-                words = word_hashes(text.as_py())
-                digests.append(hashlib.blake2b(words.tobytes(), digest_size=16).digest())
-                sizes.append(len(words))
-                ordered, single = sketch(words) if len(words) >= SHINGLE else (none, none)
-                samples.append(ordered.view(np.int64))
-                singles.append(single.view(np.int64))
-                bits.append(word_bits(words) if len(words) >= SHINGLE else b"")
+                plain = words_of(text.as_py())
+                digests.append(digest_of(plain))
+                sizes.append(len(plain))
+                enough = len(plain) >= SHINGLE
+                words = word_hashes(plain) if enough else none
+                found = sketch(words) if enough else (none, none)
+                samples.append(found[0].view(np.int64))
+                wide.append(found[1].view(np.int64))
+                bits.append(word_bits(words) if enough else b"")
+                brief.append(folded(np.frombuffer(bits[-1], np.uint64)[None], BITS).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(digests, pa.binary()),
                     pa.array(sizes, pa.int64()),
                     pa.array(samples, pa.list_(pa.int64())),
-                    pa.array(singles, pa.list_(pa.int64())),
+                    pa.array(wide, pa.list_(pa.int64())),
                     pa.array(bits, pa.binary()),
+                    pa.array(brief, pa.binary()),
                 ],
-                ["id", "digest", "n_words", "samples", "singles", "bits"],
+                ["id", "digest", "n_words", "samples", "wide", "bits", "brief"],
             )
 
+    return texts_of(docs, id_col, text_col).mapInArrow(
+        run, "id long, digest binary, n_words long, samples array<long>, wide array<long>, bits binary, brief binary"
+    )
+
+
+def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     slim = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    return slim.mapInArrow(run, "id long, digest binary, n_words long, samples array<long>, singles array<long>, bits binary")
+    return slim.where(F.col("id").isNotNull())
 
 
-def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """(class, id, n_words, cell, bits) of each bucket of several rows, from rows in order of bucket."""
+def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each bucket that has several, from rows in order of bucket."""
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
         keys = batch.column("bucket").to_numpy()
         if not len(keys):
             continue
-        if held and (keys[0] != last or keys[-1] != last):
-            end = int(np.searchsorted(keys != last, True)) if keys[0] == last else 0
-            yield from _several(pa.Table.from_batches([*held, batch.slice(0, end)]))
-            held, batch, keys = [], batch.slice(end), keys[end:]
-        if not held:
-            start = len(keys) - int((keys[::-1] != keys[-1]).argmax()) if keys[0] != keys[-1] else 0
-            if start:
-                yield from _several(pa.Table.from_batches([batch.slice(0, start)]))
-            batch = batch.slice(start)
-        held.append(batch)
+        starts = np.flatnonzero(np.concatenate([[last is None or keys[0] != last], keys[1:] != keys[:-1]])).tolist()
+        edges = [*starts, len(keys)]
+        if edges[0]:
+            held.append(batch.slice(0, edges[0]))
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            if sum(map(len, held)) > 1:
+                yield pa.Table.from_batches(held)
+            held = [batch.slice(lo, hi - lo)]
         last = keys[-1]
-    if held:
-        yield from _several(pa.Table.from_batches(held))
-
-
-def _several(rows: pa.Table):
-    keys, classes, ids, sizes, cells = (rows.column(c).to_numpy() for c in ("bucket", "class", "id", "n_words", "cell"))
-    if len(keys) < 2:
-        return
-    flat = rows.column("bits").combine_chunks()
-    data = np.frombuffer(b"".join(flat.to_pylist()), np.uint64).reshape(-1, BITS // 64)
-    ends = np.flatnonzero(np.concatenate([keys[1:] != keys[:-1], [True]])) + 1
-    starts = np.concatenate([[0], ends[:-1]])
-    for lo, hi in zip(starts, ends, strict=True):
-        if hi - lo > 1:
-            part = slice(lo, hi)
-            yield classes[part], ids[part], sizes[part], cells[part], np.ascontiguousarray(data[part].T)
-
-
-def nearest_before(classes, ids, sizes, cells, data) -> list[tuple[int, int, bool]]:
-    """Of each text, the one before it that it is most likely similar to."""
-    out, counts = [], np.bitwise_count(data).sum(0, dtype=np.int32)
+    if sum(map(len, held)) > 1:
+        yield pa.Table.from_batches(held)
+
+
+def columns(rows: pa.Table, *names: str) -> list[np.ndarray]:
+    return [rows.column(c).to_numpy() for c in names]
+
+
+def nearest_before(rows: pa.Table) -> tuple[list[int], list[int]]:
+    """Of each text, the one of the WINDOW before it that it is most likely similar to, as ids."""
+    ids, sizes = columns(rows, "id", "n_words")
+    data = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(ids), -1)
+    order = np.lexsort((ids, sizes))
+    ids, sizes, data = ids[order], sizes[order], data[order]
+    counts = np.bitwise_count(data).sum(1, dtype=np.int64)
+    found: tuple[list[int], list[int]] = [], []
     for i in range(1, len(ids)):
-        most, least = allowed(sizes, i), distances(data, counts, i)
-        share = np.where(least <= most, least / np.maximum(sizes[:i], sizes[i]), np.inf)
-        best = int(share.argmin())
-        if share[best] < np.inf:
-            out.append((int(ids[i]), int(ids[best]), False))
-    return out
-
-
-def across_classes(most_each: int | None):
-    """Of each text and each other class, the ``most_each`` most likely pairs of those that may be
-    similar, and whether there are more; None: all."""
-
-    def propose(classes, ids, sizes, cells, data) -> list[tuple[int, int, bool]]:
-        out = []
-        if (classes == classes[0]).all():
-            return out
-        counts = np.bitwise_count(data).sum(0, dtype=np.int32)
-        apart = bool((cells != cells[0]).any())
-        for i in range(1, len(ids)):
-            open_ = classes[:i] != classes[i]
+        lo = max(0, i - WINDOW, int(np.searchsorted(sizes, sizes[i] - most_edits(sizes[i]))))
+        if lo < i:
+            least = np.maximum(counts[lo:i], counts[i]) - np.bitwise_count(data[lo:i] & data[i]).sum(1, dtype=np.int64)
+            best = lo + int(least.argmin())
+            if least[best - lo] <= most_edits(sizes[i]):
+                found[0].append(int(ids[i]))
+                found[1].append(int(ids[best]))
+    return found
+
+
+def contested(rows: pa.Table) -> np.ndarray:
+    """Which rows have a partner of another class (and cell, if there are several) that bounds
+    on their lengths and bits leave as possibly similar."""
+    classes, cells, sizes = columns(rows, "class", "cell", "n_words")
+    mark = np.zeros(len(sizes), bool)
+    if (classes == classes[0]).all():
+        return mark
+    order = np.argsort(sizes, kind="stable")
+    classes, cells, sizes = classes[order], cells[order], sizes[order]
+    most = most_edits(sizes)
+    lows = np.searchsorted(sizes, sizes - most)
+    if (lows == np.arange(len(sizes))).all():
+        return mark
+    apart = bool((cells != cells[0]).any())
+    bits = rows.column("bits").to_pylist()
+    bits = [bits[k] for k in order]
+    widths = np.fromiter(map(len, bits), np.int64, len(bits)) * 8
+    for width in np.unique(widths):
+        # Longer texts have no fewer bits, so rows of a width stand in a row.
+        lo, hi = np.searchsorted(widths, [width, width + 1])
+        end = np.searchsorted(widths, 2 * width + 1)
+        data = [np.frombuffer(b"".join(bits[a:b]), np.uint64) for a, b in ((lo, hi), (hi, end)) if b > a]
+        wide = [folded(d.reshape(n, -1), width) for d, n in zip(data, (hi - lo, end - hi), strict=False)]
+        data = np.concatenate(wide)
+        counts = np.bitwise_count(data).sum(1, dtype=np.int64)
+        for i in range(lo + 1, end):
+            a, b = max(lo, lows[i]), min(i, hi)
+            if a >= b:
+                continue
+            open_ = classes[a:b] != classes[i]
             if apart:
-                open_ &= cells[:i] != cells[i]
+                open_ &= cells[a:b] != cells[i]
             if not open_.any():
                 continue
-            least = distances(data, counts, i)
-            ok = np.flatnonzero(open_ & (least <= allowed(sizes, i)))
-            if not len(ok):
-                continue
-            if most_each is None or len(ok) <= most_each:
-                out += [(int(ids[i]), int(ids[k]), False) for k in ok]
-                continue
-            order = ok[np.lexsort((ids[ok], least[ok], classes[ok]))]
-            new = np.concatenate([[True], classes[order][1:] != classes[order][:-1]])
-            rank = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-            cut = bool((rank >= most_each).any())
-            out += [(int(ids[i]), int(ids[k]), cut) for k in order[rank < most_each]]
-        return out
-
-    return propose
+            common = np.bitwise_count(data[a - lo : b - lo] & data[i - lo]).sum(1, dtype=np.int64)
+            open_ &= np.maximum(counts[a - lo : b - lo], counts[i - lo]) - common <= most[i]
+            if open_.any():
+                mark[order[i]] = True
+                mark[order[a:b][open_]] = True
+    return mark
+
+
+def linked(rows: pa.Table) -> tuple[list[int], list[int]]:
+    """Links that connect the rows of a bucket as far as similar texts of different classes (and
+    cells, if there are several) do; a pair that is connected already is not aligned."""
+    classes, cells, ids, sizes = columns(rows, "class", "cell", "id", "n_words")
+    order = np.lexsort((ids, sizes))
+    classes, cells, ids, sizes = classes[order], cells[order], ids[order], sizes[order]
+    raw = rows.column("words").to_pylist()
+    words = [np.frombuffer(raw[k], np.uint64) for k in order]
+    _, codes = np.unique(np.concatenate([kmers(w, 1) for w in words]), return_inverse=True)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    here = np.zeros(int(codes.max()) + 1, bool)
+    most = most_edits(sizes)
+    lows = np.searchsorted(sizes, sizes - most)
+    root = np.unique(classes, return_inverse=True)[1]
+    apart = bool((cells != cells[0]).any())
+    found: tuple[list[int], list[int]] = [], []
+    for i in range(1, len(ids)):
+        lo = int(lows[i])
+        open_ = root[lo:i] != root[i]
+        if apart:
+            open_ &= cells[lo:i] != cells[i]
+        if not open_.any():
+            continue
+        mine = codes[starts[i] : ends[i]]
+        here[mine] = True
+        common = np.add.reduceat(here[codes[starts[lo] : ends[i - 1]]], starts[lo:i] - starts[lo], dtype=np.int64)
+        here[mine] = False
+        near = np.flatnonzero(open_ & (sizes[i] - common <= most[i]))
+        for j in (lo + near[np.argsort(-common[near], kind="stable")]).tolist():
+            if root[j] != root[i] and similar(words[i], words[j]):
+                found[0].append(int(ids[i]))
+                found[1].append(int(ids[j]))
+                root[root == root[j]] = root[i]
+    return found
+
+
+def dealt(rows: DataFrame, weight, most: int, all_pairs: bool) -> DataFrame:
+    """rows with ``cell`` (0, or in a bucket whose weights sum to over ``most``, one of its cells),
+    bucket then naming a cell or, with ``all_pairs``, each pair of cells; ``home`` is the bucket."""
+    sizes = rows.groupBy("bucket").agg(F.sum(weight).alias("size")).where(F.col("size") > most)
+    large = staged(sizes.select(F.col("bucket").alias("home"), F.ceil(F.col("size") / most).alias("cells")), "large")
+    rows = rows.withColumn("home", F.col("bucket"))
+    whole = F.lit(0).cast("long")
+    if large.isEmpty():
+        return rows.withColumn("cell", whole)
+    names = [*rows.columns, "cell"]
+    split = rows.join(large, "home").withColumn("cell", F.pmod(F.xxhash64("id", "home"), "cells"))
+    if all_pairs:
+        split = split.withColumn("other", F.explode(F.sequence(whole, F.col("cells") - 1)))
+        part = F.xxhash64("home", F.least("cell", "other"), F.greatest("cell", "other"))
+    else:
+        part = F.xxhash64("home", "cell")
+    split = split.withColumn("bucket", part).select(names)
+    return rows.join(large, "home", "left_anti").withColumn("cell", whole).select(names).unionByName(split)
 
 
-def bucketed(reps: DataFrame, samples: str) -> DataFrame:
-    """A row for each sample of each text: bucket, class, id, n_words, bits."""
-    return reps.where(F.size(samples) > 0).select(F.explode(samples).alias("bucket"), "class", "id", "n_words", "bits")
+def by_bucket(rows: DataFrame, run, schema: str) -> DataFrame:
+    ordered = rows.repartition(shuffle_width(rows.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return ordered.mapInArrow(run, schema)
 
 
-def proposed(rows: DataFrame, propose, all_cells: bool) -> DataFrame:
-    """a > b, cut: distinct pairs that ``propose`` finds in buckets. Those of over BLOCK rows are
-    dealt to cells by ids, and with ``all_cells`` to all pairs of cells, each by itself too."""
-    sizes = rows.groupBy("bucket").count().where(f"count > {BLOCK}")
-    large = staged(sizes.select(F.col("bucket").alias("large"), F.ceil(F.col("count") / BLOCK).alias("cells")), "large")
-    slim = ["bucket", "class", "id", "n_words", "cell", "bits"]
-    whole = F.lit(0).cast("long")
-    if large.isEmpty():
-        rows = rows.withColumn("cell", whole).select(slim)
-    else:
-        here = F.col("bucket") == F.col("large")
-        dealt = rows.join(large, here).withColumn("cell", F.pmod(F.xxhash64("id", "bucket"), "cells"))
-        if all_cells:
-            dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
-            part = F.xxhash64("bucket", F.least("cell", "other"), F.greatest("cell", "other"))
-        else:
-            part = F.xxhash64("bucket", "cell")
-        dealt = dealt.withColumn("bucket", part).select(slim)
-        rows = rows.join(large, here, "left_anti").withColumn("cell", whole).select(slim).unionByName(dealt)
+def links_by_bucket(find):
+    """A mapInArrow function: the pairs of ids that ``find`` gives for each bucket."""
 
     def run(batches):
-        for found in runs(batches):
-            pairs = propose(*found)
-            if pairs:
-                a, b, cut = (np.array(x) for x in zip(*pairs, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(cut)], ["a", "b", "cut"])
+        for rows in buckets(batches):
+            a, b = find(rows)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def contested_by_bucket(batches):
+    for rows in buckets(batches):
+        mark = contested(rows)
+        if mark.any():
+            kept = rows.select(["home", "class", "id", "n_words"]).filter(pa.array(mark))
+            yield from kept.combine_chunks().to_batches()
 
-    ordered = rows.repartition(shuffle_width(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "id")
-    return ordered.mapInArrow(run, "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut"))
+
+def tried_first(reps: DataFrame) -> DataFrame:
+    """a, b: the pairs of the ordered samples, as many as rows at most."""
+    rows = reps.where(F.size("samples") > 0)
+    rows = rows.select(F.explode("samples").alias("bucket"), "id", "n_words", F.col("brief").alias("bits"))
+    pairs = by_bucket(dealt(rows, F.lit(1), BLOCK, False), links_by_bucket(nearest_before), "a long, b long")
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def linked_widely(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """a, b: links between classes in the wide buckets."""
+    rows = reps.where(F.size("wide") > 0).select(F.explode("wide").alias("bucket"), "class", "id", "n_words", "bits")
+    rows = by_bucket(dealt(rows, F.lit(1), BLOCK, True), contested_by_bucket, "home long, class long, id long, n_words long")
+    rows = staged(rows.distinct().withColumnRenamed("home", "bucket"), "contested")
+
+    def hashed(batches):
+        _WORDS.own()
+        for batch in batches:
+            words = [word_hashes(words_of(text.as_py())).tobytes() for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], ["id", "words"])
+
+    texts = texts_of(docs, id_col, text_col).join(rows.select("id").distinct(), "id", "left_semi")
+    words = texts.mapInArrow(hashed, "id long, words binary").groupBy("id").agg(F.min("words").alias("words"))
+    words = words.withColumn("n", (F.octet_length("words") / 8).cast("long"))
+    full = dealt(rows, F.col("n_words"), CELL_WORDS, True).join(words, "id").drop("n_words").withColumnRenamed("n", "n_words")
+    return by_bucket(full, links_by_bucket(linked), "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs whose texts are similar."""
 
     def run(batches):
+        _WORDS.own()
         for batch in batches:
             keep = [
-                similar(word_hashes(x.as_py()), word_hashes(y.as_py()))
+                similar(word_hashes(words_of(x.as_py())), word_hashes(words_of(y.as_py())))
                 for x, y in zip(batch.column(2), batch.column(3), strict=True)
             ]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     # Repeated ids: any row will do, for classes of ids are looked up by id.
-    texts = texts.join(wanted, "id", "left_semi")
+    texts = texts_of(docs, id_col, text_col).join(wanted, "id", "left_semi")
     joined = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a").join(
         texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b"
     )
@@ -413,11 +503,11 @@ def components(links: DataFrame) -> DataFrame:
     before = mark(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = staged(large.where("u <> v"), "large_star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = heavy_join(both.where("v > u"), least, "u", "n", 2 * before[0])
+        large = staged(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().where("u <> v"), "large_star")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = heavy_join(large, least, "u", "n", before[0])
         down = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         edges = staged(down.where("u <> v").distinct(), "small_star")
         after = mark(edges)
@@ -430,37 +520,37 @@ def components(links: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, class_id, class_size: one row for each row of docs."""
     found = staged(sketches(docs, id_col, text_col), "sketches")
-    first = [F.first(c).alias(c) for c in ("n_words", "samples", "singles", "bits")]
-    reps = staged(found.groupBy("digest").agg(F.min("id").alias("id"), *first), "reps").withColumn("class", F.col("id"))
-    tried = staged(proposed(bucketed(reps, "samples"), nearest_before, False).select("a", "b"), "tried")
-    links = staged(verified(tried, docs, id_col, text_col), "links")
-    classes = staged(components(links), "classes").withColumnRenamed("class", "of")
-
-    for most in (MOST, None):
-        labelled = reps.drop("class").join(classes, "id", "left").withColumn("class", F.coalesce("of", "id")).drop("of")
-        # Pairs that were tried and refused stay in what is cut, so cut is kept before they go.
-        more = staged(proposed(bucketed(labelled, "singles"), across_classes(most), True), "more")
-        untried = staged(more.select("a", "b").join(tried, ["a", "b"], "left_anti"), "untried")
-        linked = staged(verified(untried, docs, id_col, text_col), "more_links")
-        if not linked.isEmpty():
-            links = links.unionByName(linked)
-            classes = staged(components(links), "classes").withColumnRenamed("class", "of")
-        if more.where("cut").isEmpty():
-            break
-        tried = tried.unionByName(untried)
-
-    named = reps.select("digest", "id").join(classes, "id", "left").select("digest", F.coalesce("of", "id").alias("class_id"))
-    member = staged(found.select("id", "digest").join(named, "digest").select("id", "class_id"), "members")
-    sizes = member.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    return member.join(sizes, "class_id").select("id", "class_id", "class_size")
+    first = [F.first(c).alias(c) for c in ("n_words", "samples", "wide", "bits", "brief")]
+    reps = staged(found.groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), *first), "reps")
+    links = staged(verified(tried_first(reps), docs, id_col, text_col), "links")
+    classes = staged(components(links), "classes")
+
+    def labelled():
+        known = classes.withColumnRenamed("class", "of")
+        return reps.join(known, "id", "left").withColumn("class", F.coalesce("of", "id")).drop("of")
+
+    more = staged(linked_widely(labelled(), docs, id_col, text_col), "wide_links")
+    if not more.isEmpty():
+        classes = staged(components(links.unionByName(more)), "classes")
+
+    named = labelled().select("digest", "copies", F.col("class").alias("class_id"))
+    sizes = named.groupBy("class_id").agg(F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("n"))
+    total = reps.count()
+    named = staged(heavy_join(named, sizes, "class_id", "n", total).select("digest", "copies", "class_id", "class_size"), "named")
+    rows = docs.count()
+    out = heavy_join(found.select("id", "digest"), named, "digest", "copies", rows).select("id", "class_id", "class_size")
+    alone = docs.where(F.col(id_col).cast("long").isNull())
+    null = F.lit(None).cast("long")
+    return out.unionByName(alone.select(null.alias("id"), null.alias("class_id"), F.lit(1).cast("long").alias("class_size")))
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that are not the first of their class. Rows that repeat the id that
-    stays are left; exact dedup takes those."""
+    stays are left; exact dedup takes those. Rows without an id are kept."""
     found = near_dedup(docs, id_col, text_col)
-    gone = staged(found.where("id <> class_id").select(F.col("id").alias("gone")).distinct(), "gone")
-    return docs.join(gone, F.col(id_col) == F.col("gone"), "left_anti")
+    name = free_name(docs, "gone")
+    gone = staged(found.where("id <> class_id").select(F.col("id").alias(name)).distinct(), "gone")
+    return docs.join(gone, docs[id_col].cast("long") == gone[name], "left_anti")
 
 
 def op2(spark, sf_dir):
