@@ -112,3 +112,16 @@ class Kept(dict):
             self.clear()
         self[key] = got
         return got
+
+
+def portions(texts, most: int = 3_000_000):
+    """Lists of texts in a row, each of about ``most`` characters at most (a longer text is alone)."""
+    held, size = [], 0
+    for text in texts:
+        if held and size + len(text) > most:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held

@@ -2,8 +2,8 @@
 
 Both vocabularies cut a text into pieces before any merge, and no cut looks across white space
 (but for the blanks before a word, see ``byte_pieces``). So the ids of a text are those of its
-pieces in a row; ids of pieces that were seen are kept, up to a bound, and only others go to the
-library. Ids are carried as little-endian unsigned 32-bit bytes. Strings of special tokens in a
+pieces in a row; ids of pieces that were seen are kept, up to a bound in bytes, and only others go
+to the library. Ids are carried as little-endian unsigned 32-bit bytes. Strings of special tokens in a
 text are ordinary text.
 """
 
@@ -14,8 +14,7 @@ from array import array
 
 import public_tokenizers
 
-#: Pieces that a process keeps.
-KEPT_PIECES = 1_200_000
+from golode.llm.common import Kept
 
 #: White space as the patterns of the vocabularies mean it (Unicode White_Space).
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -46,25 +45,6 @@ def blank_pieces(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
-class _Kept(dict):
-    """Ids by piece, in two generations: when the young one is full it becomes the old one, from
-    which pieces that are met again return; the others are forgotten."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make, self.old = make, {}
-
-    def __missing__(self, piece):
-        ids = self.old.get(piece)
-        if ids is None:
-            ids = self.make(piece)
-        if len(self) >= KEPT_PIECES // 2:
-            self.old = dict(self)
-            self.clear()
-        self[piece] = ids
-        return ids
-
-
 class Encoder:
     """encode(text) -> bytes of the ids that the library gives for the whole text."""
 
@@ -76,7 +56,7 @@ class Encoder:
         self.model = self.library.model
         self.lower = self.library.normalizer is not None
         self.pieces = blank_pieces if self.lower else byte_pieces
-        self.kept = _Kept(self._of_bytes if self.lower else self._of_text)
+        self.kept = Kept(self._of_bytes if self.lower else self._of_text)
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
@@ -116,7 +96,10 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(name: str) -> Encoder:
-    """The process's encoder for a vocabulary file of public_tokenizers, or for a path."""
+    """The process's encoder for a vocabulary file of public_tokenizers, or for a path; what the
+    process kept for other operators is forgotten."""
     if name not in _ENCODERS:
+        _ENCODERS.clear()
         _ENCODERS[name] = Encoder(name if "/" in name else public_tokenizers.path(name))
+    _ENCODERS[name].kept.own()
     return _ENCODERS[name]

@@ -27,29 +27,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from golode.llm.common import table, text_or_empty
+from golode.llm.common import Kept, portions, table, text_or_empty
 
 BUCKETS = 1 << 15
 RANK = 8
 TRAIN_ROWS = 12_000
 EPOCHS = 12
 BATCH = 128
-KEPT_TOKENS = 500_000
 STATS = 14
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
-_LINE_TOKENS = 400_000
 
 
-class _Buckets(dict):
-    def __missing__(self, token: str) -> int:
-        bucket = zlib.crc32(token.lower().encode("utf-8", "surrogatepass")) & (BUCKETS - 1)
-        if len(self) >= KEPT_TOKENS:
-            self.clear()
-        self[token] = bucket
-        return bucket
-
-
-_BUCKETS = _Buckets()
+#: Buckets of tokens that this process met.
+_BUCKETS = Kept(lambda token: zlib.crc32(token.lower().encode("utf-8", "surrogatepass")) & (BUCKETS - 1))
 
 
 def structure(text: str, tokens: list[str]) -> list[float]:
@@ -228,17 +218,10 @@ def scored(docs: DataFrame, machine: Machine, id_col="doc_id", text_col="text")
     model = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches):
+        _BUCKETS.own()
         machine = model.value
         for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column(2)]
-            scores, lo = [], 0
-            while lo < len(texts):  # some megabytes of text at a time
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= 4_000_000):
-                    size += len(texts[hi])
-                    hi += 1
-                scores.append(machine.scores(*features(texts[lo:hi])))
-                lo = hi
+            scores = [machine.scores(*features(texts)) for texts in portions(t.as_py() for t in batch.column(2))]
             score = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
@@ -257,12 +240,10 @@ def good_only(docs: DataFrame, machine: Machine, text_col: str = "text") -> Data
     at = docs.columns.index(text_col)
 
     def run(batches):
+        _BUCKETS.own()
         machine = model.value
         for batch in batches:
-            scores = []
-            texts = [t.as_py() or "" for t in batch.column(at)]
-            for lo in range(0, len(texts), 256):
-                scores.append(machine.scores(*features(texts[lo : lo + 256])))
+            scores = [machine.scores(*features(texts)) for texts in portions(t.as_py() or "" for t in batch.column(at))]
             if scores:
                 yield batch.filter(pa.array(np.concatenate(scores) >= 0.5))
 
