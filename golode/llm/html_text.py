@@ -1,46 +1,55 @@
-"""Main text of web pages: block parsing, then differencing with the nearest page of the host.
-
-A page is read once by a small tokenizer into blocks (text between block-level tags), each with
-the kind of region it stands in: inside the article (article or main), inside furniture (menus,
-headers, footers, sidebars, notices, adverts, forms, comments: by tag, role, class or id), or
-neither. Pages of a host are sorted by URL path, and each is compared with its nearest neighbours, one on
-either side: the sequences of lines are aligned by longest common subsequence, and shared lines are
-what the site adds to its pages. Shared lines are deleted, but for those inside an article: two copies of an
-article under two paths share all of it, and it is the article that is wanted. Pages without any
-article keep all lines that are neither shared nor furniture. A neighbour that leaves next to
-nothing of such a page is a copy of it, not a template: the nearest page beyond that is none is
-taken, and a page that meets copies only keeps its lines.
-
-Hosts of over GROUP pages are cut into ranges of GROUP pages in order of path, so a host with a
-third of all pages is many tasks; the EDGE pages on either side of a range come along to be
-compared with, so a page meets the neighbours that it has in the whole host. The ranks that give
-the cuts take only the paths and ids of such hosts. Only hashes of lines are
-shuffled to a group, and the lines of pages without an article; pages with one are read once more
-for their text, which needs no shuffle.
+"""Main text of web pages: block parsing, then differencing with the nearest pages of the host.
+
+A page is read by a small tokenizer into blocks (text between block-level tags), each with the kind
+of region it stands in: inside the article (article or main), inside furniture (menus, headers,
+footers, sidebars, notices, adverts, forms, comments: by tag, role, class or id), or neither. The
+pages of a host are put in order of URL (path, then query and fragment), and every page is paired
+with its nearest ones: the sequences of lines are aligned by longest common subsequence, and what
+both have is taken for what the site adds to its pages.
+
+* Lines outside furniture of a page without an article go if one of the nearest two shares them.
+* Lines inside an article go only if all of the nearest EVIDENCE share them: a sentence that a few
+  articles have in common is text, a notice that every article around carries is none. Where fewer
+  than EVIDENCE pages can be met there is no such evidence, and the line stays.
+* A page that leaves next to nothing of another (half of an article, or all but COPY of a page
+  without one, is shared) is a copy or a revision of it and no template: the nearest beyond that is
+  none is taken. Up to REACH pages on either side are looked at; a page that meets copies only
+  keeps its lines.
+
+Pages are dealt to groups of GROUP in order of host and URL, by ranks that come from counts of a
+range partitioning, so neither a host with a third of all pages nor a path with many queries is one
+task; the REACH pages on either side of a group come along. What is shuffled are hashes and sizes
+of lines. Only pages that lose a line are written down, with the numbers of the lines; the pages
+are then read once more, joined with these by a hash of the whole row (by broadcast as long as
+Spark finds them small), and give their texts.
 
 Defined results: null html is empty and gives an empty text; null url is a host of its own with an
-empty path; rows that repeat an id are extracted each; an empty table gives no rows; other columns
-are ignored; a page that ends inside a tag, comment or script is read up to there.
+empty path; rows that repeat an id are extracted each, and rows equal in id, url and html get the
+same text; an empty table gives no rows; other columns are ignored; a page that ends inside a tag,
+comment or script is read up to there.
 """
 
 from __future__ import annotations
 
 import html
 import re
-import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from golode.llm.common import table
+from golode.llm.common import shuffle_width, staged, table
 
-GROUP = 1000
-#: Pages beyond a range that its own are compared with: a run of more copies than that at a cut hides what lies beyond.
-EDGE = 50
-#: The share of a page's letters outside furniture that is left beside a copy of it, at most.
-COPY = 0.05
+GROUP = 256
+#: Pages on either side that are looked at.
+REACH = 32
+#: Pages that must share a line of an article before it goes.
+EVIDENCE = 6
+#: The share of a page's letters that is left beside a copy of it, at most: without an article, and with one.
+COPY, ARTICLE_COPY = 0.05, 0.5
 
 #: Elements that start and end a block.
 BLOCKS = frozenset(
@@ -65,7 +74,13 @@ FURNITURE_WORDS = frozenset(
     "sharing social related recommended recommendations more trending popular comment comments disqus reply replies "
     "respond form search pagination pager toolbar skip copyright legal disclaimer hidden".split()
 )
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+#: Those that an article's own parts may be called as well.
+AMBIGUOUS = frozenset("side rail header alert more trending popular form search skip copyright legal disclaimer hidden login reply respond".split())
+#: What else may stand in a name of an article's part that is furniture ("comment-list", "share-buttons").
+PARTS = frozenset("area bar block box button buttons container content footer form header icons inner item items links list main panel post posts section thread title unit wrap wrapper".split())
+_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S
+)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
 _WORDS = re.compile(r"[a-z]+")
 #: Elements whose missing end tags the next start tag supplies.
@@ -85,8 +100,15 @@ def _furniture(tag: str, raw: str, in_article: bool) -> bool:
         return True
     if tag in ARTICLE_TAGS or tag in ("body", "html"):
         return False
-    named = re.sub("([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}").lower()
-    return not FURNITURE_WORDS.isdisjoint(_WORDS.findall(named)) and not (in_article and tag in ("h1", "h2", "h3", "p", "span", "b", "i", "em", "strong", "a"))
+    named = re.sub("([a-z])([A-Z])", r"\1-\2", f"{found.get('class', '')} {found.get('id', '')}").lower()
+    if not in_article:
+        return not FURNITURE_WORDS.isdisjoint(_WORDS.findall(named))
+    # A whole name must say so here, not a word of it.
+    for name in named.split():
+        words = set(_WORDS.findall(name))
+        if words & FURNITURE_WORDS - AMBIGUOUS and words <= FURNITURE_WORDS | PARTS:
+            return True
+    return False
 
 
 def blocks(page: str) -> list[tuple[int, str]]:
@@ -161,7 +183,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
 
 def shared_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which lines of a stand in a longest common subsequence with b (hashes of lines): common
-    ends first, then furthest-reaching diagonals (Myers), whose cost follows the difference."""
+    ends first, then bit vectors over what is between them."""
     keep = np.zeros(len(a), bool)
     k = min(len(a), len(b))
     same = a[:k] == b[:k]
@@ -179,36 +201,56 @@ def shared_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return keep
 
 
+#: Bits of the table of a longest common subsequence that is walked back; larger ones are halved.
+TABLE_BITS = 1 << 27
+
+
+def _columns(x: list, y: list) -> Iterator[int]:
+    """Of each beginning of x: a bit per item of y, 0 where the longest common subsequence with the
+    beginning of y up to there is longer than up to the item before (Hyyrö's bit vectors)."""
+    at: dict = {}
+    for j, item in enumerate(y):
+        at[item] = at.get(item, 0) | 1 << j
+    v = full = (1 << len(y)) - 1
+    for item in x:
+        u = v & at.get(item, 0)
+        v = ((v + u) | (v - u)) & full
+        yield v
+
+
+def _lengths(x: list, y: list) -> np.ndarray:
+    """The lengths of the longest common subsequences of x with every beginning of y."""
+    last = (1 << len(y)) - 1
+    for last in _columns(x, y):
+        pass
+    bits = np.unpackbits(np.frombuffer(last.to_bytes(len(y) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(y)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
 def _subsequence(x: list, y: list) -> list[int]:
-    n, m = len(x), len(y)
-    if not n or not m:
+    """Places in x of a longest common subsequence with y. A large table is halved at the middle of
+    x (Hirschberg), so memory stays within TABLE_BITS or a few times the lengths."""
+    if not x or not y:
         return []
-    reach, trail = {1: 0}, []
-    for d in range(n + m + 1):
-        trail.append(dict(reach))
-        for k in range(-d, d + 1, 2):
-            i = reach[k + 1] if k == -d or (k != d and reach[k - 1] < reach[k + 1]) else reach[k - 1] + 1
-            j = i - k
-            while i < n and j < m and x[i] == y[j]:
-                i, j = i + 1, j + 1
-            reach[k] = i
-            if i >= n and j >= m:
-                return _walk_back(trail, n, m)
-    return []
-
-
-def _walk_back(trail: list[dict], i: int, j: int) -> list[int]:
-    out = []
-    for d in range(len(trail) - 1, -1, -1):
-        reach, k = trail[d], i - j
-        down = k == -d or (k != d and reach[k - 1] < reach[k + 1])
-        pi = reach[k + 1] if down else reach[k - 1]
-        pj = pi - (k + 1 if down else k - 1)
-        while d and i > pi + (not down) and j > pj + down or (not d and i > 0 and j > 0):
-            i, j = i - 1, j - 1
+    if len(x) > 1 and len(x) * len(y) > TABLE_BITS:
+        half = len(x) // 2
+        cut = int((_lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]).argmax())
+        return _subsequence(x[:half], y[:cut]) + [half + i for i in _subsequence(x[half:], y[cut:])]
+    rows, out = [(1 << len(y)) - 1, *_columns(x, y)], []
+    i, j = len(x), len(y)
+
+    def length(i: int, j: int) -> int:
+        return j - (rows[i] & ((1 << j) - 1)).bit_count()
+
+    here = length(i, j)
+    while here:
+        if length(i - 1, j) == here:
+            i -= 1
+        elif rows[i] >> (j - 1) & 1:
+            j -= 1
+        else:
+            i, j, here = i - 1, j - 1, here - 1
             out.append(i)
-        if d:
-            i, j = pi, pj
     return out[::-1]
 
 
@@ -216,131 +258,144 @@ def has_article(found: list[tuple[int, str]]) -> bool:
     return any(region == ARTICLE for region, _ in found)
 
 
-def main_text(found: list[tuple[int, str]], shared: np.ndarray) -> str:
-    """The blocks that are left, joined by line feeds."""
-    if has_article(found):
-        return "\n".join(line for region, line in found if region == ARTICLE)
-    return "\n".join(line for (region, line), s in zip(found, shared, strict=True) if region == PLAIN and not s)
+def wanted_region(found: list[tuple[int, str]]) -> int:
+    return ARTICLE if has_article(found) else PLAIN
+
+
+def main_text(found: list[tuple[int, str]], gone=()) -> str:
+    """The wanted blocks but for those numbered in ``gone``, joined by line feeds."""
+    region, gone = wanted_region(found), set(gone)
+    return "\n".join(line for i, (r, line) in enumerate(found) if r == region and i not in gone)
 
 
 def place_of(url) -> tuple:
-    """host, path of a URL column: without scheme, query and fragment."""
-    bare = F.regexp_replace(F.regexp_replace(F.coalesce(url, F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://", ""), "[?#].*$", "")
-    return F.lower(F.substring_index(bare, "/", 1)), F.regexp_replace(bare, "^[^/]*", "")
+    """host, path and rest of a URL column, without scheme."""
+    bare = F.regexp_replace(F.coalesce(url, F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    host = F.regexp_extract(bare, "^([^/?#]*)", 1)
+    path = F.regexp_extract(bare, "^[^/?#]*([^?#]*)", 1)
+    return F.lower(host), path, F.regexp_extract(bare, "^[^?#]*([?#].*)?$", 1)
+
+
+class Page:
+    """A page as its neighbours see it: hashes of its lines, letters of those that are wanted."""
+
+    __slots__ = ("key", "host", "hashes", "letters", "article", "raw")
+
+    def __init__(self, key, host, hashes: bytes, letters: bytes, article: bool):
+        self.key, self.host, self.article, self.raw = key, host, article, hashes
+        self.hashes, self.letters = np.frombuffer(hashes, np.uint64), np.frombuffer(letters, np.int32)
+
+    def shared_with(self, other: Page) -> np.ndarray | None:
+        """Which lines the other page has as well, or None if it is a copy of this one."""
+        shared = shared_lines(self.hashes, other.hashes)
+        left = int(self.letters[~shared].sum(dtype=np.int64))
+        return None if left <= (ARTICLE_COPY if self.article else COPY) * int(self.letters.sum(dtype=np.int64)) else shared
+
+
+def lines_to_drop(pages: list[Page], at: int) -> np.ndarray:
+    """Numbers of the wanted lines of a page that are the site's, from the pages around it."""
+    page = pages[at]
+    if not page.letters.any():
+        return np.empty(0, np.int64)
+    needed, met = EVIDENCE if page.article else 2, []
+    tried: dict[bytes, np.ndarray | None] = {}
+    for away in range(1, REACH + 1):
+        for k in (at - away, at + away):
+            if len(met) < needed and 0 <= k < len(pages) and pages[k].host == page.host:
+                other = pages[k]
+                if other.raw not in tried:
+                    tried[other.raw] = page.shared_with(other)
+                if tried[other.raw] is not None:
+                    met.append(tried[other.raw])
+        if len(met) == needed or page.article and met and not (np.logical_and.reduce(met) & (page.letters > 0)).any():
+            break
+    if not met or page.article and len(met) < needed:
+        return np.empty(0, np.int64)
+    shared = np.logical_and.reduce(met) if page.article else np.logical_or.reduce(met)
+    return np.flatnonzero(shared & (page.letters > 0))
+
+
+def _hashed(batches):
+    """Hashes of the lines of pages, and the letters of the wanted ones."""
+    for batch in batches:
+        hashes, letters, articles = [], [], []
+        for raw in batch.column("html"):
+            found = blocks(raw.as_py())
+            region = wanted_region(found)
+            hashes.append(b"".join(xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")).to_bytes(8, "little") for _, t in found))
+            letters.append(np.array([len(t) if r == region else 0 for r, t in found], np.int32).tobytes())
+            articles.append(region == ARTICLE)
+        more = [pa.array(hashes, pa.binary()), pa.array(letters, pa.binary()), pa.array(articles, pa.bool_())]
+        names = ["h1", "h2", "host", "path", "rest"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *more], [*names, "hashes", "letters", "article"])
+
+
+def _dropped(batches):
+    """h1, h2, gone of the pages that lose lines, from rows in order of group and rank."""
+    group, pages, own = None, [], []
+
+    def decided():
+        rows = [(p.key, lines_to_drop(pages, i)) for i, p in enumerate(pages) if own[i]]
+        rows = [(*key, gone) for key, gone in rows if len(gone)]
+        if rows:
+            h1, h2, gone = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(gone, pa.list_(pa.int64()))], ["h1", "h2", "gone"])
+
+    for batch in batches:
+        for one in batch.to_pylist():
+            if one["group"] != group:
+                yield from decided()
+                group, pages, own = one["group"], [], []
+            pages.append(Page((one["h1"], one["h2"]), one["host"], one["hashes"], one["letters"], one["article"]))
+            own.append(one["own"])
+    yield from decided()
+
+
+def _extracted(batches):
+    for batch in batches:
+        texts = [
+            main_text(blocks(raw.as_py()), gone.as_py() or ()) for raw, gone in zip(batch.column("html"), batch.column("gone"), strict=True)
+        ]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], ["id", "url", "text"])
+
+
+def site_lines(base: DataFrame) -> DataFrame:
+    """h1, h2, gone: of the pages (h1, h2, host, path, rest, html) that lose lines, which."""
+    read = staged(base.mapInArrow(_hashed, "h1 long, h2 long, host string, path string, rest string, hashes binary, letters binary, article boolean"), "lines")
+    order = ["host", "path", "rest", "h1", "h2"]
+    placed = read.repartitionByRange(shuffle_width(base.sparkSession), *order).sortWithinPartitions(*order)
+    # The number has the partition in its upper bits and the place in it in the lower 33.
+    placed = staged(placed.withColumn("number", F.monotonically_increasing_id()), "ordered")
+    placed = placed.withColumn("part", F.shiftright("number", 33)).withColumn("place", F.col("number").bitwiseAND(F.lit((1 << 33) - 1)))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    counts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    ranked = placed.join(F.broadcast(counts), "part").withColumn("rank", F.col("base") + F.col("place"))
+    group_of = lambda rank: F.floor(rank / GROUP)
+    around = F.sequence(group_of(F.col("rank") - REACH), group_of(F.col("rank") + REACH))
+    dealt = ranked.withColumn("group", F.explode(around)).withColumn("own", F.col("group") == group_of(F.col("rank")))
+    dealt = dealt.repartition(shuffle_width(base.sparkSession), "group").sortWithinPartitions("group", "rank")
+    found = dealt.select("group", "own", "h1", "h2", "host", "hashes", "letters", "article").mapInArrow(_dropped, "h1 long, h2 long, gone array<long>")
+    return staged(found.groupBy("h1", "h2").agg(F.min("gone").alias("gone")), "site_lines")
 
 
 def extract(pages: DataFrame, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
     """id, url, text: one row per page."""
-    host, path = place_of(F.col(url_col))
+    host, path, rest = place_of(F.col(url_col))
+    # A hash passes over nulls, so whether there is one is hashed as well.
+    row = [c for n in (id_col, url_col, html_col) for c in (F.col(n), F.col(n).isNull())]
     base = pages.select(
-        F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"), F.coalesce(html_col, F.lit("")).alias("html")
+        F.col(id_col).cast("long").alias("id"),
+        F.col(url_col).alias("url"),
+        host.alias("host"),
+        path.alias("path"),
+        rest.alias("rest"),
+        F.coalesce(html_col, F.lit("")).alias("html"),
+        F.xxhash64(F.lit(1), *row).alias("h1"),
+        F.xxhash64(F.lit(2), *row).alias("h2"),
     )
-    edge = min(EDGE, (GROUP - 1) // 2)
-    large = base.groupBy("host").count().where(f"count > {GROUP}").select("host")
-    rank = F.row_number().over(Window.partitionBy("host").orderBy("path", "id")) - 1
-    ranked = base.select("host", "path", "id").join(large, "host", "left_semi").withColumn("rank", rank)
-    # Of each cut: where the edge before it starts, the cut, and where the edge after it ends.
-    marks = ranked.where(f"rank % {GROUP} = {GROUP - edge} or rank >= {GROUP} and rank % {GROUP} in (0, {edge})")
-    cuts = marks.groupBy("host").agg(F.collect_list(F.struct("path", "id")).alias("cuts"))
-
-    def direct(batches):
-        """Texts of pages with an article: what is shared outside it goes with all else outside."""
-        for batch in batches:
-            rows = []
-            for page, url, raw in zip(*(batch.column(c) for c in ("id", "url", "html")), strict=True):
-                found = blocks(raw.as_py())
-                if has_article(found):
-                    rows.append((page.as_py(), url.as_py(), main_text(found, None)))
-            if rows:
-                yield _texts(rows)
-
-    def compared(batches):
-        """Hashes of the lines of every page; the lines themselves only where they may be wanted."""
-        for batch in batches:
-            found = [blocks(x.as_py()) for x in batch.column("html")]
-            open_ = [None if has_article(f) else f for f in found]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(c) for c in ("id", "url", "host", "path")),
-                    pa.array([None if f is None else [r for r, _ in f] for f in open_], pa.list_(pa.int32())),
-                    pa.array([None if f is None else [t for _, t in f] for f in open_], pa.list_(pa.string())),
-                    pa.array([[zlib.crc32(t.encode("utf-8", "surrogatepass")) - (1 << 31) for _, t in f] for f in found], pa.list_(pa.int32())),
-                ],
-                ["id", "url", "host", "path", "regions", "lines", "hashes"],
-            )
-
-    schema = "id long, url string, host string, path string, regions array<int>, lines array<string>, hashes array<int>"
-    read = base.mapInArrow(compared, schema)
-    passed = F.size(F.filter("cuts", lambda c: c <= F.struct("path", "id"))) + 1
-    placed = read.join(cuts, "host", "left").withColumn("passed", F.when(F.col("cuts").isNull(), 1).otherwise(passed)).drop("cuts")
-    shard = F.floor(F.col("passed") / 3).cast("int")
-    beside = F.when(F.col("passed") % 3 == 0, shard - 1).when(F.col("passed") % 3 == 2, shard + 1)
-    places = F.array_compact(F.array(shard, beside))
-    grouped = placed.select("*", F.posexplode(places).alias("copy", "shard")).withColumn("own", F.col("copy") == 0)
-
-    def differenced(batches):
-        """Rows in order of host, shard and path; a group is held at a time."""
-        group, held = None, []
-        for batch in batches:
-            for one in batch.to_pylist():
-                if held and (one["host"], one["shard"]) != group:
-                    yield from texts_of(held)
-                    held = []
-                group = one["host"], one["shard"]
-                held.append(one | {"hashes": np.array(one["hashes"], np.int64)})
-        if held:
-            yield from texts_of(held)
-
-    ordered = grouped.repartition("host", "shard").sortWithinPartitions("host", "shard", "path", "id")
-    texts = "id long, url string, text string"
-    others = ordered.select("id", "url", "host", "shard", "own", "regions", "lines", "hashes").mapInArrow(differenced, texts)
-    return base.select("id", "url", "html").mapInArrow(direct, texts).unionByName(others)
-
-
-def template_lines(page: dict, other: dict) -> np.ndarray | None:
-    """Lines of page that other shares, or None if other is a copy of it."""
-    shared = shared_lines(page["hashes"], other["hashes"])
-    own = np.array([len(t) if r == PLAIN else 0 for r, t in zip(page["regions"], page["lines"], strict=True)], np.int64)
-    return None if own[~shared].sum() <= COPY * own.sum() else shared
-
-
-def texts_of(pages: list[dict]):
-    """Texts of the pages without an article of a group in order of path: each meets the nearest
-    page on either side that is no copy of it, or the nearest two on one side."""
-    rows = []
-    for at, page in enumerate(pages):
-        if page["lines"] is None or not page["own"]:
-            continue
-        if PLAIN not in page["regions"]:
-            rows.append((page["id"], page["url"], ""))
-            continue
-        tried: dict[bytes, np.ndarray | None] = {}
-
-        def met(places):
-            for k in places:
-                key = pages[k]["hashes"].tobytes()
-                if key not in tried:
-                    tried[key] = template_lines(page, pages[k])
-                if tried[key] is not None:
-                    yield tried[key]
-
-        before, after = met(range(at - 1, -1, -1)), met(range(at + 1, len(pages)))
-        sides = [next(before, None), next(after, None)]
-        if sides[0] is None:
-            sides.append(next(after, None))
-        elif sides[1] is None:
-            sides.append(next(before, None))
-        shared = np.zeros(len(page["hashes"]), bool)
-        for side in sides:
-            shared |= False if side is None else side
-        rows.append((page["id"], page["url"], main_text(list(zip(page["regions"], page["lines"], strict=True)), shared)))
-    if rows:
-        yield _texts(rows)
-
-
-def _texts(rows) -> pa.RecordBatch:
-    ids, urls, texts = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string())], ["id", "url", "text"])
+    whole = base.select("id", "url", "html", "h1", "h2").join(site_lines(base), ["h1", "h2"], "left")
+    return whole.select("id", "url", "html", "gone").mapInArrow(_extracted, "id long, url string, text string")
 
 
 def op6(spark, sf_dir):

@@ -56,7 +56,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p><article
 
 
 def test_article_text():
-    assert html_text.main_text(html_text.blocks(PAGE), None) == "Title & more\nOne two.\nThree four <x>.\nitem a\nitem b"
+    assert html_text.main_text(html_text.blocks(PAGE)) == "Title & more\nOne two.\nThree four <x>.\nitem a\nitem b"
     assert html_text.blocks("") == [] and html_text.blocks("<p title=it's>x")[0][1] == "x"
     assert [t for _, t in html_text.blocks("a <b>b</b> c<br>d<p>e")] == ["a b c d", "e"]
 
@@ -84,14 +84,123 @@ def test_copies_without_article_keep_their_text(spark):
     assert {got[i] for i in range(9, 12)} == {"Welcome to the site\nOwn text 7.\nAll rights kept"}
 
 
-def test_large_hosts_are_cut_by_path(spark, monkeypatch):
+def page_texts(spark, rows):
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows)
+    return {r["id"]: r["text"] for r in got}
+
+
+def test_groups_do_not_change_the_result(spark, monkeypatch):
+    """Pages of a large host meet their neighbours across the cuts of groups and partitions."""
     shell = "<body><div>Section {0}</div><p>Own text {1}.</p></body>"
     rows = [(i, f"http://h.example/{i // 4:03}/{i:03}", shell.format(i // 4, i)) for i in range(80)]
-    whole = {i: f"Own text {i}." for i in range(80)}
+    # A host of one path with many queries, and articles with a notice that all of them carry.
+    shell = "<body><article><p>{}</p><p>Subscribe to us</p><p>The end.</p></article></body>"
+    own = {i: f"Own text {i}, of which there is more than of what pages share." for i in range(80, 160)}
+    rows += [(i, f"http://k.example/view?id={i}", shell.format(own[i])) for i in range(80, 160)]
+    whole = {i: f"Own text {i}." for i in range(80)} | own
     for group in (7, 16, 1000):
         monkeypatch.setattr(html_text, "GROUP", group)
-        got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-        assert len(got) == 80 and {r["id"]: r["text"] for r in got} == whole
+        assert page_texts(spark, rows) == whole
+
+
+def test_lines_inside_articles(spark):
+    """Only what all the pages around carry goes; what some articles share, and small hosts, stay."""
+    page = "<body><nav>menu {0}</nav><article><h1>Title {0}</h1><p>{1}</p><p>{2}</p><p>Like and share us</p></article></body>"
+    rows = [(i, f"http://h.example/{i:02}", page.format(i, "A saying." if i % 3 else "Another.", f"Text {i} of its own.")) for i in range(20)]
+    rows += [(30 + i, f"http://few.example/{i}", page.format(i, "Once.", f"Text {i} of its own.")) for i in range(3)]
+    got = page_texts(spark, rows)
+    for i in range(20):
+        assert got[i] == f"Title {i}\n{'A saying.' if i % 3 else 'Another.'}\nText {i} of its own."
+    for i in range(3):
+        assert got[30 + i] == f"Title {i}\nOnce.\nText {i} of its own.\nLike and share us"
+
+
+def brute_page_texts(rows, needed=html_text.EVIDENCE):
+    """The rules of differencing by plain loops: neighbours by a sort, subsequences by a table."""
+
+    def common(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, k in np.ndindex(len(a), len(b)):
+            best[i + 1][k + 1] = best[i][k] + 1 if a[i] == b[k] else max(best[i][k + 1], best[i + 1][k])
+        i, k, out = len(a), len(b), set()
+        while i and k:
+            if a[i - 1] == b[k - 1]:
+                i, k = i - 1, k - 1
+                out.add(i)
+            elif best[i - 1][k] >= best[i][k - 1]:
+                i -= 1
+            else:
+                k -= 1
+        return out
+
+    pages, out = [], {}
+    for page, url, raw in rows:
+        host, _, rest = url.split("://")[1].partition("/")
+        pages.append((host, rest.split("?")[0], rest, page, html_text.blocks(raw)))
+    pages.sort(key=lambda p: p[:3])
+    for at, (host, _, _, page, found) in enumerate(pages):
+        article = any(r == html_text.ARTICLE for r, _ in found)
+        mine = {i: t for i, (r, t) in enumerate(found) if r == (html_text.ARTICLE if article else html_text.PLAIN)}
+        total, met = sum(map(len, mine.values())), []
+        for away in range(1, len(pages)):
+            for k in (at - away, at + away):
+                if 0 <= k < len(pages) and pages[k][0] == host and len(met) < (needed if article else 2):
+                    shared = common([t for _, t in found], [t for _, t in pages[k][4]])
+                    left = sum(len(t) for i, t in mine.items() if i not in shared)
+                    if left > (0.5 if article else 0.05) * total:
+                        met.append(shared)
+        gone = set()
+        if met and (not article or len(met) == needed):
+            gone = set.intersection(*met) if article else set.union(*met)
+        out[page] = "\n".join(t for i, t in mine.items() if i not in gone)
+    return out
+
+
+def test_differencing_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "GROUP", 5)
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        own = [f"Line {rng.randrange(10**6)} of text." for _ in range(rng.randrange(1, 6))]
+        body = [f"Site {i // 20}", "Read more", *own, *(["A saying of many."] if rng.random() < 0.5 else []), "Kept for you"]
+        inner = "".join(f"<p>{x}</p>" for x in body)
+        rows.append((i, f"https://{'abc'[i // 20]}.example/{rng.randrange(40):02}?n={i:02}", f"<nav>menu</nav><article>{inner}</article>" if i % 4 else inner))
+    rows += [(60 + i, f"{url}&again=1", raw) for i, (_, url, raw) in enumerate(rows[:12])]
+    assert page_texts(spark, rows) == brute_page_texts(rows)
+
+
+def test_attributes_and_names_inside_articles():
+    text = lambda x: html_text.main_text(html_text.blocks(x))
+    assert text("<article><p title=it's>one two</p><p>it's three</p><p>four</p>") == "one two\nit's three\nfour"
+    assert text("<article><p data-x='a>b' title=\"c>d\">one</p><p>two") == "one\ntwo"
+    for name in ("class='more-text'", "class='legal'", "id='share-of-the-market'", "class='header-note'", "class='comment-free zone'"):
+        assert text(f"<article><p>a</p><div {name}>b</div></article>") == "a\nb", name
+    for name in ("class='ad'", "class='x share-buttons'", "id=comments", "class='commentList'", "class='cookie-notice'", "class='related-posts'", "role=navigation"):
+        assert text(f"<article><p>a</p><div {name}>b</div></article>") == "a", name
+
+
+def test_long_and_empty_pages(spark):
+    """Thousands of lines in another order take moments and little memory; a long page loses nothing."""
+    import tracemalloc
+
+    lines = [f"line {i}" for i in range(4000)]
+    mixed = lines[:]
+    random.Random(1).shuffle(mixed)
+    a, b = (np.array([hash(x) & (2**62 - 1) for x in y], np.uint64) for y in (lines, mixed))
+    tracemalloc.start()
+    assert 80 < html_text.shared_lines(a, b).sum() < 140
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+    long = "<article>" + "".join(f"<p>{x}</p>" for x in lines * 10) + "</article>"
+    rows = [(1, "http://h/1", long), (1, "http://h/1", long), (2, "http://h/2", ""), (3, "http://h/3", None), (None, None, "<p>x"), (4, "http://h/4", "<p")]
+    got = page_texts(spark, rows)
+    assert got == {1: "\n".join(lines * 10), 2: "", 3: "", None: "x", 4: ""}
+
+
+def test_halved_tables_give_longest_subsequences(monkeypatch):
+    monkeypatch.setattr(html_text, "TABLE_BITS", 12)
+    test_common_subsequence()
 
 
 @pytest.mark.parametrize("width", [3, 12])
