@@ -3,14 +3,20 @@
 A word is a match of the split pattern. Its bytes are rows (word, position, token); a recursive
 query joins neighbouring tokens with the merge table (left, right -> merged, whose id is its rank)
 and contracts the pair of least rank of each word, the leftmost first, until no pair merges. A
-word that is itself a token is that token. In words of over LONG bytes all non-overlapping places
-of the least pair are contracted at once where that provably changes nothing: unless some merge
-that takes the new token has a lower rank still (the merge table says which). Decoding is an ordered aggregation of
-the tokens' bytes.
+word that is itself a token is that token.
 
-Words repeat, so a process keeps the ids of pieces it has met (up to a bound) and asks DuckDB for
-the new ones of a batch in blocks; a text's ids are those of its pieces in a row, since the
-pattern never looks across the cut between pieces.
+Words of over LONG bytes go by another query to the same result. Its recursion is keyed by word and
+position, so only live tokens are held (the other keeps its generations, fewer than LONG, and is
+twice as fast). It contracts many places in a step: every pair that no pair of lower rank stands near. A token has a bounded length, so what is further than a few of these away cannot reach the
+pair before its turn, and the result is that of one contraction at a time. Of pairs of equal rank
+that overlap (as in "aaa") each second one of the run contracts, from its left end; where a merge
+may be followed at once by one of a lower rank, only the first such pair nearby does. Steps then
+follow the length of tokens, not of the word. Decoding is an ordered aggregation of the bytes of a
+document's ids.
+
+Words repeat, so a process keeps the ids of pieces it has met (up to a bound in bytes) and asks
+DuckDB for the new ones of a batch in blocks; a text's ids are those of its pieces in a row, since
+the pattern never looks across the cut between pieces. DuckDB may not write to disk.
 
 Defined results: null text counts as empty and has no ids; special tokens are ordinary text; rows
 that repeat an id are encoded each; an empty table gives no rows; other columns are ignored.
@@ -27,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from golode.llm.common import table, text_or_empty
+from golode.llm.common import portions, table, text_or_empty
 from golode.llm.encoding import byte_pieces
 
-#: Pieces and words of a generation that a process keeps, and bytes of words of a DuckDB query.
-KEPT = 400_000
+#: Bytes of pieces, and of words, of a generation that a process keeps, and bytes of words of a query.
+KEPT = 64 << 20
 BLOCK_BYTES = 250_000
 LONG = 64
+#: Ids of a decoding query.
+BLOCK_IDS = 500_000
 
 #: The pair of least rank, leftmost first, of each word, packed as rank, position, next position.
 ONE_BY_ONE = """
@@ -55,34 +63,39 @@ FROM step s JOIN (SELECT word, max(depth) AS last FROM step GROUP BY word) e ON
 GROUP BY s.word
 """
 
-#: The same for long words: all non-overlapping places of the least pair at once where that is safe.
-ALL_AT_ONCE = """
-WITH RECURSIVE step(word, pos, tok, depth) AS (
-    SELECT word, pos, tok, 0 FROM start
-  UNION ALL
+#: All places at once that nothing near comes before; {near} is three times the longest token.
+MANY_AT_ONCE = """
+WITH RECURSIVE step(word, pos, tok) USING KEY (word, pos) AS (
+    SELECT word, pos, tok FROM start
+  UNION
     (WITH pairs AS (
-        SELECT word, pos, tok, depth, lead(tok) OVER w AS nxt FROM step WINDOW w AS (PARTITION BY word ORDER BY pos)
+        SELECT word, pos, tok, lag(tok) OVER w AS prv, lead(tok) OVER w AS nxt, lead(tok, 2) OVER w AS nxt2, row_number() OVER w AS nth
+        FROM recurring.step WHERE tok >= 0 AND word IN (SELECT word FROM step)
+        WINDOW w AS (PARTITION BY word ORDER BY pos)
      ), ranked AS (
-        SELECT p.*, m.merged, m.alone FROM pairs p LEFT JOIN merges m ON m.l = p.tok AND m.r = p.nxt
-     ), least AS (
-        SELECT *, min(merged) OVER (PARTITION BY word) AS best FROM ranked
-     ), placed AS (
-        SELECT *, merged = best AS hit,
-               row_number() OVER (PARTITION BY word ORDER BY pos) AS nth,
-               count(*) FILTER (WHERE merged = best) OVER (PARTITION BY word ORDER BY pos) AS hits
-        FROM least WHERE best IS NOT NULL
-     ), grouped AS (
-        -- Hits in a row overlap (as in "aaa"): of each such run every second place contracts.
-        SELECT *, CASE WHEN hit THEN (hits - first_value(hits) OVER (PARTITION BY word, hit, nth - hits ORDER BY pos)) % 2 = 0
-                             AND (NOT alone OR hits = 1) ELSE false END AS cut
-        FROM placed
+        SELECT p.*, m.merged, coalesce(m.alone, false) AS may FROM pairs p LEFT JOIN merges m ON m.l = p.tok AND m.r = p.nxt
+     ), beside AS (
+        -- alone: a merge of the new token with what is beside it may come next, before others of its rank.
+        SELECT word, pos, nth, merged, merged IS DISTINCT FROM lag(merged) OVER w AS new,
+               may AND (lag(merged) OVER w IS NOT DISTINCT FROM merged OR lag(merged, 2) OVER w IS NOT DISTINCT FROM merged
+                        OR EXISTS (FROM merges a WHERE a.l = r.merged AND a.r = r.nxt2 AND a.merged < r.merged)
+                        OR EXISTS (FROM merges a WHERE a.l = r.prv AND a.r = r.merged AND a.merged < r.merged)) AS alone
+        FROM ranked r WINDOW w AS (PARTITION BY word ORDER BY pos)
+     ), hits AS (
+        SELECT *, coalesce(merged = min(merged) OVER (PARTITION BY word ORDER BY pos RANGE BETWEEN {near} PRECEDING AND {near} FOLLOWING), false) AS hit
+        FROM beside
+     ), runs AS (
+        SELECT *, max(CASE WHEN new THEN nth END) OVER w AS began, coalesce(max(CASE WHEN NOT hit THEN nth END) OVER w, 0) AS missed,
+               alone AND coalesce(bool_or(hit) OVER (PARTITION BY word ORDER BY pos RANGE BETWEEN {near} PRECEDING AND 1 PRECEDING), false) AS late
+        FROM hits WINDOW w AS (PARTITION BY word ORDER BY pos ROWS UNBOUNDED PRECEDING)
+     ), cuts AS (
+        SELECT word, pos, merged, hit AND (nth - began) % 2 = 0 AND missed < began AND NOT late AS cut FROM runs
      ), joined AS (
-        SELECT *, coalesce(lag(cut) OVER (PARTITION BY word ORDER BY pos), false) AS gone FROM grouped
+        SELECT *, coalesce(lag(cut) OVER (PARTITION BY word ORDER BY pos), false) AS gone FROM cuts
      )
-     SELECT word, pos, CASE WHEN cut THEN merged ELSE tok END, depth + 1 FROM joined WHERE NOT gone)
+     SELECT word, pos, CASE WHEN cut THEN merged ELSE -1 END FROM joined WHERE cut OR gone)
 )
-SELECT word, list(tok ORDER BY pos) AS toks
-FROM (SELECT *, max(depth) OVER (PARTITION BY word) AS last FROM step) WHERE depth = last GROUP BY word
+SELECT word, list(tok ORDER BY pos) AS toks FROM step WHERE tok >= 0 GROUP BY word
 """
 
 DECODE = """
@@ -91,11 +104,11 @@ SELECT word, string_agg(t.hexed, '' ORDER BY pos) AS hexed FROM coded JOIN token
 
 
 class Kept:
-    """Values by key in two generations: what is added or met again is in the young one; once that
-    has over ``most`` keys it becomes the old one, and the old one is forgotten."""
+    """Ids by key in two generations: what is added or met again is in the young one; once that
+    holds over ``most`` bytes it becomes the old one, and the old one is forgotten."""
 
     def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
+        self.most, self.size, self.young, self.old = most, 0, {}, {}
 
     def known(self, keys: set) -> dict:
         """Those of the keys that are kept."""
@@ -106,9 +119,10 @@ class Kept:
         return found | again
 
     def add(self, found: dict) -> None:
-        if len(self.young) > self.most:
-            self.young, self.old = {}, self.young
+        if self.size > self.most:
+            self.young, self.old, self.size = {}, self.young, 0
         self.young.update(found)
+        self.size += sum(200 + len(k) + len(ids) for k, ids in found.items())
 
 
 class Codec:
@@ -121,7 +135,7 @@ class Codec:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.pattern = regex.compile(pattern)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": False, "temp_directory": ""})
         ids = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hexed": [t.hex() for t in self.ranks]})
         self.db.execute("CREATE TABLE tokens AS SELECT * FROM ids")
         found = [
@@ -139,6 +153,7 @@ class Codec:
             "GROUP BY tok) t ON t.tok = p.merged"
         )
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        self.many_at_once = MANY_AT_ONCE.format(near=3 * max(map(len, self.ranks)))
         self.words, self.pieces = Kept(KEPT), Kept(KEPT)
 
     def contract(self, words: list[bytes]) -> list[bytes]:
@@ -154,7 +169,7 @@ class Codec:
                     hi += 1
                 block = [words[i] for i in at[lo:hi]]
                 tokens = self.single[np.frombuffer(b"".join(block), np.uint8)]
-                found = self._ask(ALL_AT_ONCE if long else ONE_BY_ONE, "start", [len(w) for w in block], tokens)
+                found = self._ask(self.many_at_once if long else ONE_BY_ONE, "start", [len(w) for w in block], tokens)
                 lists = found.column(1).combine_chunks()
                 ends = (lists.offsets.to_numpy().astype(np.int64) * 4).tolist()
                 raw = lists.values.to_numpy().astype("<u4").tobytes()
@@ -174,17 +189,22 @@ class Codec:
         return found
 
     def expand(self, coded: list[bytes]) -> list[bytes]:
-        """The bytes that ids stand for."""
+        """The bytes that lists of ids stand for."""
         out: list[bytes] = []
-        for lo in range(0, len(coded), 50_000):
-            block = coded[lo : lo + 50_000]
+        while len(out) < len(coded):
+            lo = hi = len(out)
+            size = 0
+            while hi < len(coded) and (hi == lo or size + (len(coded[hi]) >> 2) <= BLOCK_IDS):
+                size += len(coded[hi]) >> 2
+                hi += 1
+            block = coded[lo:hi]
             found = self._ask(DECODE, "coded", [len(x) >> 2 for x in block], np.frombuffer(b"".join(block), "<i4"))
             got = dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
-            out += [bytes.fromhex(got.get(i, "")) for i in range(len(block))]
+            out += [bytes.fromhex(got.get(i) or "") for i in range(len(block))]
         return out
 
-    def learn(self, pieces: set[str]) -> dict[str, tuple[bytes, bytes]]:
-        """The ids, and the bytes they decode to, of pieces, which are kept."""
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of pieces, which are kept."""
         cut = {p: self.pattern.findall(p) for p in pieces}
         wanted = {w for ws in cut.values() for w in ws}
         known = self.words.known(wanted)
@@ -192,32 +212,21 @@ class Codec:
         raw = [w.encode("utf-8", "surrogatepass") for w in new]
         whole = [self.ranks.get(w) for w in raw]
         rest = iter(self.contract([w for w, t in zip(raw, whole, strict=True) if t is None]))
-        ids = [t.to_bytes(4, "little") if t is not None else next(rest) for t in whole]
-        learnt = dict(zip(new, zip(ids, self.expand(ids), strict=True), strict=True))
+        learnt = {w: t.to_bytes(4, "little") if t is not None else next(rest) for w, t in zip(new, whole, strict=True)}
         self.words.add(learnt)
         known |= learnt
-        found = {}
-        for piece, ws in cut.items():
-            if len(ws) == 1:
-                found[piece] = known[ws[0]]
-            else:
-                parts = [known[w] for w in ws]
-                found[piece] = (b"".join([f[0] for f in parts]), b"".join([f[1] for f in parts]))
+        found = {piece: b"".join([known[w] for w in ws]) for piece, ws in cut.items()}
         self.pieces.add(found)
         return found
 
-    def encode_all(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """Of each text its ids, as little-endian unsigned 32-bit, and the bytes they decode to."""
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit."""
         cut = [byte_pieces(t) for t in texts]
         wanted = {p for ps in cut for p in ps}
         known = self.pieces.known(wanted)
         if len(known) < len(wanted):
             known |= self.learn(wanted - known.keys())
-        out = []
-        for ps in cut:
-            found = [known[p] for p in ps]
-            out.append((b"".join([f[0] for f in found]), b"".join([f[1] for f in found])))
-        return out
+        return [b"".join(map(known.__getitem__, ps)) for ps in cut]
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -230,18 +239,6 @@ def codec(name: str, pattern: str) -> Codec:
     return _CODECS[key]
 
 
-def _portions(texts, most: int = 3_000_000):
-    held, size = [], 0
-    for text in texts:
-        held.append(text)
-        size += len(text)
-        if size >= most:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
 def encode(docs: DataFrame, name: str, pattern: str = public_tokenizers.PATTERN, id_col="doc_id", text_col="text") -> DataFrame:
     """id, ids: the ids of every whole text."""
 
@@ -249,8 +246,8 @@ def encode(docs: DataFrame, name: str, pattern: str = public_tokenizers.PATTERN,
         known = codec(name, pattern)
         for batch in batches:
             at = 0
-            for texts in _portions(t.as_py() for t in batch.column(1)):
-                ids = [memoryview(x).cast("I").tolist() for x, _ in known.encode_all(texts)]
+            for texts in portions(t.as_py() for t in batch.column(1)):
+                ids = [memoryview(x).cast("I").tolist() for x in known.encode_all(texts)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(ids)), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
                 at += len(ids)
 
@@ -272,14 +269,15 @@ def decode(coded: DataFrame, name: str, pattern: str = public_tokenizers.PATTERN
 
 
 def digests(docs: DataFrame, name: str, pattern: str = public_tokenizers.PATTERN, id_col="doc_id", text_col="text") -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256, encoded and decoded in one pass."""
+    """id, n_tokens, ids_sha256, decoded_sha256: encoded, and the ids decoded, in one pass."""
 
     def run(batches):
         known = codec(name, pattern)
         for batch in batches:
             rows = []
-            for texts in _portions(t.as_py() for t in batch.column(1)):
-                for ids, back in known.encode_all(texts):
+            for texts in portions(t.as_py() for t in batch.column(1)):
+                coded = known.encode_all(texts)
+                for ids, back in zip(coded, known.expand(coded), strict=True):
                     rows.append((len(ids) >> 2, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()))
             if rows:
                 yield pa.RecordBatch.from_arrays(

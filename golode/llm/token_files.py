@@ -1,13 +1,14 @@
 """Token ids in ORC: integer run-length encoding, row indexes and Bloom filters on document ids.
 
-A document is a row (doc_id, n_tokens, ids); rows are in ascending id order over the files, whose
-names sort in the same order. ORC's version-2 integer run-length encoding packs the ids; each
+A document is a row (doc_id, n_tokens, row, ids); rows are in ascending id order over the files (nulls
+first), one file for each partition, and ``row`` numbers those of a file. ORC's version-2 integer run-length encoding packs the ids; each
 stripe has a row index (minimum, maximum) and a Bloom filter on doc_id, so that a lookup by id
 skips stripes and row groups, and stripes are read in parallel. Where a document's ids start among
 all ids follows from sums over the n_tokens column alone: of files first, then within a file.
 
 Defined results: null text is empty, so it has the end id alone; an empty table writes no rows;
-rows that repeat an id are written each, one after another; other columns are ignored.
+rows that repeat an id are written each, one after another, and ``start`` follows that order; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,19 +26,22 @@ from golode.llm.encoding import encoder
 END_ID = 2
 STRIPE_BYTES = 64 << 20
 INDEX_STRIDE = 1000
-FILE_SCHEMA = "doc_id long, n_tokens long, ids array<int>"
+FILE_SCHEMA = "doc_id long, n_tokens long, row long, ids array<int>"
 
 
 def tokenised(docs: DataFrame, encode_name: str, end_id: int = END_ID, id_col="doc_id", text_col="text") -> DataFrame:
     def run(batches):
         enc = encoder(encode_name)
         end = end_id.to_bytes(4, "little")
+        written = 0
         for batch in batches:
             held = [enc.encode(t.as_py()) + end for t in batch.column(1)]
             sizes = np.array([len(x) >> 2 for x in held], np.int64)
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(held), "<i4")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), ids], ["doc_id", "n_tokens", "ids"])
+            numbers = pa.array(np.arange(written, written + len(held), dtype=np.int64))
+            written += len(held)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), numbers, ids], ["doc_id", "n_tokens", "row", "ids"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     ordered = slim.repartitionByRange(shuffle_width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
@@ -69,7 +73,7 @@ def lookup(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
 def file_starts(rows: DataFrame) -> DataFrame:
     """file, base: ids in all files before it. One row per file, from the n_tokens column alone."""
     sums = rows.groupBy("file").agg(F.sum("n_tokens").alias("held"), F.min("doc_id").alias("first"))
-    before = Window.orderBy("first", "file").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(F.col("first").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)
     return sums.select("file", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"))
 
 
@@ -84,12 +88,12 @@ def starts(rows: DataFrame) -> DataFrame:
             values = lists.values.to_numpy().astype("<u4", copy=False)
             crcs = [zlib.crc32(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("file"), pa.array(np.diff(bounds), pa.int64()), pa.array(crcs, pa.int64())],
-                ["doc_id", "file", "n_tokens", "ids_crc32"],
+                [*(batch.column(c) for c in ("doc_id", "file", "row")), pa.array(np.diff(bounds), pa.int64()), pa.array(crcs, pa.int64())],
+                ["doc_id", "file", "row", "n_tokens", "ids_crc32"],
             )
 
-    narrow = rows.select("doc_id", "file", "ids").mapInArrow(digests, "doc_id long, file string, n_tokens long, ids_crc32 long")
-    before = Window.partitionBy("file").orderBy("doc_id", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    narrow = rows.select("doc_id", "file", "row", "ids").mapInArrow(digests, "doc_id long, file string, row long, n_tokens long, ids_crc32 long")
+    before = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     within = narrow.withColumn("within", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
     placed = within.join(file_starts(rows), "file")
     return placed.select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")

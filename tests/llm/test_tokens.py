@@ -1,6 +1,10 @@
 import base64
+import hashlib
 import random
+import time
 import zlib
+from array import array
+from collections import Counter
 
 import public_tokenizers
 import pytest
@@ -8,7 +12,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from golode.llm import bpe, packing, token_files
-from golode.llm.common import scratch
+from golode.llm.common import scratch, table
 from golode.llm.encoding import encoder
 
 TEXTS = [
@@ -94,13 +98,148 @@ def test_token_files(spark):
     assert found.count() == 1 and "doc_id" in found._jdf.queryExecution().executedPlan().toString()
 
 
+def reference_encoding():
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def sha(raw):
+    return hashlib.sha256(raw).hexdigest()
+
+
+def test_long_words_equal_tiktoken():
+    """One word of thousands of letters: random, of one letter, in periods; in time that follows its length."""
+    library, codec = reference_encoding(), bpe.codec("byte_bpe_multi_50k.tiktoken", public_tokenizers.PATTERN)
+    random.seed(9)
+    mixed = lambda letters, n: "".join(random.choice(letters) for _ in range(n))
+    words = [mixed("ab", 700), mixed("aeé", 900), "ab" * 3000, "abcab" * 1500, "é" * 4000, "=" * 3000, mixed("nrst", 2000)]
+    words += [mixed("abcdefghijklmnopqrstuvwxyz", n) for n in (65, 66, 130, 1000)]
+    for word, ids in zip(words, codec.encode_all(words), strict=True):
+        assert memoryview(ids).cast("I").tolist() == library.encode_ordinary(word), word[:20]
+    long = mixed("abcdefghijklmnopqrstuvwxyz", 20_000)
+    began = time.process_time()
+    (ids,) = codec.encode_all([long])
+    assert time.process_time() - began < 20
+    assert memoryview(ids).cast("I").tolist() == library.encode_ordinary(long)
+
+
+def test_op3_equals_tiktoken(spark, tmp_path):
+    """The query as it is registered, with nulls, repeated rows and columns of its own names."""
+    library = reference_encoding()
+    docs = docs_of(spark, TEXTS).selectExpr("*", "4 as n_tokens", "5 as ids_sha256")
+    docs.unionByName(docs.where("doc_id > 3")).unionByName(docs.limit(1).selectExpr("cast(null as long) as doc_id", "'x y' as text", "id", "start", "ids", "n_tokens", "ids_sha256")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter(tuple(r) for r in bpe.op3(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())
+    want: Counter = Counter()
+    for doc, text in [*enumerate(TEXTS), (None, "x y")]:
+        ids = library.encode_ordinary(text or "")
+        want[doc, len(ids), sha(array("I", ids).tobytes()), sha((text or "").encode())] += 2 if doc is not None and doc > 3 else 1
+    assert got == want
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def whole_documents(spark):
+    return [(r["doc_id"], r["text"] or "") for r in table(spark, SF, "documents").select("doc_id", "text").collect()]
+
+
+def test_op3_over_the_whole_table(spark):
+    library = reference_encoding()
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.op3(spark, SF).collect()}
+    want = {}
+    for doc, text in whole_documents(spark):
+        ids = library.encode_ordinary(text)
+        want[doc] = len(ids), sha(array("I", ids).tobytes()), sha(text.encode())
+    assert got == want
+
+
+def library_ids(name, text, end):
+    library = Tokenizer.from_file(public_tokenizers.path(name))
+    library.encode_special_tokens = True
+    return array("I", [*library.encode(text, add_special_tokens=False).ids, end]).tobytes()
+
+
+def test_op4_over_the_whole_table(spark):
+    got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_files.op4(spark, SF).collect()}
+    at, want = 0, {}
+    for doc, text in sorted(whole_documents(spark)):
+        ids = library_ids("byte_bpe_50k.json", text, 2)
+        want[doc] = at, len(ids) // 4, zlib.crc32(ids)
+        at += len(ids) // 4
+    assert got == want
+
+
+def test_op1_over_the_whole_table(spark):
+    rows = packing.op1(spark, SF).collect()
+    pieces: dict = {}
+    for r in rows:
+        pieces.setdefault(r["doc_id"], []).append(r)
+    texts = dict(whole_documents(spark))
+    assert pieces.keys() == texts.keys()
+    for doc, text in texts.items():
+        ids, at = library_ids("word_bpe_49k.json", text, 1), 0
+        for r in sorted(pieces[doc], key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids) // 4 and r["ids_crc32"] == zlib.crc32(ids[4 * at : 4 * (at + r["length"])])
+            at += r["length"]
+        assert at == len(ids) // 4
+
+
+def test_repeated_ids_keep_the_order_of_the_file(spark):
+    """Each row is packed and written by itself; starts follow the rows of the files."""
+    texts = ["b " * 9, "a", "c d e f", "x y", "q " * 5, "", "a"]
+    df = spark.createDataFrame([(None if i == 6 else i // 5, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert packing.pack(df, "word_bpe_49k.json").selectExpr("sum(length)").first()[0] == sum(len(library_ids("word_bpe_49k.json", t, 1)) // 4 for t in texts)
+    path = scratch(spark, "tokens")
+    token_files.write(token_files.tokenised(df, "byte_bpe_50k.json"), path)
+    kept = [(r["file"], r["row"], r["doc_id"], list(r["ids"])) for r in token_files.read(spark, path).collect()]
+    kept.sort(key=lambda r: (r[2] is not None, r[2] or 0, r[0], r[1]))
+    at, want = 0, []
+    for _, _, doc, ids in kept:
+        want.append((doc, at, len(ids), zlib.crc32(array("I", ids).tobytes())))
+        at += len(ids)
+    got = [tuple(r) for r in token_files.starts(token_files.read(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32").collect()]
+    assert sorted(got, key=lambda r: r[1]) == want and len(want) == len(texts)
+
+
+def test_lookups_skip_stripes(spark, tmp_path):
+    """The file itself has run-length encoded ids, a row index and a Bloom filter on doc_id."""
+    path = f"{tmp_path}/tokens"
+    token_files.write(token_files.tokenised(spark.range(5000).selectExpr("id AS doc_id", "concat('w ', id) AS text"), "byte_bpe_50k.json"), path)
+    found = token_files.lookup(spark, path, [7, 4999])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 2 and "PushedFilters: [In(doc_id" in plan
+    from pyarrow import orc
+
+    kinds = [orc.ORCFile(str(f)) for f in (tmp_path / "tokens").glob("part-*.orc")]
+    assert sum(f.nrows for f in kinds) == 5000 and all(f.compression == "ZSTD" and f.row_index_stride == 1000 for f in kinds)
+
+
+def test_step_groups_are_level():
+    """Groups of a tier have about the same attention cost, and each has GROUP sequences but the last."""
+    rng = random.Random(3)
+    groups, held = packing.StepGroups(0), {}
+    dealt = []
+    for _ in range(400):
+        cuts = sorted(rng.sample(range(1, 2048), rng.randrange(1, 9)))
+        seq = [bytes(b - a) for a, b in zip([0, *cuts], [*cuts, 2048], strict=True)]
+        dealt += groups.add(2048, seq)
+    for _, seq, group in [*dealt, *groups.rest()]:
+        held.setdefault(group, []).append(sum(len(p) ** 2 for p in seq))
+    assert sum(map(len, held.values())) == 400 and {len(v) for v in held.values()} == {packing.GROUP}
+    single = [c for v in held.values() for c in v]
+    pairs = sorted(held)
+    for a, b in zip(pairs[::2], pairs[1::2], strict=True):
+        assert abs(sum(held[a]) - sum(held[b])) <= max(single)
+
+
 def test_bpe_equals_tiktoken(spark):
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
-    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    library = reference_encoding()
     random.seed(4)
     texts = [t or "" for t in TEXTS] + ["".join(random.choice("abcdé ") for _ in range(150)) for _ in range(20)] + ["".join(random.choice("ab") for _ in range(200))]
     codec = bpe.codec("byte_bpe_multi_50k.tiktoken", public_tokenizers.PATTERN)
-    for text, (ids, back) in zip(texts, codec.encode_all(texts), strict=True):
+    coded = codec.encode_all(texts)
+    for text, ids, back in zip(texts, coded, codec.expand(coded), strict=True):
         assert memoryview(ids).cast("I").tolist() == library.encode_ordinary(text), text
         assert back == text.encode()
     coded = bpe.encode(docs_of(spark, texts), "byte_bpe_multi_50k.tiktoken")
