@@ -60,7 +60,7 @@ SHORT_ELLS = 3
 WINDOW = 64
 #: Rows of a cell of a large bucket, and words of one.
 BLOCK = 8000
-CELL_WORDS = 2_000_000
+CELL_WORDS = 250_000
 #: The fewest bits that stand for a text's words.
 BITS = 512
 _MIX = np.random.default_rng(20240229).integers(1, 2**63, SAMPLES, dtype=np.int64).astype(np.uint64) | np.uint64(1)
