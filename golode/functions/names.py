@@ -7,7 +7,7 @@ versions for names nested deeper.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -85,7 +85,11 @@ def is_method(name: Column, flags: Column) -> Column:
 
 def receiver(name: Column, flags: Column) -> Column:
     """name, pointer, generic_args of a method's receiver; null for others."""
-    text = receiver_text(name, flags)
+    return receiver_of(receiver_text(name, flags))
+
+
+def receiver_of(text: Column) -> Column:
+    """The same of the receiver's text."""
     inner = F.when(text.startswith("(") & text.endswith(")"), F.expr("null")).otherwise(text)
     inner = F.coalesce(inner, F.regexp_extract(text, r"(?s)^\((.*)\)\z", 1))
     plain = F.regexp_replace(inner, r"^\*", "")
@@ -97,6 +101,24 @@ def receiver(name: Column, flags: Column) -> Column:
     return F.when(text.isNotNull(), spec)
 
 
+def with_method(df: DataFrame, name: str = "name", flags: str = "flags") -> DataFrame:
+    """df with is_method, receiver and method_name, every name being matched once: the parts of a
+    name are extracted together, and what stands in them is looked at afterwards."""
+    n, f = F.col(name), F.col(flags)
+    short = F.coalesce(F.regexp_extract(n, PACKAGE, 2), F.lit(""))
+    short = F.when(short != "", short).otherwise(F.when(n.rlike(PACKAGE), "").otherwise(n))
+    text = F.when(~is_closure(n, f), short)
+    bracketed = text.startswith("(")
+    # An empty match is no method: both parts of one have at least a letter.
+    cut = F.when(bracketed, F.regexp_replace(text, IN_PARENS, "$1\u0000$2")).otherwise(F.regexp_replace(text, BARE, "$1\u0000$2"))
+    parts = F.when(cut != text, F.split(cut, "\u0000", 2))
+    found = df.withColumn("method_parts", parts)
+    recv = F.get("method_parts", F.lit(0))
+    return found.withColumns(
+        {"is_method": F.col("method_parts").isNotNull(), "receiver": receiver_of(recv), "method_name": F.get("method_parts", F.lit(1))}
+    ).drop("method_parts")
+
+
 def generic_args(name: Column) -> Column:
     """The last bracketed part at depth 0 of the short name."""
     found = F.regexp_extract_all(short_name(name), F.lit(f"({_BRACKETS})"), F.lit(1))
@@ -207,10 +229,9 @@ def _last_top_level(short: str | None) -> str | None:
 def derived(df, name="name", flags="flags", func_id="func_id", deferreturn="deferreturn"):
     """df with every derived column of a function row."""
     n, f, i = F.col(name), F.col(flags), F.col(func_id)
-    return df.withColumns(
+    return with_method(df, name, flags).withColumns(
         {
-            "package": package(n), "short_name": short_name(n), "is_method": is_method(n, f), "receiver": receiver(n, f),
-            "method_name": method_name(n, f), "generic_args": generic_args(n), "is_closure": is_closure(n, f), "is_runtime": is_runtime(n),
+            "package": package(n), "short_name": short_name(n), "generic_args": generic_args(n), "is_closure": is_closure(n, f), "is_runtime": is_runtime(n),
             "is_internal": is_internal(n), "is_stdlib": is_stdlib(n), "uses_defer": F.col(deferreturn) != 0, "is_top_frame": is_top_frame(f),
             "is_sp_write": is_sp_write(f), "is_asm": is_asm(f), "is_systemstack": is_systemstack(i), "func_id_name": func_id_name(i),
         }

@@ -59,11 +59,12 @@ def type_only_packages(code: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def tier_breaks(found: DataFrame) -> DataFrame:
-    """Packages in report order with a mark where the tier changes."""
-    order = Window.partitionBy(F.lit(0)).orderBy("tier_rank", "package")
-    ranked = found.withColumn("tier_rank", names.tier_rank(F.col("package")))
-    before = F.lag("tier_rank").over(order)
-    return ranked.withColumn("starts_tier", before.isNull() | (before != F.col("tier_rank"))).drop("tier_rank")
+    """Packages (each once) with a mark where, in report order, the tier changes: at the first
+    package of each of the three tiers."""
+    tier = names.tier_rank(F.col("package"))
+    firsts = found.groupBy(tier.alias("tier_rank")).agg(F.min("package").alias("first_package"))
+    ranked = found.withColumn("tier_rank", tier).join(F.broadcast(firsts), "tier_rank")
+    return ranked.withColumn("starts_tier", F.col("package") == F.col("first_package")).drop("tier_rank", "first_package")
 
 
 def function_order(code: DataFrame, keys: list[str], ordinal: str) -> DataFrame:

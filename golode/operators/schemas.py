@@ -7,7 +7,7 @@ SPAN = "struct<offset:bigint,size:bigint,va:decimal(20,0)>"
 IMAGE_PARTS = (
     "image_id string, path string, length bigint, format string, has_gopclntab boolean, has_go_buildinfo boolean, has_note boolean, "
     "build_id string, info_found boolean, info_version string, mod_text string, scanned_version string, table_version string, "
-    "nfunc bigint, heuristic_hits int, text_va decimal(20,0), etext_va decimal(20,0)"
+    "nfunc bigint, heuristic_hits int, text_va decimal(20,0), etext_va decimal(20,0), function_names array<string>"
 )
 SECTIONS = f"image_id string, slot string, present boolean, offset bigint, size bigint, va {VA}"
 SEGMENTS = f"image_id string, ord int, va {VA}, file_off {VA}, size {VA}"

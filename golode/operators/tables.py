@@ -4,6 +4,10 @@ An image is a row (path, length, content). Kernels run through mapInArrow, a few
 batch, and only the family that a query asks for is decoded; all that can be said in Column
 expressions (names, verdicts, ranges) is left to Catalyst. An image's rows are its own, so every
 builder works on streams too.
+
+An image is named by a hash of its content. A corpus holds copies of files, so in batch the rows of
+every table are numbered within their image and each number is kept once; ``images`` has a row for
+each file. (A stream drops copies where it is read, see ``golode.streaming.ingest``.)
 """
 
 from __future__ import annotations
@@ -93,7 +97,7 @@ def _arrow(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _family(images: DataFrame, ddl: str, rows_of: Callable[[Parsed], Iterator[dict]]) -> DataFrame:
-    schema = StructType.fromDDL(ddl)
+    schema = StructType.fromDDL(f"{ddl}, nth_row bigint")
     # Column types of DECIMAL(20,0) and plain widths only, so the Arrow schema needs no session.
     arrow = pa.schema([pa.field(f.name, f.type) for f in to_arrow_schema(schema)])
 
@@ -103,15 +107,17 @@ def _family(images: DataFrame, ddl: str, rows_of: Callable[[Parsed], Iterator[di
             for content in batch.column(0):
                 raw = content.as_py()
                 parsed = Parsed(raw if raw is not None else b"")
-                for row in rows_of(parsed):
-                    out.append({"image_id": parsed.image_id} | row)
+                for nth, row in enumerate(rows_of(parsed)):
+                    out.append({"image_id": parsed.image_id, "nth_row": nth} | row)
                     if len(out) >= ROWS_OUT:
                         yield _arrow(out, arrow)
                         out = []
             if out:
                 yield _arrow(out, arrow)
 
-    return images.select("content").mapInArrow(run, schema)
+    found = images.select("content").mapInArrow(run, schema)
+    once = found if images.isStreaming else found.dropDuplicates(["image_id", "nth_row"])
+    return once.drop("nth_row")
 
 
 def sections(images: DataFrame) -> DataFrame:
@@ -170,13 +176,11 @@ def function_tables(images: DataFrame, strict: bool = False) -> DataFrame:
 
 def pc_values(images: DataFrame, strict: bool = False) -> DataFrame:
     """A row per entry of each table, with the range it holds for."""
-    nested = function_tables(images, strict)
-    parts = []
-    for table in ("pcln", "pcsp", "pcfile"):
-        one = nested.select("image_id", "func_off", "paths", F.posexplode(table).alias("ord", "at"))
-        path = F.get(F.filter("paths", lambda x: x["pc"] == F.col("at.pc")), F.lit(0))["path"] if table == "pcfile" else F.lit(None).cast("string")
-        parts.append(one.select("image_id", "func_off", F.lit(table).alias("table"), "ord", F.col("at.pc").alias("pc_end"), F.col("at.value").alias("value"), path.alias("path")))
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    kinds = F.array(*[F.struct(F.lit(t).alias("table"), F.col(t).alias("pairs")) for t in ("pcln", "pcsp", "pcfile")])
+    every = function_tables(images, strict).select("image_id", "func_off", "paths", F.explode(kinds).alias("of"))
+    every = every.select("image_id", "func_off", "paths", "of.table", F.posexplode("of.pairs").alias("ord", "at"))
+    path = F.when(F.col("table") == "pcfile", F.get(F.filter("paths", lambda x: x["pc"] == F.col("at.pc")), F.lit(0))["path"])
+    every = every.select("image_id", "func_off", "table", "ord", F.col("at.pc").alias("pc_end"), F.col("at.value").alias("value"), path.alias("path"))
     before = Window.partitionBy("image_id", "func_off", "table").orderBy("ord")
     start = F.lag("pc_end", 1, 0).over(before)
     return every.withColumn("pc_start", start).select("image_id", "func_off", "table", "ord", "pc_start", "pc_end", "value", "path")
@@ -249,8 +253,9 @@ def go_strings(images: DataFrame) -> DataFrame:
 # Build information
 
 
-def _image_parts(images: DataFrame) -> DataFrame:
-    """What the verdict on an image rests on: one row each, the content no longer in it."""
+def _image_parts(images: DataFrame, with_names: bool = False) -> DataFrame:
+    """What the verdict on an image rests on: one row each, the content no longer in it;
+    ``with_names`` also the names of its functions."""
     schema = StructType.fromDDL(schemas.IMAGE_PARTS)
     arrow = to_arrow_schema(schema)
 
@@ -269,6 +274,7 @@ def _image_parts(images: DataFrame) -> DataFrame:
                         "scanned_version": None if info and info["go_version"] is not None else p.scanned, "table_version": table.version if table else None,
                         "nfunc": table.nfunc if table else None, "heuristic_hits": hits, "text_va": mod["text"] if mod else None,
                         "etext_va": mod["etext"] if mod else None,
+                        "function_names": [f["name"] for f in lines.functions(table)] if with_names and table else None,
                     }
                 )
             if out:
@@ -360,18 +366,24 @@ def build_info(parts: DataFrame) -> DataFrame:
 
 
 def images(found: DataFrame, gate: bool = True) -> DataFrame:
-    """The verdict on every image; with ``gate`` only those that are the toolchain's at all."""
-    parts = report_of(_image_parts(found))
+    """The verdict on every file; with ``gate`` only on those that are the toolchain's at all. One
+    pass of the kernels: all that follows looks into the arrays of a row."""
+    parts = report_of(_image_parts(found, with_names=True))
     parts = parts.where("tier > 0") if gate else parts
-    settings = build_settings(mod_lines(parts)).groupBy("image_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("ord", "key", "value"))), lambda s: F.struct(s["key"].alias("key"), s["value"].alias("value"))).alias("settings")
-    )
-    deps = dependencies(mod_lines(parts)).groupBy("image_id").agg(F.count(F.lit(1)).alias("n_deps"))
-    code = functions(found, with_derived=False).select("image_id", "name")
-    verdicts = garble_verdict(code, F.col("image_id")).join(
-        code.groupBy("image_id").agg(F.bool_or(names.is_cgo(F.col("name"))).alias("has_cgo"), F.bool_or(names.is_concurrency(F.col("name"))).alias("uses_concurrency")), "image_id"
-    )
-    whole = parts.join(settings, "image_id", "left").join(deps, "image_id", "left").join(verdicts, "image_id", "left")
+    whole = parts.withColumn("lines", F.split("mod_text", "\r?\n")).withColumn("cells", F.transform("lines", lambda x: F.split(x, "\t", 4)))
+    tagged = lambda tag: F.filter("cells", lambda c: (F.get(c, F.lit(0)) == tag) & (F.size(c) > 1))
+    written = F.transform(tagged("build"), lambda c: F.get(c, F.lit(1)))
+    pair = lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.when(F.instr(x, "=") > 0, F.substring(x, F.instr(x, "=") + 1, F.length(x))).otherwise("").alias("value"))
+    code = F.col("function_names")
+    user = F.filter(code, lambda n: ~names.is_runtime(n) & ~names.is_internal(n))
+    packages = F.array_distinct(F.array_compact(F.transform(user, names.package)))
+    whole = whole.withColumns({"settings": F.transform(written, pair), "n_deps": F.size(tagged("dep")), "packages": packages})
+    whole = whole.withColumns(
+        {
+            "total": F.size("packages").cast("bigint"), "obfuscated": F.size(F.filter("packages", names.is_garble_token)).cast("bigint"),
+            "has_cgo": F.exists(code, names.is_cgo), "uses_concurrency": F.exists(code, names.is_concurrency),
+        }
+    )
     has_table = F.col("table_version").isNotNull()
     obf = F.coalesce(values.obfuscation_tier(F.col("obfuscated"), F.col("total"), F.coalesce("n_deps", F.lit(0)) == 0), F.lit(0))
     return whole.select(

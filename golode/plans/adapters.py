@@ -44,10 +44,11 @@ FROM {events}
 
 SEG = """
 SELECT p_partkey % 25 AS image_id, p_partkey AS ord, p_partkey * 1000 AS va, p_partkey * 512 AS file_off, CAST(700 AS BIGINT) AS size
-FROM {part} WHERE p_partkey < 200
+FROM {part}
 """
-ADDR = "SELECT event_id, event_id % 25 AS image_id, event_id * 7919 % 200000 AS va FROM {events}"
-OFFSET = "SELECT event_id, event_id % 25 AS image_id, event_id * 7919 % 110000 AS file_off FROM {events}"
+#: Addresses and offsets spread over all that the segments cover.
+ADDR = "SELECT event_id, event_id % 25 AS image_id, event_id * 7919 % ((SELECT max(p_partkey) FROM {part}) * 1000) AS va FROM {events}"
+OFFSET = "SELECT event_id, event_id % 25 AS image_id, event_id * 7919 % ((SELECT max(p_partkey) FROM {part}) * 512) AS file_off FROM {events}"
 
 TEXT = """
 SELECT concat('d', CAST(doc_id AS STRING)) AS id,

@@ -164,13 +164,12 @@ def q_pkg_short(spark, sf_dir):
         SELECT *, count(*) AS n FROM m GROUP BY ALL"""
 )
 def q_method_receiver(spark, sf_dir):
-    n, f = F.col("name"), F.col("flags")
-    r = names.receiver(n, f)
-    found = _func(spark, sf_dir).select(
-        "name", "flags", names.is_method(n, f).alias("is_method"), r["name"].alias("recv"), r["pointer"].alias("pointer"),
-        r["generic_args"].alias("recv_generic"), names.method_name(n, f).alias("method"),
+    # Names repeat, so they are counted first and split once each.
+    counted = _func(spark, sf_dir).groupBy("name", "flags").agg(F.count(F.lit(1)).alias("n"))
+    r = F.col("receiver")
+    return names.with_method(counted).select(
+        "name", "flags", "is_method", r["name"].alias("recv"), r["pointer"].alias("pointer"), r["generic_args"].alias("recv_generic"), F.col("method_name").alias("method"), "n",
     )
-    return found.groupBy(found.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {F_SQL} SELECT flags, is_closure, count(*) AS n FROM f GROUP BY ALL")
@@ -533,12 +532,12 @@ def q_struct_fields(spark, sf_dir):
 
 
 @query(
-    """SELECT c_nationkey AS type_va, c_name AS name, c_custkey % 3 = 0 OR regexp_matches(c_name, '^[A-Z]') AS is_exported FROM customer WHERE c_custkey % 10 = 0"""
+    """SELECT c_nationkey AS type_va, c_name AS name, c_custkey % 3 = 0 OR regexp_matches(c_name, '^[A-Z]') AS is_exported FROM customer"""
 )
 def q_type_methods(spark, sf_dir):
     shown = (F.col("c_custkey") % 3 == 0) | F.col("c_name").rlike("^[A-Z]")
     method = F.struct(F.col("c_custkey").alias("type_off"), F.col("c_name").alias("name"), shown.alias("is_exported"))
-    made = _read(spark, sf_dir, "customer").where("c_custkey % 10 = 0").groupBy(F.col("c_nationkey").alias("type_va")).agg(F.array_sort(F.collect_list(method)).alias("methods"))
+    made = _read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("type_va")).agg(F.array_sort(F.collect_list(method)).alias("methods"))
     return tables.type_methods(made.withColumn("image_id", F.lit("x"))).select("type_va", "name", "is_exported")
 
 
