@@ -4,14 +4,17 @@ A capture is three records: a request, a response (or a revisit of an equal payl
 Request and metadata name the response in WARC-Concurrent-To; assembly joins the three through it
 and emits one nested row per capture. Records are text (headers are ASCII, payloads UTF-8), so
 Spark's own text writer makes the archives, with the blank lines that end a record as its
-separator: any store that Spark can write to will do, and a lost task is written again. Reading
-goes by Content-Length, over whole files of at most RECORDS_PER_FILE records.
+separator: any store that Spark can write to will do, and a lost task is written again. A file has
+RECORDS_PER_FILE records of payloads of up to LARGE bytes at most, or one capture of a larger one,
+so it is bounded in bytes; what is written is one gzip member a file, and files of many members
+(one for each record, as archives mostly come) are read as well. Reading goes by Content-Length.
 
 Of captures with equal payloads of at least ``revisit_from`` bytes the one with the smallest
-page id is the response and the others are revisits that refer to it.
+page id is the response and the others are revisits that refer to it. Digests that a large share of
+all captures have are joined by broadcast, so their bodies stay where they are.
 
 Defined results: null html is an empty payload, null url an empty target; an empty table writes no
-records; rows that repeat a page id are captures each (the first of them in the table's order is
+records and reads as none; rows that repeat a page id are captures each (the first of them in the table's order is
 the response if their payloads are equal); other columns are ignored.
 """
 
@@ -25,9 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from golode.llm.common import scratch, staged, table
+from golode.llm.common import heavy_join, scratch, staged, table
 
 RECORDS_PER_FILE = 3000
+#: Bytes of a payload that shares a file with others.
+LARGE = 256 << 10
+#: Bytes of an archive that are inflated at a time.
+CHUNK = 64 << 10
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 _HEX32, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -55,16 +62,10 @@ def captures(pages: DataFrame, revisit_from: int = 0, id_col="page_id", url_col=
     )
     base = base.withColumns({"bytes": F.octet_length("html").cast("long"), "digest": base32_sha1(F.col("html").cast("binary"))})
     name = F.concat(F.lit("urn:uuid:"), F.md5(F.concat_ws("/", F.lit("response"), "page_id", "nth").cast("binary")))
-    narrow = base.select("page_id", "nth", "bytes", "digest")
-    firsts = (
-        narrow.where(F.col("bytes") >= revisit_from)
-        .groupBy("digest", "bytes")
-        .agg(F.min(F.struct("page_id", "nth")).alias("first"), F.count(F.lit(1)).alias("times"))
-        .where("times > 1")
-        .select("digest", "bytes", F.col("first.page_id").alias("f_page"), F.col("first.nth").alias("f_nth"))
-    )
-    found = base.join(firsts, ["digest", "bytes"], "left")
-    again = F.col("f_nth").isNotNull() & (F.col("f_nth") != F.col("nth"))
+    firsts = base.groupBy("digest").agg(F.min(F.struct("page_id", "nth")).alias("first"), F.count(F.lit(1)).alias("times"))
+    firsts = firsts.select("digest", "times", F.col("first.page_id").alias("f_page"), F.col("first.nth").alias("f_nth"))
+    found = heavy_join(base, firsts, "digest", "times", pages.count())
+    again = (F.col("bytes") >= revisit_from) & (F.col("f_nth") != F.col("nth"))
     first_name = F.concat(F.lit("urn:uuid:"), F.md5(F.concat_ws("/", F.lit("response"), "f_page", "f_nth").cast("binary")))
     return found.select("page_id", "url", "html", "digest", "bytes", name.alias("record_id"), F.when(again, first_name).alias("refers_to"))
 
@@ -103,14 +104,31 @@ def records(found: DataFrame) -> DataFrame:
     )
 
 
-def write(pages: DataFrame, path: str, revisit_from: int = 0) -> None:
-    (
-        records(captures(pages, revisit_from))
-        .write.option("compression", "gzip")
-        .option("lineSep", END)
-        .option("maxRecordsPerFile", RECORDS_PER_FILE)
-        .text(path)
-    )
+def write(pages: DataFrame, path: str, revisit_from: int = 0, html_col: str = "html") -> None:
+    found = captures(pages, revisit_from, html_col=html_col)
+    longest = pages.agg(F.max(F.octet_length(html_col))).first()[0] or 0
+
+    def put(rows: DataFrame, most: int) -> None:
+        records(rows).write.mode("append").option("compression", "gzip").option("lineSep", END).option("maxRecordsPerFile", most).text(path)
+
+    put(found.where(F.col("bytes") <= LARGE), RECORDS_PER_FILE)
+    if longest > LARGE:
+        put(found.where(F.col("bytes") > LARGE), 3)
+
+
+def inflated(data: bytes) -> bytes:
+    """What the gzip members of a file hold, one after another; up to where one is broken."""
+    out, at = [], 0
+    while data[at : at + 2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            while not member.eof and at < len(data):
+                part = data[at : at + CHUNK]
+                out.append(member.decompress(part))
+                at += len(part) - len(member.unused_data)
+        except zlib.error:
+            break
+    return b"".join(out)
 
 
 def _named(head: bytes) -> dict[str, str]:
@@ -168,7 +186,7 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
         for batch in batches:
             for content in batch.column(0):
                 data = content.as_py()
-                data = zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data
+                data = inflated(data) if data[:2] == b"\x1f\x8b" else data
                 rows, size = [], 0
                 for row in parse(data, with_payload):
                     rows.append(row)
@@ -210,8 +228,11 @@ def op9(spark, sf_dir):
         F.col("response.record_type").alias("record_type"),
         F.col("response.refers_to").alias("named"),
     )
-    pages = whole.select(F.col("capture_id").alias("named"), F.col("metadata.page_id").alias("refers_to"))
-    referred = rows.where("named is not null").join(pages, "named", "left")
+    rows = staged(rows, "captures")
+    # Many revisits may name one response.
+    pages = rows.select(F.col("capture_id").alias("named"), F.col("page_id").alias("refers_to"))
+    named = rows.where("named is not null").groupBy("named").agg(F.count(F.lit(1)).alias("times")).join(pages, "named", "left")
+    referred = heavy_join(rows.where("named is not null"), named, "named", "times", rows.count())
     plain = rows.where("named is null").withColumn("refers_to", F.lit(None).cast("long"))
     keep = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return plain.select(keep).unionByName(referred.select(keep))

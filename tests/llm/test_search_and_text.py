@@ -1,4 +1,8 @@
+import base64
+import gzip
+import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -235,9 +239,45 @@ def test_warc_round_trip(spark):
     assert got[2]["response"]["refers_to"] == got[1]["capture_id"] and got[5]["response"]["refers_to"] == got[3]["capture_id"]
     empty = scratch(spark, "warc")
     warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").where("false"), empty)
+    assert warc.read(spark, empty).count() == 0 and warc.assemble(warc.read(spark, empty)).count() == 0
     assert warc.parse(b"WARC/1.1\r\nbroken", True).__next__ is not None and list(warc.parse(b"WARC/1.0\r\n\r\n", True)) == []
 
 
+def test_warc_members_sizes_and_repeats(spark, tmp_path, monkeypatch):
+    """Archives of a member a record; large payloads in files of their own; frequent and repeated captures."""
+    monkeypatch.setattr(warc, "LARGE", 1000)
+    rows = [(i % 150, f"http://a/{i}", "" if i < 90 else f"<p>{i % 120}</p>" if i < 190 else "x" * (900 + i)) for i in range(300)] + [(None, None, None)]
+    path = str(tmp_path / "warc")
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    for form in ("single", "members"):
+        found = warc.assemble(warc.read(spark, path)).collect()
+        assert len(found) == 301, form
+        by_digest: dict = {}
+        for r in found:
+            by_digest.setdefault(r["response"]["payload_digest"], []).append(r)
+        for group in by_digest.values():
+            (first,) = [r for r in group if r["response"]["record_type"] == "response"]
+            assert all(r["response"]["refers_to"] == first["capture_id"] for r in group if r is not first)
+            ids = [r["metadata"]["page_id"] for r in group]
+            assert first["metadata"]["page_id"] == (None if None in ids else min(ids))
+        want = Counter((hashlib.sha1((html or "").encode()).hexdigest(), len((html or "").encode())) for _, _, html in rows)
+        assert Counter((base64.b32decode(r["response"]["payload_digest"]).hex(), r["response"]["payload_bytes"]) for r in found) == want
+        if form == "single":
+            plain = b"".join(warc.inflated(f.read_bytes()) for f in sorted((tmp_path / "warc").glob("part-*")))
+            records = [b"WARC/1.1\r\n" + x for x in plain.split(b"WARC/1.1\r\n")[1:]]
+            path = str(tmp_path / "many")
+            (tmp_path / "many").mkdir()
+            (tmp_path / "many" / "part-0.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    assert warc.inflated(gzip.compress(b"whole") + gzip.compress(b"broken" * 999)[:20]).startswith(b"whole")
+
+
+def test_warc_query_on_repeats(spark, tmp_path):
+    rows = [(1, "u", "same"), (1, "u", "same"), (2, "v", "same"), (3, "w", None), (4, None, "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("named", F.lit(1)).write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(tuple(r) for r in warc.op9(spark, str(tmp_path)).select("page_id", "record_type", F.coalesce("refers_to", F.lit(-1))).collect())
+    assert got == [(1, "response", -1), (1, "revisit", 1), (2, "revisit", 1), (3, "response", -1), (4, "revisit", 3)]
+
+
 def brute_license(text):
     lower = (text or "").translate(str.maketrans(licenses.UPPER, licenses.LOWER))
     labels = set()
