@@ -34,6 +34,63 @@ def test_dual_tree_exact(spark, monkeypatch, dim, n):
     assert got == brute_top(list(range(n)), x, range(0, n, 10), 10)
 
 
+def clustered(n, dim, seed):
+    rng = np.random.default_rng(seed)
+    spots = rng.normal(size=(12, dim)) * 5
+    return (spots[rng.integers(0, 12, n)] + rng.normal(size=(n, dim)) * rng.choice([0.01, 0.3], (n, 1))).astype(np.float32)
+
+
+@pytest.mark.parametrize("cells", [1, 4, 50])
+def test_search_of_clusters(spark, monkeypatch, cells):
+    """Cells cut by planes, bounds on cells and blocks, kth scores carried on; ids that repeat."""
+    for name, value in (("BLOCK", 32), ("QUERY_BLOCK", 8), ("PIVOTS", cells), ("LEAF", 4), ("CHUNK", 16)):
+        monkeypatch.setattr(topk, name, value)
+    v = clustered(500, 4, 3)
+    ids = [i if i < 450 else i - 450 for i in range(500)]
+    df = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in zip(ids, v, strict=True)], "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("id") % 25 == 0).collect())
+    x = np.floor(v.astype(np.float64) * 1024).astype(int).tolist()
+    want = []
+    for q in range(500):
+        if ids[q] % 25 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(x[q], x[c], strict=True)), ids[c]) for c in range(500) if ids[c] != ids[q])
+            want += [(ids[q], r + 1, c, -s) for r, (s, c) in enumerate(scores[:10])]
+    assert got == sorted(want)
+
+
+def test_cover_trees():
+    """Nesting, covering and separation hold at every node, and blocks of clusters have levels."""
+    x = clustered(3000, 6, 8).astype(np.float64)
+    tree = topk.Tree(x)
+    assert sorted(tree.order.tolist()) == list(range(3000)) and (tree.kids > 0).sum() > 10
+    for n in range(len(tree.centre)):
+        rows = tree.order[tree.lo[n] : tree.hi[n]]
+        assert tree.centre[n] in rows and np.sqrt(((x[rows] - x[tree.centre[n]]) ** 2).sum(1)).max() <= tree.radius[n] + 1e-9
+        below = range(tree.first[n], tree.first[n] + tree.kids[n])
+        if len(below):
+            centres = tree.centre[below.start : below.stop]
+            assert tree.centre[n] in centres
+            assert sorted(np.concatenate([tree.order[tree.lo[m] : tree.hi[m]] for m in below]).tolist()) == sorted(rows.tolist())
+            assert all(tree.radius[m] <= tree.radius[n] / 2 + 1e-9 for m in below)
+            apart = np.sqrt(((x[centres][:, None] - x[centres][None]) ** 2).sum(2))[np.triu_indices(len(below), 1)]
+            assert (apart > tree.radius[n] / 2).all()
+    again = topk.Tree.unpacked(x, *tree.packed())
+    assert (again.shape == tree.shape).all() and (again.order == tree.order).all() and (again.radius == tree.radius).all()
+    # Without clusters, in many dimensions, a cover would be the points themselves.
+    assert len(topk.Tree(np.random.default_rng(1).normal(size=(500, 64))).centre) == 1
+
+
+def test_scores_beyond_a_long(spark):
+    big = 3e38
+    rows = [(0, [big, 1.0]), (1, [big, 0.0]), (2, [-big, 5.0]), (3, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [tuple(r) for r in topk.top_k(df, F.col("id") == 0).orderBy("rank").collect()]
+    top = 2**63 - 1
+    assert got == [(0, 1, 1, top), (0, 2, 3, top), (0, 3, 2, -top)]
+    huge = spark.createDataFrame([(0, [1e135]), (1, [1e308]), (2, [2.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.top_k(huge, F.col("id") >= 0).orderBy("query_id", "rank").collect()] == [(0, 1, 2, top), (2, 1, 0, top)]
+
+
 def test_top_few_and_none(spark):
     df = spark.createDataFrame([(10, [1.0]), (20, [2.0, 3.0])], "vec_id long, embedding array<float>")
     assert {tuple(r) for r in topk.top_k(df, F.col("id") % 10 == 0).collect()} == {(10, 1, 20, 2097152), (20, 1, 10, 2097152)}
