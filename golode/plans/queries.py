@@ -622,6 +622,91 @@ def q_roundtrip_functions(spark, sf_dir):
     return tables.functions(_image_of(rows, make), with_derived=False).select("name", "entry_offset", "start_line", "end_line", "func_id", "source_file")
 
 
+def _whole(form, magic=0xFFFFFFF1, version="go1.22.1"):
+    """An image a nation: a function and a named type for each supplier, an interface that the first
+    type of the nation implements, calls of the first function inlined into each other."""
+    from golode.sources import imagegen
+
+    def make(rows):
+        rows = sorted(rows, key=lambda r: r["s_suppkey"])
+        keys, path = [r["s_suppkey"] for r in rows], f"/src/n{rows[0]['nation']}.go"
+        calls = {"inline_index": [(8, 0), (24, 1)], "inline_calls": [{"name": f"main.a{keys[0]}", "parent_pc": 30, "line": 3}, {"name": f"main.b{keys[0]}", "parent_pc": 4, "line": 5}]}
+        funcs = [
+            {"name": f"main.f{k}", "entry": k * 64, "start_line": k % 500, "lines": [(8, k % 500), (64, k % 500 + 1)], "file": path, **(calls if k == keys[0] and magic == 0xFFFFFFF1 else {})}
+            for k in keys
+        ]
+        types = [{"name": f"main.T{k}", "kind": 2, "size": k % 64, "methods": [f"Do{k}"]} for k in keys] + [{"name": "main.I", "kind": 20, "size": 16}]
+        return imagegen.image(funcs, [path], version, f"path\tx/n{rows[0]['nation']}\n", f"id/{rows[0]['nation']}", [f"text of {k}" for k in keys], types, [(len(types) - 1, 0)], magic, True, form)
+
+    return make
+
+
+def _suppliers(spark, sf_dir):
+    return _read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"))
+
+
+_WHOLE_SQL = """SELECT CAST(s_nationkey AS STRING) AS nation, concat('main.f', s_suppkey) AS name, s_suppkey * 64 AS entry_offset, concat('/src/n', s_nationkey, '.go') AS source_file,
+         concat('main.T', s_suppkey) AS type_name, s_suppkey % 64 AS size, 1 AS methods, 1 AS n_texts FROM supplier"""
+
+
+def _whole_rows(found):
+    """Functions, types with their methods, and strings of images, side by side by supplier."""
+    parts = tables._image_parts(found).select("image_id", F.col("path").alias("nation"))
+    key = lambda c, mark: F.regexp_extract(c, f"^{mark}([0-9]+)$", 1)
+    code = tables.functions(found, with_derived=False).select("image_id", key("name", "main[.]f").alias("k"), "name", "entry_offset", "source_file")
+    kinds = tables.types(found).select("image_id", key("name", "main[.]T").alias("k"), F.col("name").alias("type_name"), F.col("size").cast("bigint").alias("size"), F.size("methods").alias("methods"))
+    texts = tables.go_strings(found).groupBy("image_id", key("text", "text of ").alias("k")).agg(F.countDistinct("text").alias("n_texts"))
+    whole = code.join(kinds, ["image_id", "k"]).join(texts, ["image_id", "k"]).join(parts, "image_id")
+    return whole.select("nation", "name", "entry_offset", "source_file", "type_name", "size", "methods", "n_texts")
+
+
+@query(_WHOLE_SQL)
+def q_roundtrip_macho(spark, sf_dir):
+    return _whole_rows(_image_of(_suppliers(spark, sf_dir), _whole("macho")))
+
+
+@query(_WHOLE_SQL)
+def q_roundtrip_pe(spark, sf_dir):
+    return _whole_rows(_image_of(_suppliers(spark, sf_dir), _whole("pe", version="go1.25.0")))
+
+
+@query(_WHOLE_SQL)
+def q_roundtrip_older(spark, sf_dir):
+    """The module record of releases before 1.20."""
+    return _whole_rows(_image_of(_suppliers(spark, sf_dir), _whole("elf", 0xFFFFFFF0, "go1.19.3")))
+
+
+@query(
+    """WITH n AS (SELECT min(s_suppkey) AS k FROM supplier GROUP BY s_nationkey)
+       SELECT concat('main.a', k) AS function_name, 0 AS pc_start, 8 AS pc_end, 30 AS parent_pc, 3 AS start_line FROM n
+       UNION ALL SELECT concat('main.b', k), 8, 24, 4, 5 FROM n"""
+)
+def q_roundtrip_inline(spark, sf_dir):
+    found = tables.inline_entries(_image_of(_suppliers(spark, sf_dir), _whole("macho")))
+    return found.select("function_name", *[F.col(c).cast("int").alias(c) for c in ("pc_start", "pc_end", "parent_pc", "start_line")])
+
+
+@query("SELECT 'main.I' AS iface_name, concat('main.T', min(s_suppkey)) AS concrete_name FROM supplier GROUP BY s_nationkey")
+def q_roundtrip_itabs(spark, sf_dir):
+    found = _image_of(_suppliers(spark, sf_dir), _whole("macho"))
+    return tables.implementations(tables.itabs(found), tables.types(found)).select("iface_name", "concrete_name")
+
+
+@query("SELECT DISTINCT concat('/src/n', s_nationkey, '.go') AS path, 0 AS ord FROM supplier")
+def q_source_files(spark, sf_dir):
+    return tables.source_files(_image_of(_suppliers(spark, sf_dir), _whole("pe"))).select("path", F.col("ord").cast("int").alias("ord"))
+
+
+@query(
+    """SELECT f.format, concat('id/', n.nation) AS build_id, 3 AS tier, 'go1.22.1' AS go_version FROM (SELECT DISTINCT s_nationkey AS nation FROM supplier) n,
+       (SELECT unnest(['Elf', 'MachO', 'Pe']) AS format) f"""
+)
+def q_build_id(spark, sf_dir):
+    rows = _suppliers(spark, sf_dir)
+    found = [tables.images(_image_of(rows, _whole(form))) for form in ("elf", "macho", "pe")]
+    return found[0].unionByName(found[1]).unionByName(found[2]).select("format", "build_id", F.col("tier").cast("int").alias("tier"), "go_version")
+
+
 @query("SELECT CAST(s_nationkey AS STRING) AS nation, concat('mod/', s_name) AS path, concat('v', s_suppkey) AS version FROM supplier")
 def q_roundtrip_buildinfo(spark, sf_dir):
     from golode.sources import imagegen

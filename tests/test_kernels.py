@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from golode.operators import tables
 from golode.sources import buildmeta, container, imagegen, lines, module, runtime_types, view
 
 FUNCS = [
@@ -86,3 +87,21 @@ def test_scalars():
     assert buildmeta.build_id(container.read(raw)) == "abc123/def456"
     assert module.layout_of("Go120", 22, True) == "V3" and module.layout_of("Go120", None, False) == "V4" and module.layout_of("Go120", 27, False) == "V5"
     assert module.minor_of("go1.22.1") == 22 and module.minor_of("go1.26rc1") is None and module.minor_of("devel go1.23") is None
+
+
+@pytest.mark.parametrize("form", ["elf", "macho", "pe"])
+@pytest.mark.parametrize(("magic", "version", "layout"), [(0xFFFFFFF0, "go1.19.2", "V2"), (0xFFFFFFFA, "go1.17", "V2"), (0xFFFFFFF1, "go1.22.1", "V3"), (0xFFFFFFF1, "go1.25", "V4")])
+def test_all_containers_and_layouts(form, magic, version, layout):
+    """The same rows come out of every container, by sections or by search, and every record layout."""
+    made = imagegen.image(FUNCS, ["/a.go", "/b.go"], version, "path\tx\n", "ab/cd", ["hello"], TYPES, [(0, 1)], magic, True, form)
+    p = tables.Parsed(made)
+    assert p.container.format == {"elf": "Elf", "macho": "MachO", "pe": "Pe"}[form]
+    assert ("gopclntab" in p.container.present) == (form != "pe")
+    assert p.module["version"] == layout and p.version == version
+    assert [f["name"] for f in lines.functions(p.table)] == [f["name"] for f in FUNCS]
+    assert list(p.table.files()) == ["/a.go", "/b.go"] and buildmeta.build_id(p.container) == "ab/cd"
+    assert [t["name"] for t in runtime_types.Types(p.container, p.table, p.module).rows()] == [t["name"] for t in TYPES]
+    assert len(list(runtime_types.itabs(p.container, p.table, p.module))) == 1
+    assert "hello" in {s["text"] for s in runtime_types.strings(p.container, p.table, p.module)}
+    for cut in (4, 64, 200, len(made) // 3, len(made) - 40):
+        list(lines.functions(table) if (table := tables.Parsed(made[:cut]).table) else ())
