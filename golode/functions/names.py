@@ -1,15 +1,13 @@
 """Function and type names as Column expressions: all of them stay in whole-stage code.
 
-Names are split by patterns with a nesting depth of at most three; ``exact_*`` are Arrow-batched
-versions for names nested deeper.
+Names are split by patterns with a nesting depth of at most three; generic arguments of names that
+are nested deeper are found by a fold over their letters.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 _BRACKETS = r"\[(?:[^\[\]]|\[(?:[^\[\]]|\[[^\[\]]*\])*\])*\]"
 _PARENS = r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
@@ -120,9 +118,25 @@ def with_method(df: DataFrame, name: str = "name", flags: str = "flags") -> Data
 
 
 def generic_args(name: Column) -> Column:
-    """The last bracketed part at depth 0 of the short name."""
-    found = F.regexp_extract_all(short_name(name), F.lit(f"({_BRACKETS})"), F.lit(1))
-    return F.when(F.size(found) > 0, F.element_at(found, -1))
+    """The last bracketed part at depth 0 of the short name, at any depth of nesting."""
+    short = short_name(name)
+    found = F.regexp_extract_all(short, F.lit(f"({_BRACKETS})"), F.lit(1))
+    return F.when(nested_deeper(short), _last_top_level(short)).when(F.size(found) > 0, F.element_at(found, -1))
+
+
+def _last_top_level(short: Column) -> Column:
+    """Counts brackets letter by letter: where the last part at depth 0 opens, and where one closes."""
+    state = lambda *v: F.struct(*[F.lit(x).cast("int").alias(n) if isinstance(x, int) else x.cast("int").alias(n) for n, x in zip(("at", "depth", "opened", "closed"), v, strict=True)])
+
+    def step(s, letter):
+        at, opens, closes = s["at"] + 1, letter == "[", letter == "]"
+        depth = s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        opened = F.when(opens & (s["depth"] == 0), at).otherwise(s["opened"])
+        return state(at, depth, opened, F.when(closes & (depth == 0), at).otherwise(s["closed"]))
+
+    ends = F.aggregate(F.split(short, ""), state(0, 0, 0, 0), step)
+    part = lambda e: F.when((e["opened"] > 0) & (e["closed"] > e["opened"]), F.substring(short, e["opened"], e["closed"] - e["opened"] + 1))
+    return F.get(F.transform(F.array(ends), part), F.lit(0))
 
 
 def is_runtime(name: Column) -> Column:
@@ -207,25 +221,6 @@ def nested_deeper(name: Column) -> Column:
     return name.rlike(r"\[[^\]]*\[[^\]]*\[[^\]]*\[") | name.rlike(r"\([^)]*\([^)]*\([^)]*\(")
 
 
-@F.pandas_udf(StringType())
-def exact_generic_args(names: pd.Series) -> pd.Series:
-    """generic_args at any depth, for short names."""
-    return names.map(_last_top_level)
-
-
-def _last_top_level(short: str | None) -> str | None:
-    depth, start, found = 0, None, None
-    for i, ch in enumerate(short or ""):
-        if ch == "[":
-            start = i if depth == 0 else start
-            depth += 1
-        elif ch == "]":
-            depth -= 1
-            if depth == 0:
-                found = (start, i)
-    return short[start : found[1] + 1] if found and start is not None and found[1] > start else None
-
-
 def derived(df, name="name", flags="flags", func_id="func_id", deferreturn="deferreturn"):
     """df with every derived column of a function row."""
     n, f, i = F.col(name), F.col(flags), F.col(func_id)

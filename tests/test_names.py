@@ -7,21 +7,21 @@ from golode.functions import names
 
 #: name, flags -> package, short name, receiver (name, pointer, generics), method, generic args, closure
 CORPUS = [
-    ("runtime.gcStart", 0, "runtime", "gcStart", None, None, None, False),
-    ("net/http.(*Client).Do", 0, "net/http", "(*Client).Do", ("Client", True, None), "Do", None, False),
-    ("github.com/spf13/cobra.(*Command).Run", 0, "github.com/spf13/cobra", "(*Command).Run", ("Command", True, None), "Run", None, False),
-    ("golang.org/x/crypto/aes.NewCipher", 0, "golang.org/x/crypto/aes", "NewCipher", None, None, None, False),
-    ("gopkg.in/yaml.v3.Marshal", 0, "gopkg.in/yaml.v3", "Marshal", None, None, None, False),
-    ("time.Time.String", 0, "time", "Time.String", ("Time", False, None), "String", None, False),
-    ("pkg.(*Map[K, V]).Len", 0, "pkg", "(*Map[K, V]).Len", ("Map", True, "[K, V]"), "Len", None, False),
-    ("pkg.Map[int, string].Get", 0, "pkg", "Map[int, string].Get", ("Map", False, "[int, string]"), "Get", "[int, string]", False),
-    ("sort.Slice[int]", 0, "sort", "Slice[int]", None, None, "[int]", False),
+    ("runtime.sweepone", 0, "runtime", "sweepone", None, None, None, False),
+    ("net/mail.(*Reader).Next", 0, "net/mail", "(*Reader).Next", ("Reader", True, None), "Next", None, False),
+    ("example.org/team/tool.(*Engine).Start", 0, "example.org/team/tool", "(*Engine).Start", ("Engine", True, None), "Start", None, False),
+    ("example.org/x/deep/hash.Fresh", 0, "example.org/x/deep/hash", "Fresh", None, None, None, False),
+    ("example.org/codec.v12.Encode", 0, "example.org/codec.v12", "Encode", None, None, None, False),
+    ("math.Angle.Sine", 0, "math", "Angle.Sine", ("Angle", False, None), "Sine", None, False),
+    ("cache.(*Table[K, V]).Size", 0, "cache", "(*Table[K, V]).Size", ("Table", True, "[K, V]"), "Size", None, False),
+    ("cache.Pair[bool, rune].Swap", 0, "cache", "Pair[bool, rune].Swap", ("Pair", False, "[bool, rune]"), "Swap", "[bool, rune]", False),
+    ("heap.Merge[byte]", 0, "heap", "Merge[byte]", None, None, "[byte]", False),
     ("main.main.func1", 0, "main", "main.func1", None, None, None, True),
-    ("main.run.func2.gowrap1", 0, "main", "run.func2.gowrap1", None, None, None, True),
+    ("main.serve.func7.gowrap2", 0, "main", "serve.func7.gowrap2", None, None, None, True),
     ("runtime.x.func1", 4, "runtime", "x.func1", ("x", False, None), "func1", None, False),
-    ("pkg.Func.Method", 0, "pkg", "Func.Method", ("Func", False, None), "Method", None, False),
-    ("noslash", 0, None, "noslash", None, None, None, False),
-    ("github.com/user/pkg", 0, None, "github.com/user/pkg", ("github", False, None), "com/user/pkg", None, False),
+    ("shape.Line.Cross", 0, "shape", "Line.Cross", ("Line", False, None), "Cross", None, False),
+    ("bareword", 0, None, "bareword", None, None, None, False),
+    ("example.net/some/part", 0, None, "example.net/some/part", ("example", False, None), "net/some/part", None, False),
     ("", 0, None, "", None, None, None, False),
 ]
 
@@ -51,8 +51,22 @@ def test_ids_and_tokens(spark):
     assert [tuple(r) for r in got] == [("goexit", True, False), (None, False, False), ("unknown_special", False, False), ("systemstack", False, True)]
 
 
+def last_part(short):
+    """The last bracketed part at depth 0, by a walk."""
+    depth, opened, closed = 0, None, None
+    for i, letter in enumerate(short):
+        if letter == "[":
+            opened = i if depth == 0 else opened
+            depth += 1
+        elif letter == "]":
+            depth -= 1
+            closed = i if depth == 0 else closed
+    return short[opened : closed + 1] if opened is not None and closed is not None and closed > opened else None
+
+
 def test_deep_generics(spark):
-    deep = "F[a[b[c[d]]]]"
-    df = spark.createDataFrame([(deep,)], "s string")
-    assert df.select(names.exact_generic_args(F.col("s"))).first()[0] == "[a[b[c[d]]]]"
-    assert df.select(names.nested_deeper(F.col("s"))).first()[0]
+    shorts = ["F[a[b[c[d]]]]", "F[a[b[c[d[e]]]]].M[x]", "G[[[[[]]]]][y[z]]", "H[a[b[c[d]]]][", "K[[[[", "L]]]][[[[a]]]]"]
+    df = spark.createDataFrame([(x,) for x in shorts], "s string")
+    assert {r[0]: r[1] for r in df.select("s", names.generic_args(F.col("s"))).collect()} == {x: last_part(x) for x in shorts}
+    assert all(r[0] for r in df.select(names.nested_deeper(F.col("s"))).collect())
+    assert "Python" not in df.select(names.generic_args(F.col("s")))._jdf.queryExecution().toString()
