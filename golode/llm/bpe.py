@@ -40,6 +40,8 @@ from golode.llm.encoding import byte_pieces
 KEPT = 64 << 20
 BLOCK_BYTES = 250_000
 LONG = 64
+#: Characters of texts that are encoded together.
+PORTION = 3_000_000
 #: Ids of a decoding query.
 BLOCK_IDS = 500_000
 
@@ -246,7 +248,7 @@ def encode(docs: DataFrame, name: str, pattern: str = public_tokenizers.PATTERN,
         known = codec(name, pattern)
         for batch in batches:
             at = 0
-            for texts in portions(t.as_py() for t in batch.column(1)):
+            for texts in portions((t.as_py() for t in batch.column(1)), PORTION):
                 ids = [memoryview(x).cast("I").tolist() for x in known.encode_all(texts)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(ids)), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
                 at += len(ids)
@@ -275,7 +277,7 @@ def digests(docs: DataFrame, name: str, pattern: str = public_tokenizers.PATTERN
         known = codec(name, pattern)
         for batch in batches:
             rows = []
-            for texts in portions(t.as_py() for t in batch.column(1)):
+            for texts in portions((t.as_py() for t in batch.column(1)), PORTION):
                 coded = known.encode_all(texts)
                 for ids, back in zip(coded, known.expand(coded), strict=True):
                     rows.append((len(ids) >> 2, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()))

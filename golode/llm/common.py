@@ -21,10 +21,12 @@ _OWN: dict[str, str] = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where
-    the session names none (local tests only)."""
+    the session names none and is local; a cluster must name one."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if known:
         return known
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="golode-")
@@ -32,16 +34,34 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+#: What this process wrote to shared folders.
+_WRITTEN: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables and files that operators wrote so far. To be called once their results
+    are no longer read, as these rest on them."""
+    for path in _WRITTEN:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _WRITTEN.clear()
+
+
+#: Bytes of a row group of a staged table, which a task holds until it is full.
+ROW_GROUP = 32 << 20
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage is cut, and what was
     written survives lost executors."""
     path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -76,7 +96,7 @@ def heavy_join(many: DataFrame, few: DataFrame, key: str, count: str, rows: int)
 
 
 #: Bytes that a process keeps of what it worked out for words or pieces of one operator.
-KEPT_BYTES = 48 << 20
+KEPT_BYTES = 32 << 20
 _OWNERS: list[Kept] = []
 
 
@@ -114,7 +134,7 @@ class Kept(dict):
         return got
 
 
-def portions(texts, most: int = 3_000_000):
+def portions(texts, most: int = 1_000_000):
     """Lists of texts in a row, each of about ``most`` characters at most (a longer text is alone)."""
     held, size = [], 0
     for text in texts:

@@ -8,8 +8,9 @@ through them. By the sum-of-squares identity
     sum_{i<j} <v_i, v_j> x_i x_j = 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i (v_if x_i)^2)
 a score takes time linear in the number of features.
 
-The model is fitted on at most TRAIN_ROWS labelled rows (those with the smallest hashes of their
-ids) whose crc32(id as text) mod 3 is not 1; rows where it is 1 are held out. Neither id nor lang,
+The model is fitted on a bounded sample of labelled rows whose crc32(id as text) mod 3 is not 1: those
+with the smallest hashes of their ids, at most TRAIN_ROWS of them and of TRAIN_FEATURES features in
+all (a feature is eight bytes on the driver). Rows where it is 1 are held out. Neither id nor lang,
 source or label is a feature. The model's size is fixed, so it is broadcast.
 
 Defined results: null and empty texts have structure 0 and get the score of those; rows that
@@ -27,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from golode.llm.common import Kept, portions, table, text_or_empty
+from golode.llm.common import Kept, portions, staged, table, text_or_empty
 
 BUCKETS = 1 << 15
 RANK = 8
 TRAIN_ROWS = 12_000
+TRAIN_FEATURES = 8_000_000
 EPOCHS = 12
 BATCH = 128
 STATS = 14
@@ -173,37 +175,50 @@ def fold(id_col: str):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", most=TRAIN_ROWS) -> DataFrame:
-    """y and the features of at most ``most`` labelled rows outside the held-out fold."""
+    """y and the features of at most ``most`` labelled rows outside the held-out fold, and their hash."""
+    drawn = F.crc32(F.concat(F.lit("fit"), F.col("known_id").cast("string")).cast("binary"))
     known = (
         labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull())
-        .groupBy(F.col(id_col).alias("known_id"))
+        .groupBy(F.col(id_col).cast("long").alias("known_id"))
         .agg(F.max("quality").alias("y"))
         .where(fold("known_id") != 1)
-        .orderBy(F.crc32(F.concat(F.lit("fit"), F.col("known_id").cast("string")).cast("binary")), "known_id")
+        .withColumn("drawn", drawn)
+        .orderBy("drawn", "known_id")
         .limit(most)
     )
 
     def run(batches):
         for batch in batches:
-            starts, ids, weights, stats = features([t or "" for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).cast(pa.int32()),
-                    pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids)),
-                    pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(weights)),
-                    pa.array(list(stats), pa.list_(pa.float32())),
-                    batch.column(2),
-                ],
-                ["y", "ids", "weights", "stats", "known_id"],
-            )
+            at = 0
+            for texts in portions(t.as_py() for t in batch.column(1)):
+                part = batch.slice(at, len(texts))
+                at += len(texts)
+                starts, ids, weights, stats = features(texts)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0).cast(pa.int32()),
+                        pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids)),
+                        pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(weights)),
+                        pa.array(list(stats), pa.list_(pa.float32())),
+                        part.column(2),
+                        part.column(3),
+                    ],
+                    ["y", "ids", "weights", "stats", "known_id", "drawn"],
+                )
 
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    found = texts.join(F.broadcast(known), F.col("id") == F.col("known_id")).select("y", "text", "known_id")
-    return found.mapInArrow(run, "y int, ids array<int>, weights array<float>, stats array<float>, known_id long")
+    found = texts.join(F.broadcast(known), F.col("id").cast("long") == F.col("known_id")).select("y", "text", "known_id", "drawn")
+    return found.mapInArrow(run, "y int, ids array<int>, weights array<float>, stats array<float>, known_id long, drawn long")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", most=TRAIN_ROWS) -> Machine:
-    rows = training_rows(docs, labels, id_col, text_col, most).toArrow().sort_by("known_id")
+    found = staged(training_rows(docs, labels, id_col, text_col, most), "training")
+    # One number a sampled row says where the sample's features reach their bound.
+    sizes = sorted(tuple(r) for r in found.select("drawn", "known_id", F.size("ids")).collect())
+    held = np.cumsum([n for _, _, n in sizes])
+    last = sizes[max(0, int(np.searchsorted(held, TRAIN_FEATURES, "right")) - 1)] if sizes else (0, 0, 0)
+    within = F.struct("drawn", "known_id") <= F.struct(F.lit(last[0]).cast("long").alias("drawn"), F.lit(last[1]).cast("long").alias("known_id"))
+    rows = found.where(within).toArrow().sort_by("known_id")
     ids, weights = rows.column("ids").combine_chunks(), rows.column("weights").combine_chunks()
     if not rows.num_rows:
         return Machine().fit(np.zeros(1, np.int64), None, None, None, np.zeros(0))

@@ -1,8 +1,10 @@
 """The pipeline against its stages by brute force, on the smallest tables."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from golode.llm import near_dedup, quality
-from golode.llm.common import table
+from golode.llm.common import clear, staged, table
 from golode.llm.encoding import encoder
 from tests.llm.test_dedup import brute_classes
 
@@ -32,3 +34,19 @@ def test_stages_keep_columns(spark):
         docs = stage(spark, docs, SF)
         assert docs.columns == table(spark, SF, "documents").columns
     assert near_dedup.near_dedup(docs).where("id <> class_id").count() == 0
+
+
+def test_stages_on_awkward_tables(spark):
+    """Nulls in every column, repeated rows, columns of the stages' own names, and no rows at all."""
+    rows = [(i, "stone river and the hill by the sea " * (i % 4 + 1), "en", "s", 5) for i in range(30)]
+    rows += [(None, None, None, None, None), (3, None, "en", None, None), (4, "", None, "s", 0), (5, "stone river and the hill by the sea", "en", "s", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit(1) for c in ("gone", "id", "keep_id", "digest", "class_id", "score")})
+    for table_ in (docs, docs.where("false")):
+        kept = table_
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = staged(stage(spark, kept, SF), "stage")
+            assert kept.columns == docs.columns
+        packed = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
+        assert packed.select("doc_id").distinct().count() == kept.select("doc_id").distinct().count()
+    clear(spark)

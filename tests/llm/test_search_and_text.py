@@ -1,7 +1,10 @@
 import base64
 import gzip
 import hashlib
+import math
 import random
+import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -9,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from golode.llm import html_text, licenses, quality, topk, warc
-from golode.llm.common import scratch
+from golode.llm.common import scratch, table
 
 
 def brute_top(ids, x, queries, k):
@@ -389,3 +392,56 @@ def test_interactions_equal_pairs():
     v = np.concatenate([machine.v[ids], machine.v[quality.BUCKETS :]])
     pairs = sum(v[i] @ v[k] * x[i] * x[k] for i in range(len(x)) for k in range(i))
     assert abs(machine.margins(starts, ids, weights, stats)[0] - pairs) < 1e-2 * max(1, abs(pairs))
+
+
+def brute_score(machine, text):
+    """A score from the model's numbers alone: every pair of features, one by one."""
+    tokens = re.findall(r"[^\W_]+|[^\w\s]+|_+", text)
+    counts = Counter(zlib.crc32(t.lower().encode()) & (quality.BUCKETS - 1) for t in tokens)
+    x = {b: math.sqrt(n / len(tokens)) for b, n in counts.items()}
+    stats = (np.array(quality.structure(text, tokens)) - machine.mean) / machine.sd
+    x |= {quality.BUCKETS + i: v for i, v in enumerate(np.clip(stats, -4, 4) / 2)}
+    z = float(machine.bias) + sum(float(machine.w[i]) * v for i, v in x.items())
+    keys = list(x)
+    v = machine.v[keys].astype(np.float64) * np.array([x[k] for k in keys])[:, None]
+    z += sum(float(v[i] @ v[:i].sum(0)) for i in range(1, len(keys)))
+    return 1 / (1 + math.exp(-z))
+
+
+def test_op8_over_the_whole_table(spark):
+    """The query as registered against scores by brute force, and how well it does on rows held out."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    machine = quality.fit(docs, labels)
+    got = {r["doc_id"]: r for r in quality.op8(spark, sf).collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    assert got.keys() == texts.keys()
+    for doc, r in got.items():
+        assert r["held_out"] == (zlib.crc32(str(doc).encode()) % 3 == 1) and r["predicted"] == int(r["score"] >= 0.5)
+        if doc % 7 == 0:
+            assert abs(r["score"] - brute_score(machine, texts[doc])) < 2e-3, doc
+    held = [(r["quality"], got[r["doc_id"]]["score"]) for r in labels.collect() if r["quality"] is not None and got[r["doc_id"]]["held_out"]]
+    good, bad = ([s for q, s in held if q == k] for k in (1, 0))
+    assert good and bad and np.mean([(a > b) + (a == b) / 2 for a in good for b in bad]) > 0.98
+
+
+def test_quality_edges(spark, monkeypatch):
+    """Nulls, repeated rows, long texts, an empty table, a sample bounded by its features."""
+    rows = [(i, "stone river and the hill " * (i % 5 + 1) if i % 2 else "BUY!! NOW$$ " * (i % 5 + 1)) for i in range(60)]
+    rows += [(3, "stone river and the hill"), (70, None), (None, "stone river"), (71, "the hill and stone " * 60_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("score", "known_id", "drawn", "y", "id")})
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    machine = quality.fit(docs, labels)
+    got = quality.scored(docs, machine)
+    assert got.count() == len(rows) and got.where("id = 71 and predicted = 1").count() == 1
+    assert quality.scored(docs.where("false"), machine).count() == 0 and quality.good_only(docs.where("false"), machine).count() == 0
+    assert quality.good_only(docs, machine).columns == docs.columns
+    monkeypatch.setattr(quality, "TRAIN_FEATURES", 40)
+    assert 0 < quality.scored(docs, quality.fit(docs, labels)).where("predicted = 1").count() <= len(rows)
+
+
+def test_licenses_of_repeated_and_long_texts(spark):
+    long = "word " * 30_000 + "mit license " + "x " * 30_000
+    rows = [(1, long), (1, long), (2, "MIT License"), (2, "apache license"), (None, "general public license")]
+    got = sorted((r["id"] or 0, r["n_words"], r["n_base"], r["base_labels"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 3, 1, "gpl"), (1, 60_002, 1, "mit"), (1, 60_002, 1, "mit"), (2, 2, 1, "apache"), (2, 2, 1, "mit")]
