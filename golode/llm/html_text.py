@@ -408,7 +408,8 @@ def op6(spark, sf_dir):
 OP6_SQL = r"""
 WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*?)(?:</article>|\z)', 1) AS inner_html FROM pages),
 b AS (SELECT page_id, url, list_transform(regexp_split_to_array(inner_html, '</?(?:h1|p|li|ul|br)[^>]*>'), lambda x:
-        trim(regexp_replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*(?:>|\z)', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'),
+        trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<[^>]*(?:>|\z)', '', 'g'),
+             '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'),
              '\s+', ' ', 'g'))) AS parts FROM a)
 SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)) AS text,
        CAST(length(array_to_string(list_filter(parts, lambda x: x <> ''), chr(10))) AS BIGINT) AS n_chars FROM b
