@@ -29,14 +29,19 @@ def _read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# The name grammar, restated for the checking engine's regular expressions.
-_PKG, _CLO = names.PACKAGE, names.CLOSURE
-F_SQL = f"""f AS (
-  SELECT *, CASE WHEN regexp_matches(name, '{_PKG}') THEN regexp_extract(name, '{_PKG}', 1) END AS package,
-         CASE WHEN regexp_matches(name, '{_PKG}') THEN regexp_extract(name, '{_PKG}', 2) ELSE name END AS short_name,
-         (flags & 4) = 0 AND regexp_matches(name, '{_CLO}') AS is_closure,
-         shape IN (1, 2, 5) OR (shape = 4 AND (flags & 4) <> 0) AS is_method
-  FROM ({a.plain(a.FUNC)}))"""
+# The name grammar, said again with string functions only, so that it shares nothing with the patterns.
+_DIGITS = "length({x}) > 0 AND translate({x}, '0123456789', '') = ''"
+F_SQL = f"""f0 AS (
+  SELECT *, string_split(name, '/')[-1] AS tail, string_split(string_split(name, '/')[-1], '.') AS dotted FROM ({a.plain(a.FUNC)})),
+f1 AS (
+  SELECT *, CASE WHEN len(dotted) < 2 THEN NULL
+                 WHEN len(dotted) > 2 AND starts_with(dotted[2], 'v') AND {_DIGITS.format(x="dotted[2][2:]")} THEN length(dotted[1]) + length(dotted[2]) + 2
+                 ELSE length(dotted[1]) + 1 END AS cut FROM f0),
+f AS (
+  SELECT * EXCLUDE (tail, dotted, cut), left(name, length(name) - length(tail) + cut - 1) AS package, CASE WHEN cut IS NULL THEN name ELSE substr(tail, cut + 1) END AS short_name,
+         (flags & 4) = 0 AND len(list_filter(string_split(name, '.')[2:], lambda p: starts_with(p, 'func') AND {_DIGITS.format(x="p[5:]")} OR starts_with(p, 'gowrap') AND {_DIGITS.format(x="p[7:]")})) > 0
+           AS is_closure,
+         shape IN (1, 2, 5) OR (shape = 4 AND (flags & 4) <> 0) AS is_method FROM f1)"""
 _TIER = """CASE WHEN {p} = 'main' OR contains({p}, '.') THEN 'USER'
   WHEN starts_with({p}, 'runtime') OR starts_with({p}, 'internal/') OR starts_with({p}, 'vendor/') OR starts_with({p}, 'type:')
     OR {p} = '(unknown)' THEN 'INTERNAL' ELSE 'STDLIB' END"""
