@@ -28,6 +28,30 @@ def tier_report(code: DataFrame) -> DataFrame:
     )
 
 
+def user_code(code: DataFrame) -> DataFrame:
+    """Functions that belong to neither the runtime nor its internals."""
+    return code.where(~names.is_runtime(F.col("name")) & ~names.is_internal(F.col("name")))
+
+
+def package_listing(code: DataFrame, total: bool = True) -> DataFrame:
+    """tier, package, n_funcs and the names of a package's functions (each once, in order), in the
+    order of tiers and packages; with ``total`` a last row of package null that sums the groups up."""
+    pkg = package_or_unknown(F.col("name"))
+    named = code.groupBy(names.tier(pkg).alias("tier"), pkg.alias("package"), "name").agg(F.count(F.lit(1)).alias("n"))
+    groups = named.groupBy("tier", "package").agg(F.sum("n").alias("n_funcs"), F.array_sort(F.collect_list("name")).alias("functions"))
+    if total:
+        nothing = [F.lit(None).cast("string").alias(c) for c in ("tier", "package")]
+        summed = named.agg(F.sum("n").alias("n_funcs")).select(*nothing, "n_funcs", F.lit(None).cast("array<string>").alias("functions"))
+        groups = groups.unionByName(summed)
+    rank = F.when(F.col("package").isNotNull(), names.tier_rank(F.col("package"))).otherwise(3)
+    return groups.orderBy(rank, "package")
+
+
+def has_no_dependencies(deps: Column) -> Column:
+    """Whether a list of dependencies is empty; true where none is known."""
+    return F.coalesce(F.size(deps) <= 0, F.lit(True))
+
+
 def summary(code: DataFrame) -> DataFrame:
     """One row: totals over all functions; a name without package counts as its empty package."""
     name, flags = F.col("name"), F.col("flags")

@@ -51,6 +51,26 @@ def _func(spark, sf_dir) -> DataFrame:
     return a.on(spark, sf_dir, a.FUNC)
 
 
+@query(
+    f"""WITH {F_SQL}, p AS (SELECT coalesce(package, '(unknown)') AS package, name FROM f), g AS (SELECT {_TIER.format(p="package")} AS tier, package, name FROM p)
+        SELECT tier, package, count(*) AS n_funcs, array_to_string(list_sort(list(DISTINCT name)), ' ') AS functions FROM g GROUP BY 1, 2
+        UNION ALL SELECT NULL, NULL, count(*), NULL FROM g"""
+)
+def q_package_listing(spark, sf_dir):
+    return reports.package_listing(_func(spark, sf_dir)).withColumn("functions", F.array_join("functions", " "))
+
+
+@query(f"WITH {F_SQL} SELECT name, count(*) AS n FROM f WHERE shape NOT IN (0, 6, 8) GROUP BY 1")
+def q_user_code(spark, sf_dir):
+    return reports.user_code(_func(spark, sf_dir)).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT n_nationkey, count(*) FILTER (s_suppkey % 3 = 0) = 0 AS alone FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
+def q_no_dependencies(spark, sf_dir):
+    deps = _read(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.collect_list("s_name").alias("deps"))
+    return _read(spark, sf_dir, "nation").join(deps, "n_nationkey", "left").select("n_nationkey", reports.has_no_dependencies(F.col("deps")).alias("alone"))
+
+
 # Detection
 
 _PREFIX = {0: "7F454C46", 1: "CFFAEDFE", 2: "FEEDFACF", 3: "4D5A", 4: "CEFAEDFE", 5: "FEEDFACE", 6: ""}
