@@ -2,8 +2,11 @@
 
 Base: places where the words of a known phrase stand in a row. The join: a block (a line of a
 text, or, since notices are wrapped over lines, a window over the words of a text of several
-lines; windows are twice as long as the longest template and overlap by half) meets a template when it holds at least THRESHOLD of the template's distinct words. Tokens
-are ordered by how many blocks of the whole table hold them, rarest first. A block can only meet a
+lines; windows are twice as long as the longest template and overlap by half) meets a template when
+it holds at least THRESHOLD of the template's distinct words. Every text is read once: that pass
+finds the base places and the template words of the text. A text that lacks too many words of each
+template has no block that meets one; the others go on with their blocks. Tokens are ordered by how
+many texts of the whole table hold them, rarest first. A block can only meet a
 template of n words if it shares ``overlap = ceil(THRESHOLD * n)`` words with it, so
  - prefix filter: it holds one of the template's first n - overlap + 1 words in that order;
  - length filter: it holds at least ``overlap`` template words at all;
@@ -20,6 +23,8 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,62 +72,65 @@ def _blanks(part: Column) -> Column:
     return (F.char_length(part) - F.char_length(F.translate(part, " ", ""))).cast("long")
 
 
-def base_places(docs: DataFrame, id_col: str, text_col: str, phrases=PHRASES) -> DataFrame:
-    """id, n_words, n_base, first_word, last_word, base (labels): one row per document."""
+def read_once(docs: DataFrame, id_col: str, text_col: str, rows: list[dict], phrases=PHRASES) -> DataFrame:
+    """id, n_words, n_base, first_word, last_word, base (labels), held (the distinct template words)
+    and, where some template may be met, text: one row per document."""
     either = "|".join(p for p, _ in phrases)
     cut = F.when(F.col("norm").contains("license"), F.split("norm", f" (?=(?:{either}) )"))
-    return (
-        docs.select(F.col(id_col).alias("id"), spaced(text_or_empty(text_col)).alias("norm"))
-        .select("id", "norm", F.greatest(_blanks(F.col("norm")) - 1, F.lit(0)).alias("n_words"), cut.alias("parts"))
-        .select(
-            "id",
-            "n_words",
-            F.coalesce(F.size("parts") - 1, F.lit(0)).cast("long").alias("n_base"),
-            F.when(F.size("parts") > 1, _blanks(F.get("parts", F.lit(0)))).alias("first_word"),
-            F.when(F.size("parts") > 1, F.col("n_words") - _blanks(F.element_at("parts", -1))).alias("last_word"),
-            F.array_compact(
-                F.array(*[F.when(F.col("norm").contains(f" {p} "), F.lit(label)) for p, label in phrases])
-            ).alias("base"),
-        )
+    found = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("norm", spaced(F.col("text")))
+    found = found.withColumns(
+        {"n_words": F.greatest(_blanks(F.col("norm")) - 1, F.lit(0)), "parts": cut, "held": F.array_intersect(F.split("norm", " "), dictionary(rows))}
+    )
+    may = [F.size(F.array_intersect("held", F.array(*map(F.lit, r["words"])))) >= r["overlap"] for r in rows]
+    least = min(r["overlap"] for r in rows)
+    return found.select(
+        "id",
+        "n_words",
+        F.coalesce(F.size("parts") - 1, F.lit(0)).cast("long").alias("n_base"),
+        F.when(F.size("parts") > 1, _blanks(F.get("parts", F.lit(0)))).alias("first_word"),
+        F.when(F.size("parts") > 1, F.col("n_words") - _blanks(F.element_at("parts", -1))).alias("last_word"),
+        F.array_compact(F.array(*[F.when(F.col("norm").contains(f" {p} "), F.lit(label)) for p, label in phrases])).alias("base"),
+        "held",
+        F.when((F.size("held") >= least) & reduce(or_, may), F.col("text")).alias("text"),
     )
 
 
-def blocks(docs: DataFrame, id_col: str, text_col: str, dictionary: list[str], span: int) -> DataFrame:
-    """id, block, held: for each line, and each window of 2 * ``span`` words (numbered from -1
-    down), the distinct words of it that some template has."""
-    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+def dictionary(rows: list[dict]) -> Column:
+    return F.array(*[F.lit(w) for w in sorted({w for r in rows for w in r["words"]})])
 
-    def held(words: Column) -> Column:
-        return F.array_distinct(F.filter(words, lambda w: w.isin(dictionary)))
 
+def blocks(texts: DataFrame, rows: list[dict]) -> DataFrame:
+    """id, block, held: for each line, and each window (numbered from -1 down) of twice the words of
+    the longest template, its distinct words that some template has."""
+    span = max(r["length"] for r in rows)
     lines = texts.select("id", F.posexplode(F.split("text", "\n")))
-    lines = lines.select("id", F.col("pos").alias("block"), held(F.split(spaced(F.col("col")), " ")).alias("held"))
+    lines = lines.select("id", F.col("pos").alias("block"), F.split(spaced(F.col("col")), " ").alias("words"))
     words = texts.where(F.col("text").contains("\n")).select("id", F.split(spaced(F.col("text")), " ").alias("words"))
     starts = F.sequence(F.lit(0), F.size("words") - 1, F.lit(span))
     windows = words.select("id", F.posexplode(F.transform(starts, lambda i: F.slice("words", i + 1, 2 * span))))
-    return lines.unionByName(windows.select("id", (-1 - F.col("pos")).alias("block"), held(F.col("col")).alias("held")))
+    windows = windows.select("id", (-1 - F.col("pos")).alias("block"), F.col("col").alias("words"))
+    return lines.unionByName(windows).select("id", "block", F.array_intersect("words", dictionary(rows)).alias("held"))
 
 
 def template_rows(templates=TEMPLATES, threshold: float = THRESHOLD) -> list[dict]:
     rows = []
     for number, (label, text) in enumerate(templates):
         words = sorted(set(words_of(text)))
-        rows.append({"template": number, "label": label, "words": words, "overlap": math.ceil(threshold * len(words) - 1e-9)})
+        overlap = math.ceil(threshold * len(words) - 1e-9)
+        rows.append({"template": number, "label": label, "words": words, "overlap": overlap, "length": len(words_of(text))})
     return rows
 
 
-def containment_join(docs: DataFrame, id_col="doc_id", text_col="text", templates=TEMPLATES, threshold=THRESHOLD) -> DataFrame:
-    """id, block, template, label, containment: every line and window of every text that holds at least
-    ``threshold`` of a template's distinct words."""
-    spark = docs.sparkSession
-    rows = template_rows(templates, threshold)
-    dictionary = sorted({w for r in rows for w in r["words"]})
+def containment_join(read: DataFrame, rows: list[dict]) -> DataFrame:
+    """id, block, template, label, containment: every line and window of every text (see ``read_once``)
+    that holds at least ``overlap`` of a template's distinct words."""
+    spark = read.sparkSession
     least = min(r["overlap"] for r in rows)
-    found = blocks(docs, id_col, text_col, dictionary, max(len(words_of(text)) for _, text in templates)).where(F.size("held") > 0)
-    # What can meet no template for its length still counts in the frequencies below.
-    counted = found.select(F.explode("held").alias("word")).groupBy("word").count()
+    counted = read.select(F.explode("held").alias("word")).groupBy("word").count()
     order = {r["word"]: r["count"] for r in counted.collect()}  # at most one row per template word
-    rank = {w: i for i, w in enumerate(sorted(dictionary, key=lambda w: (order.get(w, 0), w)))}
+    every = sorted({w for r in rows for w in r["words"]})
+    rank = {w: i for i, w in enumerate(sorted(every, key=lambda w: (order.get(w, 0), w)))}
+    found = blocks(read.where("text is not null"), rows)
 
     prefixes = []
     for r in rows:
@@ -154,12 +162,11 @@ def containment_join(docs: DataFrame, id_col="doc_id", text_col="text", template
     )
 
 
-def scan(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+def scan(docs: DataFrame, id_col="doc_id", text_col="text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: base places and labels, and those of the join."""
-    met = staged(containment_join(docs, id_col, text_col), "licenses").groupBy("id").agg(
-        F.collect_set("label").alias("met"), F.max("containment").alias("best")
-    )
-    base = base_places(docs, id_col, text_col)
+    rows = template_rows(templates, threshold)
+    base = staged(read_once(docs, id_col, text_col, rows), "texts")
+    met = staged(containment_join(base, rows), "licenses").groupBy("id").agg(F.collect_set("label").alias("met"), F.max("containment").alias("best"))
     labels = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("met", F.array().cast("array<string>")))))
     return base.join(met.withColumnRenamed("id", "met_id"), F.col("id").eqNullSafe(F.col("met_id")), "left").select(
         "id",
