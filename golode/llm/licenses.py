@@ -2,8 +2,9 @@
 
 Base: places where the words of a known phrase stand in a row. The join: a block (a line of a
 text, or, since notices are wrapped over lines, a window over the words of a text of several
-lines; windows are twice as long as the longest template and overlap by half) meets a template when
-it holds at least THRESHOLD of the template's distinct words. Every text is read once: that pass
+lines; windows are twice as long as the longest template and overlap by half, and of one that passes
+the filters, parts of twice the template's own length count, which overlap by half as well) meets a
+template when it holds at least THRESHOLD of the template's distinct words. Every text is read once: that pass
 finds the base places and the template words of the text. A text that lacks too many words of each
 template has no block that meets one; the others go on with their blocks. Tokens are ordered by how
 many texts of the whole table hold them, rarest first. A block can only meet a
@@ -100,8 +101,8 @@ def dictionary(rows: list[dict]) -> Column:
 
 
 def blocks(texts: DataFrame, rows: list[dict]) -> DataFrame:
-    """id, block, held: for each line, and each window (numbered from -1 down) of twice the words of
-    the longest template, its distinct words that some template has."""
+    """id, block, words, held: for each line, and each window (numbered from -1 down) of twice the words
+    of the longest template, its words and those distinct ones that some template has."""
     span = max(r["length"] for r in rows)
     lines = texts.select("id", F.posexplode(F.split("text", "\n")))
     lines = lines.select("id", F.col("pos").alias("block"), F.split(spaced(F.col("col")), " ").alias("words"))
@@ -109,7 +110,7 @@ def blocks(texts: DataFrame, rows: list[dict]) -> DataFrame:
     starts = F.sequence(F.lit(0), F.size("words") - 1, F.lit(span))
     windows = words.select("id", F.posexplode(F.transform(starts, lambda i: F.slice("words", i + 1, 2 * span))))
     windows = windows.select("id", (-1 - F.col("pos")).alias("block"), F.col("col").alias("words"))
-    return lines.unionByName(windows).select("id", "block", F.array_intersect("words", dictionary(rows)).alias("held"))
+    return lines.unionByName(windows).select("id", "block", "words", F.array_intersect("words", dictionary(rows)).alias("held"))
 
 
 def template_rows(templates=TEMPLATES, threshold: float = THRESHOLD) -> list[dict]:
@@ -136,9 +137,9 @@ def containment_join(read: DataFrame, rows: list[dict]) -> DataFrame:
     for r in rows:
         ranked = sorted(r["words"], key=rank.get)
         for i, word in enumerate(ranked[: len(ranked) - r["overlap"] + 1]):
-            prefixes.append((word, r["template"], r["label"], r["overlap"], i, ranked))
+            prefixes.append((word, r["template"], r["label"], r["overlap"], i, ranked, r["length"]))
     side = spark.createDataFrame(
-        prefixes, "word string, template int, label string, overlap int, t_pos int, t_words array<string>"
+        prefixes, "word string, template int, label string, overlap int, t_pos int, t_words array<string>, t_length int"
     )
     # The template's words in the block, in the global order: a translation of ranks to words and back.
     ranks = F.create_map(*[x for w, i in rank.items() for x in (F.lit(w), F.lit(i))])
@@ -147,14 +148,17 @@ def containment_join(read: DataFrame, rows: list[dict]) -> DataFrame:
     long_enough = (
         found.where(F.size("held") >= least)
         .where(F.exists("held", lambda w: w.isin(leads)))
-        .select("id", "block", ordered.alias("held"))
+        .select("id", "block", "words", ordered.alias("held"))
     )
-    tokens = long_enough.select("id", "block", F.col("held.word").alias("b_words"), F.posexplode("held").alias("b_pos", "at"))
-    tokens = tokens.select("id", "block", "b_words", "b_pos", F.col("at.word").alias("word")).where(F.col("word").isin(leads))
+    tokens = long_enough.select("id", "block", "words", F.col("held.word").alias("b_words"), F.posexplode("held").alias("b_pos", "at"))
+    tokens = tokens.select("id", "block", "words", "b_words", "b_pos", F.col("at.word").alias("word")).where(F.col("word").isin(leads))
     paired = tokens.join(F.broadcast(side), "word").where(
         F.least(F.size("t_words") - F.col("t_pos"), F.size("b_words") - F.col("b_pos")) >= F.col("overlap")
     )
-    shared = F.size(F.array_intersect("t_words", "b_words"))
+    # Of a window only a part counts that is twice as long as this template.
+    places = F.sequence(F.lit(1), F.size("words"), F.col("t_length"))
+    inside = F.transform(places, lambda i: F.size(F.array_intersect("t_words", F.slice("words", i, 2 * F.col("t_length")))))
+    shared = F.when(F.col("block") >= 0, F.size(F.array_intersect("t_words", "b_words"))).otherwise(F.array_max(inside))
     return (
         paired.where(shared >= F.col("overlap"))
         .select("id", "block", "template", "label", (shared / F.size("t_words")).alias("containment"))
