@@ -17,15 +17,18 @@ copies cost one representative. Then:
  2. each ordered sample also has a wide bucket, of its smallest k-mer alone (and texts of under SHORT
     words, few of whose k-mers outlive an edit, buckets of three words in order). Wide buckets hold
     any pair of SIMILARITY but for a rest that ``test_recall_of_scattered_edits`` measures. A first
-    pass over them keeps the rows that bounds leave a partner of another class; a second pass, over
-    these rows with their words, aligns every pair that is not linked yet and gives a spanning
-    forest of the links of a bucket: never more rows than the bucket has, and no link between
-    classes is lost.
+    pass over them keeps what bounds leave of the pairs of different classes: the pairs themselves,
+    which are verified once however many buckets they share, where there are at most SPARSE for each
+    row of the bucket; else the rows, and of each its likeliest pair, which is verified as well. A
+    second pass, over the rows of such buckets that still are of several classes, with their words,
+    aligns every pair that is not linked yet and gives a spanning forest of the links of a bucket.
+    So rows grow with those of the buckets, and no link between classes is lost.
 A pair is left out before the alignment only where bounds show that it can't be similar: its
 lengths, or the labelled words that one text has and the other lacks (in the first pass counted in
 bits by hash, at least as many bits as words; in the second exactly). A wide bucket of over BLOCK
 rows (in the second pass: of over CELL_WORDS words) is dealt to all pairs of its cells, so each pair
-meets in one task and no task holds more than two cells; that costs rows times cells, and the
+meets in one task and no task holds more than two cells; that costs rows times cells, but the rows
+of the largest class of a bucket do not meet each other, and cost only the cells of the others. The
 comparisons of bits within a bucket grow with the square of its rows of like length. Components come
 from alternating large-star and small-star rounds on tables in the shared folder: no links are
 collected. Keys that hold over 1 / HEAVY of all rows are joined by broadcast (HEAVY rows at most).
@@ -61,6 +64,8 @@ WINDOW = 64
 #: Rows of a cell of a large bucket, and words of one.
 BLOCK = 8000
 CELL_WORDS = 250_000
+#: Pairs for each row of a wide bucket up to which pairs are kept in place of rows.
+SPARSE = 4
 #: The fewest bits that stand for a text's words.
 BITS = 512
 _MIX = np.random.default_rng(20240229).integers(1, 2**63, SAMPLES, dtype=np.int64).astype(np.uint64) | np.uint64(1)
@@ -320,19 +325,18 @@ def nearest_before(rows: pa.Table) -> tuple[list[int], list[int]]:
     return found
 
 
-def contested(rows: pa.Table) -> np.ndarray:
-    """Which rows have a partner of another class (and cell, if there are several) that bounds
-    on their lengths and bits leave as possibly similar."""
+def open_pairs(rows: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """A row and those no longer than it that are of another class (and cell, if there are several)
+    and that bounds on lengths and bits leave as possibly similar, the likeliest first."""
     classes, cells, sizes = columns(rows, "class", "cell", "n_words")
-    mark = np.zeros(len(sizes), bool)
     if (classes == classes[0]).all():
-        return mark
+        return
     order = np.argsort(sizes, kind="stable")
     classes, cells, sizes = classes[order], cells[order], sizes[order]
     most = most_edits(sizes)
     lows = np.searchsorted(sizes, sizes - most)
     if (lows == np.arange(len(sizes))).all():
-        return mark
+        return
     apart = bool((cells != cells[0]).any())
     bits = rows.column("bits").to_pylist()
     bits = [bits[k] for k in order]
@@ -355,10 +359,19 @@ def contested(rows: pa.Table) -> np.ndarray:
             if not open_.any():
                 continue
             common = np.bitwise_count(data[a - lo : b - lo] & data[i - lo]).sum(1, dtype=np.int64)
-            open_ &= np.maximum(counts[a - lo : b - lo], counts[i - lo]) - common <= most[i]
+            least = np.maximum(counts[a - lo : b - lo], counts[i - lo]) - common
+            open_ &= least <= most[i]
             if open_.any():
-                mark[order[i]] = True
-                mark[order[a:b][open_]] = True
+                at = np.flatnonzero(open_)
+                yield int(order[i]), order[a + at[np.argsort(least[at], kind="stable")]]
+
+
+def contested(rows: pa.Table) -> np.ndarray:
+    """Which rows are in an open pair."""
+    mark = np.zeros(len(rows), bool)
+    for i, near in open_pairs(rows):
+        mark[i] = True
+        mark[near] = True
     return mark
 
 
@@ -366,6 +379,8 @@ def linked(rows: pa.Table) -> tuple[list[int], list[int]]:
     """Links that connect the rows of a bucket as far as similar texts of different classes (and
     cells, if there are several) do; a pair that is connected already is not aligned."""
     classes, cells, ids, sizes = columns(rows, "class", "cell", "id", "n_words")
+    if (classes == classes[0]).all():
+        return [], []
     order = np.lexsort((ids, sizes))
     classes, cells, ids, sizes = classes[order], cells[order], ids[order], sizes[order]
     raw = rows.column("words").to_pylist()
@@ -409,14 +424,24 @@ def dealt(rows: DataFrame, weight, most: int, all_pairs: bool) -> DataFrame:
     if large.isEmpty():
         return rows.withColumn("cell", whole)
     names = [*rows.columns, "cell"]
-    split = rows.join(large, "home").withColumn("cell", F.pmod(F.xxhash64("id", "home"), "cells"))
+    small = rows.join(large, "home", "left_anti").withColumn("cell", whole).select(names)
+    deal = F.xxhash64("id", "home")
     if all_pairs:
-        split = split.withColumn("other", F.explode(F.sequence(whole, F.col("cells") - 1)))
+        # Cells of the class of most weight come first, and meet those of the others only.
+        of_class = rows.join(large, "home", "left_semi").groupBy("home", "class").agg(F.sum(weight).alias("size"))
+        main = of_class.groupBy("home").agg(F.max(F.struct("size", "class")).alias("main"), F.sum("size").alias("size"))
+        main = main.where(F.col("size") > F.col("main.size"))
+        mains, others = F.ceil(F.col("main.size") / most), F.ceil((F.col("size") - F.col("main.size")) / most)
+        main = staged(main.select("home", F.col("main.class").alias("main"), mains.alias("mains"), others.alias("others")), "main")
+        split = rows.join(main, "home").withColumn("is_main", F.col("class") == F.col("main"))
+        first, last = F.when(F.col("is_main"), F.col("mains")).otherwise(whole), F.col("mains") + F.col("others") - 1
+        apart = F.when(F.col("is_main"), F.pmod(deal, "mains")).otherwise(F.col("mains") + F.pmod(deal, "others"))
+        split = split.withColumn("cell", apart).withColumn("other", F.explode(F.sequence(first, last)))
         part = F.xxhash64("home", F.least("cell", "other"), F.greatest("cell", "other"))
     else:
+        split = rows.join(large, "home").withColumn("cell", F.pmod(deal, "cells"))
         part = F.xxhash64("home", "cell")
-    split = split.withColumn("bucket", part).select(names)
-    return rows.join(large, "home", "left_anti").withColumn("cell", whole).select(names).unionByName(split)
+    return small.unionByName(split.withColumn("bucket", part).select(names))
 
 
 def by_bucket(rows: DataFrame, run, schema: str) -> DataFrame:
@@ -437,11 +462,30 @@ def links_by_bucket(find):
 
 
 def contested_by_bucket(batches):
+    """Of a bucket with few open pairs, the pairs (id, other); else its rows in open pairs (other is
+    null), and of each row its likeliest open pair."""
     for rows in buckets(batches):
-        mark = contested(rows)
-        if mark.any():
-            kept = rows.select(["home", "class", "id", "n_words"]).filter(pa.array(mark))
-            yield from kept.combine_chunks().to_batches()
+        mark = np.zeros(len(rows), bool)
+        pairs: list[tuple[int, np.ndarray]] = []
+        count, few = 0, True
+        for i, near in open_pairs(rows):
+            mark[i] = True
+            mark[near] = True
+            count += len(near)
+            if few and count > SPARSE * len(rows):
+                pairs, few = [(k, others[:1].copy()) for k, others in pairs], False
+            pairs.append((i, near if few else near[:1].copy()))
+        if not pairs:
+            continue
+        one = np.repeat(np.array([i for i, _ in pairs]), [len(near) for _, near in pairs])
+        two = np.concatenate([near for _, near in pairs])
+        ids = rows.column("id").combine_chunks()
+        none = pa.nulls(len(one), pa.int64())
+        names = ["home", "class", "id", "n_words", "other"]
+        yield pa.RecordBatch.from_arrays([none, none, ids.take(pa.array(one)), none, ids.take(pa.array(two))], names)
+        if not few:
+            kept = rows.select(names[:4]).filter(pa.array(mark))
+            yield from kept.append_column("other", pa.nulls(len(kept), pa.int64())).combine_chunks().to_batches()
 
 
 def tried_first(reps: DataFrame) -> DataFrame:
@@ -452,11 +496,21 @@ def tried_first(reps: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def linked_widely(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """a, b: links between classes in the wide buckets."""
+def pairs_and_rows(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """a, b: open pairs of the wide buckets; and the rows (bucket, class, id, n_words) of those that
+    have more pairs than are kept."""
     rows = reps.where(F.size("wide") > 0).select(F.explode("wide").alias("bucket"), "class", "id", "n_words", "bits")
-    rows = by_bucket(dealt(rows, F.lit(1), BLOCK, True), contested_by_bucket, "home long, class long, id long, n_words long")
-    rows = staged(rows.distinct().withColumnRenamed("home", "bucket"), "contested")
+    schema = "home long, class long, id long, n_words long, other long"
+    found = by_bucket(dealt(rows, F.lit(1), BLOCK, True), contested_by_bucket, schema)
+    found = staged(found.withColumnRenamed("home", "bucket"), "contested")
+    pairs = found.where("other IS NOT NULL").select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b"))
+    return pairs.distinct(), found.where("other IS NULL").drop("other").distinct()
+
+
+def linked_widely(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """a, b: links between classes among the rows of wide buckets."""
+    several = rows.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
+    rows = staged(rows.join(several.select("bucket"), "bucket", "left_semi"), "dense")
 
     def hashed(batches):
         _WORDS.own()
@@ -522,23 +576,31 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = staged(sketches(docs, id_col, text_col), "sketches")
     first = [F.first(c).alias(c) for c in ("n_words", "samples", "wide", "bits", "brief")]
     reps = staged(found.groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), *first), "reps")
-    links = staged(verified(tried_first(reps), docs, id_col, text_col), "links")
+    links = staged(verified(staged(tried_first(reps), "pairs"), docs, id_col, text_col), "links")
     classes = staged(components(links), "classes")
 
-    def labelled():
+    def labelled(rows):
         known = classes.withColumnRenamed("class", "of")
-        return reps.join(known, "id", "left").withColumn("class", F.coalesce("of", "id")).drop("of")
+        return rows.join(known, "id", "left").withColumn("class", F.coalesce("of", "id")).drop("of")
+
+    def joined(more):
+        stars = classes.select(F.col("id").alias("a"), F.col("class").alias("b"))
+        return staged(components(stars.unionByName(more)), "classes")
 
-    more = staged(linked_widely(labelled(), docs, id_col, text_col), "wide_links")
+    pairs, rows = pairs_and_rows(labelled(reps))
+    more = staged(verified(staged(pairs, "pairs"), docs, id_col, text_col), "wide_links")
     if not more.isEmpty():
-        classes = staged(components(links.unionByName(more)), "classes")
+        classes = joined(more)
+    if not rows.isEmpty():
+        more = staged(linked_widely(labelled(rows), docs, id_col, text_col), "wide_links")
+        if not more.isEmpty():
+            classes = joined(more)
 
-    named = labelled().select("digest", "copies", F.col("class").alias("class_id"))
+    named = labelled(reps).select("digest", "copies", F.col("class").alias("class_id"))
     sizes = named.groupBy("class_id").agg(F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("n"))
     total = reps.count()
     named = staged(heavy_join(named, sizes, "class_id", "n", total).select("digest", "copies", "class_id", "class_size"), "named")
-    rows = docs.count()
-    out = heavy_join(found.select("id", "digest"), named, "digest", "copies", rows).select("id", "class_id", "class_size")
+    out = heavy_join(found.select("id", "digest"), named, "digest", "copies", docs.count()).select("id", "class_id", "class_size")
     alone = docs.where(F.col(id_col).cast("long").isNull())
     null = F.lit(None).cast("long")
     return out.unionByName(alone.select(null.alias("id"), null.alias("class_id"), F.lit(1).cast("long").alias("class_size")))

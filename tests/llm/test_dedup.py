@@ -108,6 +108,32 @@ def test_large_buckets_are_split(spark, monkeypatch, block, words):
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
 
 
+@pytest.mark.parametrize(("block", "words"), [(8000, 250_000), (4, 300)])
+def test_buckets_of_many_open_pairs(spark, monkeypatch, block, words):
+    monkeypatch.setattr(near_dedup, "SPARSE", 0)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "CELL_WORDS", words)
+    texts = corpus()
+    got = {r["id"]: r["class_id"] for r in near_dedup.near_dedup(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts)
+
+
+@pytest.mark.parametrize("n", [100, 400])
+def test_one_text_beside_a_large_class_costs_in_proportion(spark, n):
+    rows = spark.range(n + 1).selectExpr("1L AS bucket", f"if(id = {n}, 1L, 0L) AS class", "id", "400L AS n_words")
+    parts = near_dedup.dealt(rows, F.lit(1), 10, True).collect()
+    assert len(parts) <= n + n / 10 + 1
+    met = {}
+    for r in parts:
+        met.setdefault(r["bucket"], []).append((r["id"], r["cell"]))
+    lone = [(i, c, j, d) for m in met.values() for i, c in m if i == n for j, d in m if j != n]
+    assert {j for _, _, j, _ in lone} == set(range(n)) and all(c != d for _, c, _, d in lone)
+    bits = near_dedup.word_bits(np.arange(400, dtype=np.uint64))
+    reps = rows.select("class", "id", "n_words", F.array("bucket").alias("wide"), F.lit(bits).alias("bits"))
+    pairs, dense = near_dedup.pairs_and_rows(reps)
+    assert {tuple(r) for r in pairs.collect()} == {(n, i) for i in range(n)} and dense.isEmpty()
+
+
 def scattered(words, share, rng):
     out = list(words)
     for at in rng.choice(len(out), int(share * len(out)), replace=False):
