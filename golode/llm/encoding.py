@@ -18,9 +18,12 @@ from golode.llm.common import Kept
 
 #: White space as the patterns of the vocabularies mean it (Unicode White_Space).
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_BYTE_PIECES = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
+LETTERS, SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
 #: Latin-1 letters, then ASCII signs: under either pattern one piece each, without normalising.
-_SIMPLE_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_SIMPLE_WORD = re.compile(f"([{LETTERS}]+)([{SIGNS}]*)")
+_BYTE_PIECES = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
+#: The same, but signs after a simple word are a piece of their own, so that a word is kept once.
+_SIGNS_APART = re.compile(f" ?[{LETTERS}]++(?=[{SIGNS}]*+(?![^{WHITE}]))|{_BYTE_PIECES.pattern}")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -55,7 +58,7 @@ class Encoder:
         self.library.encode_special_tokens = True
         self.model = self.library.model
         self.lower = self.library.normalizer is not None
-        self.pieces = blank_pieces if self.lower else byte_pieces
+        self.pieces = blank_pieces if self.lower else _SIGNS_APART.findall
         self.kept = Kept(self._of_bytes if self.lower else self._of_text)
 
     def _whole(self, text: str) -> bytes:
@@ -79,6 +82,8 @@ class Encoder:
 
     def _of_text(self, piece: str) -> bytes:
         blank = piece[0] == " "
+        if piece.isascii() and (piece[1:] if blank else piece).isalpha():
+            return self._model("Ġ" + piece[1:] if blank else piece)
         simple = _SIMPLE_WORD.fullmatch(piece, 1 if blank else 0)
         if not simple:
             return self._whole(piece)

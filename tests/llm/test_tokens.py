@@ -34,6 +34,18 @@ def test_encoder_equals_library(name):
         assert got == library.encode(text or "", add_special_tokens=False).ids, text
 
 
+def test_words_are_kept_once_for_all_signs():
+    enc = encoder("byte_bpe_50k.json")
+    enc.kept.forget()
+    enc.encode("one word, a word. a word\nword")
+    assert " word" in enc.kept and not {" word,", " word."} & set(enc.kept)
+    random.seed(4)
+    marks = ["word", "été", "Été", "don't", "a1", "日本", " ", "  ", "\n", "\t", "\xa0", ",", ".", "...", "'s", "(", "\"", "_", "é", "–", "'", "\r\n", "<|endoftext|>"]
+    for _ in range(3000):
+        text = "".join(random.choices(marks, k=8))
+        assert enc.encode(text) == array("I", enc.library.encode(text, add_special_tokens=False).ids).tobytes(), text
+
+
 def test_packing_is_exact(spark):
     random.seed(2)
     texts = TEXTS + [" ".join(random.choice("abcdefgh") for _ in range(random.randrange(3000))) for _ in range(60)]
