@@ -95,6 +95,30 @@ def heavy_join(many: DataFrame, few: DataFrame, key: str, count: str, rows: int)
     return many.join(heavy.select(key), key, "left_anti").join(few.where(~frequent), key).unionByName(apart)
 
 
+#: The most bits of a filter of keys, and bits for each key up to there.
+FILTER_BITS, KEY_BITS = 1 << 25, 16
+
+
+def maybe_in(rows: DataFrame, key: str, few: DataFrame) -> DataFrame:
+    """rows whose key is in the column ``key`` of few, and some others: a Bloom filter of bounded size,
+    broadcast, so that most rows without a partner are not shuffled. A join has to follow."""
+    spark = rows.sparkSession
+    bits = min(FILTER_BITS, 1 << max(12, (few.count() * KEY_BITS - 1).bit_length()))
+    hashed = F.xxhash64(F.col(key).cast("long"))
+    slots = [hashed.bitwiseAND(F.lit(bits - 1)), F.shiftright(hashed, 32).bitwiseAND(F.lit(bits - 1))]
+    set_ = few.select(F.explode(F.array(*slots)).alias("slot")).selectExpr("shiftright(slot, 6) AS at", "shiftleft(1L, cast(slot & 63 AS int)) AS held")
+    every = spark.range(bits >> 6).selectExpr("id AS at", "0L AS held")
+    numbers = set_.unionByName(every).groupBy("at").agg(F.bit_or("held").alias("held"))
+    name = free_name(rows, "filter")
+    one = numbers.agg(F.sort_array(F.collect_list(F.struct("at", "held")))["held"].alias(name))
+
+    def holds(slot):
+        number = F.get(F.col(name), F.shiftright(slot, 6).cast("int"))
+        return F.call_function("shiftright", number, slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return rows.crossJoin(F.broadcast(one)).where(holds(slots[0]) & holds(slots[1])).drop(name)
+
+
 #: Bytes that a process keeps of what it worked out for words or pieces of one operator.
 KEPT_BYTES = 32 << 20
 _OWNERS: list[Kept] = []

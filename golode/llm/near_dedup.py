@@ -31,7 +31,9 @@ meets in one task and no task holds more than two cells; that costs rows times c
 of the largest class of a bucket do not meet each other, and cost only the cells of the others. The
 comparisons of bits within a bucket grow with the square of its rows of like length. Components come
 from alternating large-star and small-star rounds on tables in the shared folder: no links are
-collected. Keys that hold over 1 / HEAVY of all rows are joined by broadcast (HEAVY rows at most).
+collected; they end when all that is left are stars. Keys that hold over 1 / HEAVY of all rows are
+joined by broadcast (HEAVY rows at most). Rows of buckets, and texts, that have no partner are mostly
+dropped before they are shuffled, by a filter of bounded size (``maybe_in``).
 
 Defined results: texts of under SHINGLE words are duplicates only of texts of equal words; null
 text counts as empty, and all empty texts are one class; an empty table gives no rows; of a class
@@ -50,7 +52,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from golode.llm.common import Kept, free_name, heavy_join, shuffle_width, staged, table, text_or_empty
+from golode.llm.common import Kept, free_name, heavy_join, maybe_in, shuffle_width, staged, table, text_or_empty
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -66,6 +68,8 @@ BLOCK = 8000
 CELL_WORDS = 250_000
 #: Pairs for each row of a wide bucket up to which pairs are kept in place of rows.
 SPARSE = 4
+#: Links of a task that writes them.
+EDGES = 100_000
 #: The fewest bits that stand for a text's words.
 BITS = 512
 _MIX = np.random.default_rng(20240229).integers(1, 2**63, SAMPLES, dtype=np.int64).astype(np.uint64) | np.uint64(1)
@@ -416,9 +420,13 @@ def linked(rows: pa.Table) -> tuple[list[int], list[int]]:
 
 def dealt(rows: DataFrame, weight, most: int, all_pairs: bool) -> DataFrame:
     """rows with ``cell`` (0, or in a bucket whose weights sum to over ``most``, one of its cells),
-    bucket then naming a cell or, with ``all_pairs``, each pair of cells; ``home`` is the bucket."""
-    sizes = rows.groupBy("bucket").agg(F.sum(weight).alias("size")).where(F.col("size") > most)
-    large = staged(sizes.select(F.col("bucket").alias("home"), F.ceil(F.col("size") / most).alias("cells")), "large")
+    bucket then naming a cell or, with ``all_pairs``, each pair of cells; ``home`` is the bucket.
+    Most rows of buckets of one row (with ``all_pairs``, of one class) are left out."""
+    mates = "class" if all_pairs else "id"
+    sizes = rows.groupBy("bucket").agg(F.sum(weight).alias("size"), F.min(mates).alias("low"), F.max(mates).alias("high"))
+    live = staged(sizes.where("low < high").select("bucket", "size"), "live")
+    rows = maybe_in(rows, "bucket", live)
+    large = live.where(F.col("size") > most).select(F.col("bucket").alias("home"), F.ceil(F.col("size") / most).alias("cells"))
     rows = rows.withColumn("home", F.col("bucket"))
     whole = F.lit(0).cast("long")
     if large.isEmpty():
@@ -509,8 +517,8 @@ def pairs_and_rows(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def linked_widely(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """a, b: links between classes among the rows of wide buckets."""
-    several = rows.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-    rows = staged(rows.join(several.select("bucket"), "bucket", "left_semi"), "dense")
+    rows = staged(dealt(rows, F.col("n_words"), CELL_WORDS, True), "dense")
+    wanted = rows.select("id")
 
     def hashed(batches):
         _WORDS.own()
@@ -518,10 +526,10 @@ def linked_widely(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str)
             words = [word_hashes(words_of(text.as_py())).tobytes() for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], ["id", "words"])
 
-    texts = texts_of(docs, id_col, text_col).join(rows.select("id").distinct(), "id", "left_semi")
+    texts = maybe_in(texts_of(docs, id_col, text_col), "id", wanted).join(wanted, "id", "left_semi")
     words = texts.mapInArrow(hashed, "id long, words binary").groupBy("id").agg(F.min("words").alias("words"))
     words = words.withColumn("n", (F.octet_length("words") / 8).cast("long"))
-    full = dealt(rows, F.col("n_words"), CELL_WORDS, True).join(words, "id").drop("n_words").withColumnRenamed("n", "n_words")
+    full = rows.join(words, "id").drop("n_words").withColumnRenamed("n", "n_words")
     return by_bucket(full, links_by_bucket(linked), "a long, b long").distinct()
 
 
@@ -537,9 +545,9 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
             ]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     # Repeated ids: any row will do, for classes of ids are looked up by id.
-    texts = texts_of(docs, id_col, text_col).join(wanted, "id", "left_semi")
+    texts = maybe_in(texts_of(docs, id_col, text_col), "id", wanted)
     joined = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a").join(
         texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b"
     )
@@ -548,26 +556,30 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
 
 def components(links: DataFrame) -> DataFrame:
     """id, class: the smallest id that an id of a link is connected with (ids that are smallest
-    themselves are left out). Alternates large-star and small-star until nothing changes."""
+    themselves are left out). Alternates large-star and small-star until all that is left are stars."""
+    width = shuffle_width(links.sparkSession)
 
-    def mark(df):
-        return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    def state(df):
+        """Edges, and nodes that have several edges up, or edges up and down."""
+        ends = df.select("u", F.lit(1).alias("up")).unionByName(df.select(F.col("v").alias("u"), F.lit(0).alias("up")))
+        nodes = ends.groupBy("u").agg(F.sum("up").alias("ups"), F.min("up").alias("low"))
+        unsettled = F.col("ups") > F.when(F.col("low") == 0, 0).otherwise(1)
+        return nodes.agg(F.coalesce(F.sum("ups"), F.lit(0)), F.count(F.when(unsettled, 1))).first()
 
     edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = mark(edges)
-    while before[0]:
+    count, unsettled = state(edges)
+    while unsettled:
+        tasks = min(width, 6 + count // EDGES)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = heavy_join(both.where("v > u"), least, "u", "n", 2 * before[0])
-        large = staged(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().where("u <> v"), "large_star")
+        large = heavy_join(both.where("v > u"), least, "u", "n", 2 * count)
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().where("u <> v")
+        large = staged(large.coalesce(tasks), "large_star")
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = heavy_join(large, least, "u", "n", before[0])
+        small = heavy_join(large, least, "u", "n", count)
         down = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        edges = staged(down.where("u <> v").distinct(), "small_star")
-        after = mark(edges)
-        if after == before:
-            break
-        before = after
+        edges = staged(down.where("u <> v").distinct().coalesce(tasks), "small_star")
+        count, unsettled = state(edges)
     return edges.select(F.col("u").alias("id"), F.col("v").alias("class"))
 
 

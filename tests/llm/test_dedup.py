@@ -257,3 +257,26 @@ def test_banded_alignment():
 def test_components_of_a_chain(spark, n):
     links = spark.createDataFrame([(i + 1, i) for i in range(n)], "a long, b long")
     assert {tuple(r) for r in near_dedup.components(links).collect()} == {(i, 0) for i in range(1, n + 1)}
+
+
+def test_rows_without_a_partner_are_not_dealt(spark):
+    rows = spark.range(4000).selectExpr("if(id < 40, id % 20, id) AS bucket", "id % 2 AS class", "id", "40L AS n_words")
+    for all_pairs, together in ((False, set(range(40))), (True, set())):
+        got = {r["id"] for r in near_dedup.dealt(rows, F.lit(1), 10, all_pairs).collect()}
+        assert together <= got and len(got) < 400
+    assert common.maybe_in(rows, "id", rows.where("id < 0").select("id")).isEmpty()
+    some = rows.where("id % 10 = 3").select((F.col("id") - 2000).alias("id"))
+    got = {r["id"] for r in common.maybe_in(rows.select((F.col("id") - 2000).alias("id"), F.lit(1).alias("filter")), "id", some).collect()}
+    assert {r["id"] for r in some.collect()} <= got and len(got) < 800
+
+
+def test_components_stop_at_stars(spark, monkeypatch):
+    names = []
+    real = near_dedup.staged
+    monkeypatch.setattr(near_dedup, "staged", lambda df, name: names.append(name) or real(df, name))
+    star = spark.createDataFrame([(i, 0) for i in range(1, 9)] + [(i, 20) for i in (21, 22)], "a long, b long")
+    assert {tuple(r) for r in near_dedup.components(star).collect()} == {tuple(r) for r in star.collect()}
+    assert names == ["edges"]
+    links = [(i, i + 1) for i in range(0, 60)] + [(70, 70), (80, 90), (85, 90), (85, 99)]
+    got = near_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {tuple(r) for r in got} == {(i, 0) for i in range(1, 61)} | {(i, 80) for i in (85, 90, 99)}
