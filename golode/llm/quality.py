@@ -225,7 +225,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", mo
     starts = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())])
     stats = np.array(rows.column("stats").to_pylist(), np.float32).reshape(-1, STATS)
     y = rows.column("y").to_numpy().astype(np.float32)
-    return Machine().fit(starts, ids.flatten().to_numpy(), weights.flatten().to_numpy(), stats, y)
+    machine = Machine().fit(starts, ids.flatten().to_numpy(), weights.flatten().to_numpy(), stats, y)
+    # Else Arrow keeps the pages of the sample on the driver for as long as it lives.
+    del rows, ids, weights
+    pa.default_memory_pool().release_unused()
+    return machine
 
 
 def scored(docs: DataFrame, machine: Machine, id_col="doc_id", text_col="text") -> DataFrame:

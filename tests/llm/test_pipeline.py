@@ -50,3 +50,16 @@ def test_stages_on_awkward_tables(spark):
         packed = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
         assert packed.select("doc_id").distinct().count() == kept.select("doc_id").distinct().count()
     clear(spark)
+
+
+def test_fit_leaves_no_sample_on_the_driver(spark):
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(int(line.split()[1]) for line in f if line.startswith(("Pss_Anon", "Pss_Shmem"))) / 1024
+
+    docs = spark.range(150).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 20000), x -> concat('w', x * 7919 + id))) AS text")
+    labels = spark.range(150).selectExpr("id AS doc_id", "1 AS quality")
+    quality.fit(docs.limit(2), labels)
+    before = held()
+    quality.fit(docs, labels)
+    assert held() - before < 15
