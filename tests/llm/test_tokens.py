@@ -46,6 +46,18 @@ def test_words_are_kept_once_for_all_signs():
         assert enc.encode(text) == array("I", enc.library.encode(text, add_special_tokens=False).ids).tobytes(), text
 
 
+def test_words_of_the_word_vocabulary_are_kept_once():
+    enc = encoder("word_bpe_49k.json")
+    enc.kept.forget()
+    enc.encode("one word, a Word. a word (wörd; wörd")
+    assert {b"word", "wörd".encode()} <= set(enc.kept) and not {b"word,", b"word.", b"Word.", "wörd;".encode()} & set(enc.kept)
+    random.seed(6)
+    marks = ["word", "Word", "été", "É", "don't", "a1", "日本", "ā", "×", "÷", "J", "\u030c", "\u0338", "=", " ", "\n", "\xa0", "\x85", "\x1c", ",", ".", "'s", "'", "_", "İ", "Σ", "<|endoftext|>"]
+    for _ in range(6000):
+        text = "".join(random.choices(marks, k=7))
+        assert enc.encode(text) == array("I", enc.library.encode(text, add_special_tokens=False).ids).tobytes(), text
+
+
 def test_packing_is_exact(spark):
     random.seed(2)
     texts = TEXTS + [" ".join(random.choice("abcdefgh") for _ in range(random.randrange(3000))) for _ in range(60)]
