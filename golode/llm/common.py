@@ -125,16 +125,16 @@ _OWNERS: list[Kept] = []
 
 
 class Kept(dict):
-    """Results by key, in two generations of half of KEPT_BYTES each: when the young one is full it
-    becomes the old one, from which keys that are met again return; the others are forgotten.
-    A process keeps those of one operator only: ``own`` empties the others."""
+    """Results by key, in two generations of half of KEPT_BYTES (``times`` as many) each: when the young
+    one is full it becomes the old one, from which keys that are met again return; the others are
+    forgotten. A process keeps those of one operator only: ``own`` empties the others."""
 
     #: Bytes of an entry beside its key and result: headers of both, and its share of the table.
     OVERHEAD = 200
 
-    def __init__(self, make):
+    def __init__(self, make, times: int = 1):
         super().__init__()
-        self.make, self.old, self.size = make, {}, 0
+        self.make, self.times, self.old, self.size = make, times, {}, 0
         _OWNERS.append(self)
 
     def own(self) -> None:
@@ -151,7 +151,7 @@ class Kept(dict):
         if got is None:
             got = self.make(key)
         self.size += self.OVERHEAD + len(key) + (len(got) if isinstance(got, bytes) else 0)
-        if self.size > KEPT_BYTES // 2:
+        if self.size > self.times * KEPT_BYTES // 2:
             self.old, self.size = dict(self), 0
             self.clear()
         self[key] = got

@@ -66,7 +66,8 @@ class Encoder:
         self.model = self.library.model
         self.lower = self.library.normalizer is not None
         self.pieces = blank_pieces if self.lower else _SIGNS_APART.findall
-        self.kept = Kept(self._of_bytes if self.lower else self._of_text)
+        # A byte-level vocabulary has pieces of their own for each case, and with and without the blank.
+        self.kept = Kept(self._of_bytes) if self.lower else Kept(self._of_text, times=2)
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import itertools
 import random
 import time
 import zlib
@@ -46,6 +47,24 @@ def test_words_are_kept_once_for_all_signs():
         assert enc.encode(text) == array("I", enc.library.encode(text, add_special_tokens=False).ids).tobytes(), text
 
 
+def test_pieces_met_again_are_not_encoded_again():
+    enc = encoder("byte_bpe_50k.json")
+    enc.kept.forget()
+    words = ["".join(w) for w in itertools.islice(itertools.product("abcdefgh", repeat=6), 0, 120_000)]
+    text = " ".join(words)
+    first = enc.encode(text)
+    make, calls = enc.kept.make, []
+    enc.kept.make = lambda piece: calls.append(piece) or make(piece)
+    try:
+        assert enc.encode(text) == first and not calls
+        for end in "xy":
+            enc.encode(" ".join(w + end for w in words))
+        assert len(calls) == 2 * len(words) and len(enc.kept) + len(enc.kept.old) < 2.5 * len(words)
+    finally:
+        enc.kept.make = make
+        enc.kept.forget()
+
+
 def test_words_of_the_word_vocabulary_are_kept_once():
     enc = encoder("word_bpe_49k.json")
     enc.kept.forget()
