@@ -11,12 +11,13 @@ twice as fast). It contracts many places in a step: every pair that no pair of l
 pair before its turn, and the result is that of one contraction at a time. Of pairs of equal rank
 that overlap (as in "aaa") each second one of the run contracts, from its left end; where a merge
 may be followed at once by one of a lower rank, only the first such pair nearby does. Steps then
-follow the length of tokens, not of the word. Decoding is an ordered aggregation of the bytes of a
-document's ids.
+follow the length of tokens, not of the word. Decoding selects the bytes of each of a document's ids from
+the list of tokens and joins them in order.
 
-Words repeat, so a process keeps the ids of pieces it has met (up to a bound in bytes) and asks
-DuckDB for the new ones of a batch in blocks; a text's ids are those of its pieces in a row, since
-the pattern never looks across the cut between pieces. DuckDB may not write to disk.
+Words repeat, so a process keeps the ids of pieces and words it has met (up to a bound in bytes) and asks
+DuckDB for the new words of a batch in blocks; a text's ids are those of its pieces in a row, since
+the pattern never looks across the cut between pieces. Signs after a simple word are a piece of their own,
+so nearly all pieces are words and each is kept once. DuckDB may not write to disk.
 
 Defined results: null text counts as empty and has no ids; special tokens are ordinary text; rows
 that repeat an id are encoded each; an empty table gives no rows; other columns are ignored.
@@ -34,10 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from golode.llm.common import portions, table, text_or_empty
-from golode.llm.encoding import byte_pieces
+from golode.llm.encoding import byte_pieces, signs_apart
 
-#: Bytes of pieces, and of words, of a generation that a process keeps, and bytes of words of a query.
-KEPT = 64 << 20
+#: Bytes of pieces and words of a generation that a process keeps, and bytes of words of a query.
+KEPT = 128 << 20
 BLOCK_BYTES = 250_000
 LONG = 64
 #: Characters of texts that are encoded together.
@@ -45,20 +46,25 @@ PORTION = 3_000_000
 #: Ids of a decoding query.
 BLOCK_IDS = 500_000
 
-#: The pair of least rank, leftmost first, of each word, packed as rank, position, next position.
+#: The pair of least rank, leftmost first, of each word, packed as rank, position and both lengths less 1.
+#: Positions run through all words with one left free after each, so that a token meets its neighbour by one key.
 ONE_BY_ONE = """
-WITH RECURSIVE step(word, pos, tok, depth) AS (
-    SELECT word, pos, tok, 0 FROM start
+WITH RECURSIVE step(word, pos, size, tok, depth) AS (
+    SELECT word, pos, 1::UTINYINT, tok, 0::UTINYINT FROM start
   UNION ALL
-    (WITH pairs AS (
-        SELECT word, pos, tok, lead(tok) OVER w AS nxt, lead(pos) OVER w AS nxt_pos
-        FROM step WINDOW w AS (PARTITION BY word ORDER BY pos)
+    -- The neighbours are kept apart, so that no plan joins tokens with all their merges first.
+    (WITH pairs AS MATERIALIZED (
+        SELECT a.word, a.pos, a.size, a.tok, b.tok AS nxt, b.size AS nxt_size FROM step a JOIN step b ON b.pos = a.pos + a.size
      ), least AS (
-        SELECT p.word, min((m.merged::BIGINT << 40) | (p.pos::BIGINT << 20) | p.nxt_pos) AS best
+        SELECT p.word, min((m.merged::BIGINT << 40) | (p.pos::BIGINT << 12) | ((p.size::BIGINT - 1) << 6) | (p.nxt_size::BIGINT - 1)) AS best
         FROM pairs p JOIN merges m ON m.l = p.tok AND m.r = p.nxt GROUP BY p.word
+     ), chosen AS (
+        SELECT word, ((best >> 12) & 268435455)::INTEGER AS place, (((best >> 6) & 63) + 1)::UTINYINT AS lsize, ((best & 63) + 1)::UTINYINT AS rsize,
+               (best >> 40)::INTEGER AS merged
+        FROM least
      )
-     SELECT s.word, s.pos, CASE WHEN s.pos = (best >> 20) & 1048575 THEN (best >> 40)::INTEGER ELSE s.tok END, s.depth + 1
-     FROM step s JOIN least l ON l.word = s.word WHERE s.pos <> best & 1048575)
+     SELECT s.word, s.pos, CASE WHEN s.pos = place THEN lsize + rsize ELSE s.size END, CASE WHEN s.pos = place THEN merged ELSE s.tok END, s.depth + 1::UTINYINT
+     FROM step s JOIN chosen l ON l.word = s.word WHERE s.pos <> place + lsize)
 )
 SELECT s.word, list(s.tok ORDER BY s.pos) AS toks
 FROM step s JOIN (SELECT word, max(depth) AS last FROM step GROUP BY word) e ON e.word = s.word AND e.last = s.depth
@@ -100,31 +106,34 @@ WITH RECURSIVE step(word, pos, tok) USING KEY (word, pos) AS (
 SELECT word, list(tok ORDER BY pos) AS toks FROM step WHERE tok >= 0 GROUP BY word
 """
 
+#: The spelling of each id of a list; those out of the table have none.
 DECODE = """
-SELECT word, string_agg(t.hexed, '' ORDER BY pos) AS hexed FROM coded JOIN tokens t ON t.id = coded.tok GROUP BY word
+SELECT word, array_to_string(list_select(spelt, ids), '') AS spelt FROM coded, tokens
 """
 
 
 class Kept:
-    """Ids by key in two generations: what is added or met again is in the young one; once that
-    holds over ``most`` bytes it becomes the old one, and the old one is forgotten."""
+    """Ids by key in two generations: what is added or met again is in the young one; ``turn`` makes
+    that the old one once it holds over ``most`` bytes, and the old one is forgotten."""
 
     def __init__(self, most: int):
         self.most, self.size, self.young, self.old = most, 0, {}, {}
 
-    def known(self, keys: set) -> dict:
-        """Those of the keys that are kept."""
-        young, old = self.young, self.old
-        found = {k: young[k] for k in keys if k in young}
-        again = {k: old[k] for k in keys if k in old and k not in found}
+    def turn(self) -> None:
+        if self.size > self.most:
+            self.young, self.old, self.size = {}, self.young, 0
+
+    def missing(self, keys: set) -> set:
+        """Those of the keys that are not kept; the others are in the young generation then."""
+        rest, old = keys.difference(self.young), self.old
+        again = {k: old[k] for k in rest if k in old}
         self.add(again)
-        return found | again
+        return rest.difference(again)
 
     def add(self, found: dict) -> None:
-        if self.size > self.most:
-            self.young, self.old, self.size = {}, self.young, 0
+        """Adds keys that the young generation has not."""
         self.young.update(found)
-        self.size += sum(200 + len(k) + len(ids) for k, ids in found.items())
+        self.size += 200 * len(found) + sum(map(len, found)) + sum(map(len, found.values()))
 
 
 class Codec:
@@ -138,8 +147,13 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.pattern = regex.compile(pattern)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": False, "temp_directory": ""})
-        ids = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hexed": [t.hex() for t in self.ranks]})
-        self.db.execute("CREATE TABLE tokens AS SELECT * FROM ids")
+        # A character stands for each byte; the list is one row, counted from 1.
+        spelt: list = [None] * (max(self.ranks.values()) + 1)
+        for token, rank in self.ranks.items():
+            spelt[rank] = token.decode("latin-1")
+        self.size = len(spelt)
+        lists = pa.table({"spelt": pa.array([spelt], pa.list_(pa.string()))})  # noqa: F841  DuckDB reads it by name
+        self.db.execute("CREATE TABLE tokens AS SELECT * FROM lists")
         found = [
             (self.ranks[t[:i]], self.ranks[t[i:]], rank)
             for t, rank in self.ranks.items()
@@ -156,7 +170,9 @@ class Codec:
         )
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.many_at_once = MANY_AT_ONCE.format(near=3 * max(map(len, self.ranks)))
-        self.words, self.pieces = Kept(KEPT), Kept(KEPT)
+        # Only under this pattern signs after a word are known to be matches of their own.
+        self.cut = signs_apart if pattern == public_tokenizers.PATTERN else byte_pieces
+        self.kept = Kept(KEPT)
 
     def contract(self, words: list[bytes]) -> list[bytes]:
         """The ids (little-endian unsigned 32-bit) of words that are no token themselves."""
@@ -170,8 +186,10 @@ class Codec:
                     size += len(words[at[hi]])
                     hi += 1
                 block = [words[i] for i in at[lo:hi]]
+                word = np.repeat(np.arange(len(block), dtype=np.int32), [len(w) for w in block])
                 tokens = self.single[np.frombuffer(b"".join(block), np.uint8)]
-                found = self._ask(self.many_at_once if long else ONE_BY_ONE, "start", [len(w) for w in block], tokens)
+                start = pa.table({"word": word, "pos": np.arange(len(word), dtype=np.int32) + word, "tok": tokens})
+                found = self._ask(self.many_at_once if long else ONE_BY_ONE, "start", start)
                 lists = found.column(1).combine_chunks()
                 ends = (lists.offsets.to_numpy().astype(np.int64) * 4).tolist()
                 raw = lists.values.to_numpy().astype("<u4").tobytes()
@@ -180,12 +198,8 @@ class Codec:
                 lo = hi
         return out
 
-    def _ask(self, sql: str, name: str, sizes: list[int], tokens: np.ndarray) -> pa.Table:
-        """Runs a query over rows (word, pos, tok): tokens, of which each word has so many."""
-        sizes = np.array(sizes, np.int64)
-        word = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        pos = (np.arange(len(word)) - (np.cumsum(sizes) - sizes)[word]).astype(np.int32)
-        self.db.register(name, pa.table({"word": word, "pos": pos, "tok": tokens}))
+    def _ask(self, sql: str, name: str, rows: pa.Table) -> pa.Table:
+        self.db.register(name, rows)
         found = self.db.sql(sql).to_arrow_table()
         self.db.unregister(name)
         return found
@@ -200,35 +214,35 @@ class Codec:
                 size += len(coded[hi]) >> 2
                 hi += 1
             block = coded[lo:hi]
-            found = self._ask(DECODE, "coded", [len(x) >> 2 for x in block], np.frombuffer(b"".join(block), "<i4"))
+            ends = np.cumsum([0, *(len(x) >> 2 for x in block)]).astype(np.int32)
+            ids = np.frombuffer(b"".join(block), "<i4")
+            at = np.where((ids >= 0) & (ids < self.size), ids, self.size) + np.int32(1)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(at, pa.int32()))
+            found = self._ask(DECODE, "coded", pa.table({"word": np.arange(len(block), dtype=np.int32), "ids": lists}))
             got = dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
-            out += [bytes.fromhex(got.get(i) or "") for i in range(len(block))]
+            out += [(got[i] or "").encode("latin-1") for i in range(len(block))]
         return out
 
-    def learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """The ids of pieces, which are kept."""
+    def learn(self, pieces: set[str]) -> None:
+        """Keeps the ids of pieces, and of their words."""
         cut = {p: self.pattern.findall(p) for p in pieces}
-        wanted = {w for ws in cut.values() for w in ws}
-        known = self.words.known(wanted)
-        new = list(wanted - known.keys())
+        new = list(self.kept.missing(set().union(*cut.values())))
         raw = [w.encode("utf-8", "surrogatepass") for w in new]
         whole = [self.ranks.get(w) for w in raw]
         rest = iter(self.contract([w for w, t in zip(raw, whole, strict=True) if t is None]))
-        learnt = {w: t.to_bytes(4, "little") if t is not None else next(rest) for w, t in zip(new, whole, strict=True)}
-        self.words.add(learnt)
-        known |= learnt
-        found = {piece: b"".join([known[w] for w in ws]) for piece, ws in cut.items()}
-        self.pieces.add(found)
-        return found
+        self.kept.add({w: t.to_bytes(4, "little") if t is not None else next(rest) for w, t in zip(new, whole, strict=True)})
+        ids = self.kept.young.__getitem__
+        self.kept.add({p: b"".join(map(ids, ws)) for p, ws in cut.items() if len(ws) > 1})
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit."""
-        cut = [byte_pieces(t) for t in texts]
-        wanted = {p for ps in cut for p in ps}
-        known = self.pieces.known(wanted)
-        if len(known) < len(wanted):
-            known |= self.learn(wanted - known.keys())
-        return [b"".join(map(known.__getitem__, ps)) for ps in cut]
+        self.kept.turn()
+        cut = [self.cut(t) for t in texts]
+        new = self.kept.missing(set().union(*cut))
+        if new:
+            self.learn(new)
+        ids = self.kept.young.__getitem__
+        return [b"".join(map(ids, ps)) for ps in cut]
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}

@@ -49,6 +49,12 @@ def byte_pieces(text: str) -> list[str]:
     return _BYTE_PIECES.findall(text)
 
 
+def signs_apart(text: str) -> list[str]:
+    """The same for a pattern that takes letters and signs apart, with ASCII signs after a simple word
+    as a piece of their own."""
+    return _SIGNS_APART.findall(text)
+
+
 def blank_pieces(text: str) -> list[bytes]:
     """Pieces between ASCII blanks, for a vocabulary that drops white space and lower-cases."""
     raw = text.encode("utf-8", "surrogatepass")
@@ -65,7 +71,7 @@ class Encoder:
         self.library.encode_special_tokens = True
         self.model = self.library.model
         self.lower = self.library.normalizer is not None
-        self.pieces = blank_pieces if self.lower else _SIGNS_APART.findall
+        self.pieces = blank_pieces if self.lower else signs_apart
         # A byte-level vocabulary has pieces of their own for each case, and with and without the blank.
         self.kept = Kept(self._of_bytes) if self.lower else Kept(self._of_text, times=2)
 

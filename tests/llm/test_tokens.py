@@ -288,3 +288,28 @@ def test_bpe_equals_tiktoken(spark):
     coded = bpe.encode(docs_of(spark, texts), "byte_bpe_multi_50k.tiktoken")
     decoded = {r["id"]: bytes(r["bytes"]) for r in bpe.decode(coded, "byte_bpe_multi_50k.tiktoken").collect()}
     assert decoded == {i: t.encode() for i, t in enumerate(texts)}
+
+
+def test_byte_bpe_keeps_a_word_once_for_all_signs():
+    """Words are not kept again for each sign after them, and are asked for once."""
+    codec, library = bpe.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN), reference_encoding()
+    words = ["".join(w) for w in itertools.islice(itertools.product("abcdefgh", repeat=5), 0, 3000)]
+    codec.encode_all([" ".join(w + sign for w in words) for sign in (",", ".", ";", "")])
+    assert sum(len(x.young) for x in vars(codec).values() if isinstance(x, bpe.Kept)) < 1.1 * len(words)
+    random.seed(8)
+    marks = ["word", "été", "don't", "'sand", "a1", "日本", "ā", "×", " ", "  ", "\n", "\t", "\xa0", "\x1c", ",", ".", "...", "'s", "'", "(", "_", "–", "\r\n", "İ"]
+    texts = ["".join(random.choices(marks, k=8)) for _ in range(6000)]
+    for text, ids in zip(texts, codec.encode_all(texts), strict=True):
+        assert memoryview(ids).cast("I").tolist() == library.encode_ordinary(text), text
+    turned = bpe.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    turned.kept.most = 20_000
+    for lo in range(0, 6000, 500):
+        for text, ids in zip(texts[lo : lo + 500], turned.encode_all(texts[lo : lo + 500]), strict=True):
+            assert memoryview(ids).cast("I").tolist() == library.encode_ordinary(text), text
+    assert turned.kept.old and len(turned.kept.young) + len(turned.kept.old) < len(codec.kept.young)
+
+
+def test_every_token_decodes():
+    codec = bpe.codec("byte_bpe_multi_50k.tiktoken", public_tokenizers.PATTERN)
+    assert codec.expand([i.to_bytes(4, "little") for i in codec.ranks.values()]) == list(codec.ranks)
+    assert codec.expand([array("i", [-1, -2, 2**31 - 1, -(2**31), max(codec.ranks.values()) + 1]).tobytes(), b""]) == [b"", b""]
