@@ -11,13 +11,11 @@ from __future__ import annotations
 
 import re
 from array import array
-from operator import attrgetter
 
 import public_tokenizers
 
 from golode.llm.common import Kept
 
-_ID = attrgetter("id")
 #: White space as the patterns of the vocabularies mean it (Unicode White_Space).
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 LETTERS, SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
@@ -26,7 +24,7 @@ _SIMPLE_WORD = re.compile(f"([{LETTERS}]+)([{SIGNS}]*)")
 _BYTE_PIECES = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
 #: The same, but signs after a simple word are a piece of their own, so that a word is kept once;
 #: and so for UTF-8 between ASCII blanks.
-_SIGNS_APART = re.compile(f" ?[{LETTERS}]++(?=[{SIGNS}]*+(?![^{WHITE}]))|{_BYTE_PIECES.pattern}")
+_SIGNS_APART = re.compile(f" ?[{LETTERS}]++(?=[{SIGNS}]*+(?: |[{WHITE}]|\\Z))|{_BYTE_PIECES.pattern}")
 _BLANK_PIECES = re.compile(
     rb"[A-Za-z\x80-\xbf\xc3]++(?<!\xc3[\x97\xb7])(?=[%b]*+(?![^\t-\r ]))|[^\t-\r ]+" % SIGNS.encode()
 )
@@ -79,7 +77,7 @@ class Encoder:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _model(self, word: str) -> bytes:
-        return array("I", map(_ID, self.model.tokenize(word))).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def _of_bytes(self, piece: bytes) -> bytes:
         if piece.isalpha() and piece.islower():

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from golode.llm.common import scratch, shuffle_width, table, text_or_empty
+from golode.llm.common import portions, scratch, shuffle_width, table, text_or_empty
 from golode.llm.encoding import encoder
 
 END_ID = 2
@@ -29,19 +29,25 @@ INDEX_STRIDE = 1000
 FILE_SCHEMA = "doc_id long, n_tokens long, row long, ids array<int>"
 
 
-def tokenised(docs: DataFrame, encode_name: str, end_id: int = END_ID, id_col="doc_id", text_col="text") -> DataFrame:
-    def run(batches):
-        enc = encoder(encode_name)
-        end = end_id.to_bytes(4, "little")
-        written = 0
-        for batch in batches:
-            held = [enc.encode(t.as_py()) + end for t in batch.column(1)]
+def in_portions(batches, enc, end_id: int):
+    """Batches of ids of batches (doc_id, text), about a million characters of texts each."""
+    end = end_id.to_bytes(4, "little")
+    written = 0
+    for batch in batches:
+        at = 0
+        for texts in portions(t.as_py() for t in batch.column(1)):
+            held = [enc.encode(t) + end for t in texts]
             sizes = np.array([len(x) >> 2 for x in held], np.int64)
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(held), "<i4")))
             numbers = pa.array(np.arange(written, written + len(held), dtype=np.int64))
-            written += len(held)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), numbers, ids], ["doc_id", "n_tokens", "row", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(held)), pa.array(sizes), numbers, ids], ["doc_id", "n_tokens", "row", "ids"])
+            at, written = at + len(held), written + len(held)
+
+
+def tokenised(docs: DataFrame, encode_name: str, end_id: int = END_ID, id_col="doc_id", text_col="text") -> DataFrame:
+    def run(batches):
+        yield from in_portions(batches, encoder(encode_name), end_id)
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     ordered = slim.repartitionByRange(shuffle_width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")

@@ -8,6 +8,7 @@ from array import array
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -313,3 +314,16 @@ def test_every_token_decodes():
     codec = bpe.codec("byte_bpe_multi_50k.tiktoken", public_tokenizers.PATTERN)
     assert codec.expand([i.to_bytes(4, "little") for i in codec.ranks.values()]) == list(codec.ranks)
     assert codec.expand([array("i", [-1, -2, 2**31 - 1, -(2**31), max(codec.ranks.values()) + 1]).tobytes(), b""]) == [b"", b""]
+
+
+def test_token_files_hand_ids_over_in_portions():
+    """A task does not hold the ids of a whole batch: rows go on in portions, numbered over all batches."""
+    texts = [f"text {i} " + "some words, " * 30_000 for i in range(9)] + [""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array(texts)], ["doc_id", "text"])
+    got = list(token_files.in_portions([batch, batch], encoder("byte_bpe_50k.json"), 2))
+    assert len(got) > 6 and max(b.num_rows for b in got) <= 3
+    rows = [r for b in got for r in b.to_pylist()]
+    assert [(r["doc_id"], r["row"]) for r in rows] == [(i % 10, i) for i in range(20)]
+    for r, text in zip(rows, texts + texts, strict=True):
+        ids = array("I", r["ids"]).tobytes()
+        assert r["n_tokens"] == len(r["ids"]) and ids == encoder("byte_bpe_50k.json").encode(text) + (2).to_bytes(4, "little")
