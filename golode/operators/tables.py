@@ -27,7 +27,7 @@ from golode.operators import schemas
 from golode.sources import buildmeta, container, lines, module, runtime_types
 
 #: Rows of a batch that a kernel hands back at once.
-ROWS_OUT = 4096
+ROWS_OUT = 512
 
 
 def read_images(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
@@ -262,8 +262,8 @@ def _image_parts(images: DataFrame, with_names: bool = False) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
-            for path, length, content in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                p = Parsed(content or b"")
+            for path, length, content in zip(*(batch.column(i) for i in range(3)), strict=True):
+                path, length, p = path.as_py(), length.as_py(), Parsed(content.as_py() or b"")
                 held, info, table, mod = p.container.present, p.info, p.table, p.module
                 hits = sum(n.encode() in p.content for n in values.NEEDLES)
                 out.append(

@@ -614,17 +614,22 @@ def q_arch_versions(spark, sf_dir):
     return _read(spark, sf_dir, "part").select("p_partkey", values.arch(lc, F.when(F.col("p_partkey") % 2 == 0, 4).otherwise(8)).alias("arch"), values.version_range(version).alias("versions"))
 
 
-# Round trips: rows of a nation are written as an image, which is read again
+# Round trips: rows of a nation are written as images, which are read again
+
+#: Keys that an image spans at most: a nation's rows grow with the table, its images in number only.
+IMAGE_KEYS = 4096
 
 
 def _image_of(rows, make):
+    """Images of the rows of each nation, one for each span of supplier keys."""
     import pyarrow as pa
 
     def one(key, group):
         content = make(group.to_pylist())
         return pa.table({"path": [str(key[0].as_py())], "length": pa.array([len(content)], pa.int64()), "content": pa.array([content], pa.binary())})
 
-    return rows.groupBy("nation").applyInArrow(one, "path string, length long, content binary")
+    span = F.floor(F.col("s_suppkey") / IMAGE_KEYS) if "s_suppkey" in rows.columns else F.lit(0)
+    return rows.groupBy("nation", span.alias("span")).applyInArrow(one, "path string, length long, content binary")
 
 
 @query(
@@ -648,20 +653,22 @@ def q_roundtrip_functions(spark, sf_dir):
 
 
 def _whole(form, magic=0xFFFFFFF1, version="go1.22.1"):
-    """An image a nation: a function and a named type for each supplier, an interface that the first
-    type of the nation implements, calls of the first function inlined into each other."""
+    """Images of a nation: a function and a named type for each supplier, an interface that the first
+    type of the nation implements, calls of the first function inlined into each other. Rows name the
+    first of the nation where that matters; else the first of an image stands for it."""
     from golode.sources import imagegen
 
     def make(rows):
         rows = sorted(rows, key=lambda r: r["s_suppkey"])
         keys, path = [r["s_suppkey"] for r in rows], f"/src/n{rows[0]['nation']}.go"
-        calls = {"inline_index": [(8, 0), (24, 1)], "inline_calls": [{"name": f"main.a{keys[0]}", "parent_pc": 30, "line": 3}, {"name": f"main.b{keys[0]}", "parent_pc": 4, "line": 5}]}
+        first = rows[0].get("first", keys[0])
+        calls = {"inline_index": [(8, 0), (24, 1)], "inline_calls": [{"name": f"main.a{first}", "parent_pc": 30, "line": 3}, {"name": f"main.b{first}", "parent_pc": 4, "line": 5}]}
         funcs = [
-            {"name": f"main.f{k}", "entry": k * 64, "start_line": k % 500, "lines": [(8, k % 500), (64, k % 500 + 1)], "file": path, **(calls if k == keys[0] and magic == 0xFFFFFFF1 else {})}
+            {"name": f"main.f{k}", "entry": k * 64, "start_line": k % 500, "lines": [(8, k % 500), (64, k % 500 + 1)], "file": path, **(calls if k == first and magic == 0xFFFFFFF1 else {})}
             for k in keys
         ]
         types = [{"name": f"main.T{k}", "kind": 2, "size": k % 64, "methods": [f"Do{k}"]} for k in keys] + [{"name": "main.I", "kind": 20, "size": 16}]
-        return imagegen.image(funcs, [path], version, f"path\tx/n{rows[0]['nation']}\n", f"id/{rows[0]['nation']}", [f"text of {k}" for k in keys], types, [(len(types) - 1, 0)], magic, True, form)
+        return imagegen.image(funcs, [path], version, f"path\tx/n{rows[0]['nation']}\n", f"id/{rows[0]['nation']}", [f"text of {k}" for k in keys], types, [(len(types) - 1, 0)] if keys[0] == first else [], magic, True, form)
 
     return make
 
@@ -670,6 +677,12 @@ def _suppliers(spark, sf_dir):
     return _read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"))
 
 
+def _with_first(rows):
+    """first: the smallest key of the nation."""
+    firsts = rows.groupBy(F.col("nation").alias("of")).agg(F.min("s_suppkey").alias("first"))
+    return rows.join(F.broadcast(firsts), F.col("nation").eqNullSafe(F.col("of"))).drop("of")
+
+
 _WHOLE_SQL = """SELECT CAST(s_nationkey AS STRING) AS nation, concat('main.f', s_suppkey) AS name, s_suppkey * 64 AS entry_offset, concat('/src/n', s_nationkey, '.go') AS source_file,
          concat('main.T', s_suppkey) AS type_name, s_suppkey % 64 AS size, 1 AS methods, 1 AS n_texts FROM supplier"""
 
@@ -707,19 +720,19 @@ def q_roundtrip_older(spark, sf_dir):
        UNION ALL SELECT concat('main.b', k), 8, 24, 4, 5 FROM n"""
 )
 def q_roundtrip_inline(spark, sf_dir):
-    found = tables.inline_entries(_image_of(_suppliers(spark, sf_dir), _whole("macho")))
+    found = tables.inline_entries(_image_of(_with_first(_suppliers(spark, sf_dir)), _whole("macho")))
     return found.select("function_name", *[F.col(c).cast("int").alias(c) for c in ("pc_start", "pc_end", "parent_pc", "start_line")])
 
 
 @query("SELECT 'main.I' AS iface_name, concat('main.T', min(s_suppkey)) AS concrete_name FROM supplier GROUP BY s_nationkey")
 def q_roundtrip_itabs(spark, sf_dir):
-    found = _image_of(_suppliers(spark, sf_dir), _whole("macho"))
+    found = _image_of(_with_first(_suppliers(spark, sf_dir)), _whole("macho"))
     return tables.implementations(tables.itabs(found), tables.types(found)).select("iface_name", "concrete_name")
 
 
 @query("SELECT DISTINCT concat('/src/n', s_nationkey, '.go') AS path, 0 AS ord FROM supplier")
 def q_source_files(spark, sf_dir):
-    return tables.source_files(_image_of(_suppliers(spark, sf_dir), _whole("pe"))).select("path", F.col("ord").cast("int").alias("ord"))
+    return tables.source_files(_image_of(_suppliers(spark, sf_dir), _whole("pe"))).select("path", F.col("ord").cast("int").alias("ord")).distinct()
 
 
 @query(
@@ -729,7 +742,7 @@ def q_source_files(spark, sf_dir):
 def q_build_id(spark, sf_dir):
     rows = _suppliers(spark, sf_dir)
     found = [tables.images(_image_of(rows, _whole(form))) for form in ("elf", "macho", "pe")]
-    return found[0].unionByName(found[1]).unionByName(found[2]).select("format", "build_id", F.col("tier").cast("int").alias("tier"), "go_version")
+    return found[0].unionByName(found[1]).unionByName(found[2]).select("format", "build_id", F.col("tier").cast("int").alias("tier"), "go_version").distinct()
 
 
 @query("SELECT CAST(s_nationkey AS STRING) AS nation, concat('mod/', s_name) AS path, concat('v', s_suppkey) AS version FROM supplier")
@@ -763,7 +776,7 @@ def q_roundtrip_strings(spark, sf_dir):
     from golode.sources import imagegen
 
     make = lambda rows: imagegen.image(strings=sorted(f"text of {r['s_name']}" for r in rows))
-    rows = _read(spark, sf_dir, "supplier").select("s_name", F.col("s_nationkey").alias("nation"))
+    rows = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.col("s_nationkey").alias("nation"))
     return tables.go_strings(_image_of(rows, make)).where("text like 'text of %'").select("text").distinct()
 
 
