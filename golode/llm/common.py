@@ -135,6 +135,8 @@ class Kept(dict):
     def __init__(self, make, times: int = 1):
         super().__init__()
         self.make, self.times, self.old, self.size = make, times, {}, 0
+        #: What an operator keeps beside, in lists.
+        self.lists = None
         _OWNERS.append(self)
 
     def own(self) -> None:
@@ -144,7 +146,7 @@ class Kept(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.old, self.size = {}, 0
+        self.old, self.size, self.lists = {}, 0, None
 
     def __missing__(self, key):
         got = self.old.get(key)

@@ -11,8 +11,12 @@ from __future__ import annotations
 
 import re
 from array import array
+from itertools import accumulate
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from golode.llm.common import Kept
 
@@ -28,6 +32,12 @@ _SIGNS_APART = re.compile(f" ?[{LETTERS}]++(?=[{SIGNS}]*+(?: |[{WHITE}]|\\Z))|{_
 _BLANK_PIECES = re.compile(
     rb"[A-Za-z\x80-\xbf\xc3]++(?<!\xc3[\x97\xb7])(?=[%b]*+(?![^\t-\r ]))|[^\t-\r ]+" % SIGNS.encode()
 )
+#: A blank amid white space, or after it at the end: a byte-level pattern may take it with what is before it.
+_BLANK_WITHIN = re.compile(f"[{WHITE}] (?:[{WHITE}]|\\Z)")
+#: Words between blanks that can't stand in a row with others, as RE2 has it.
+_OUTER_WHITE = "^$|^[{0}]|[{0}]$".format(WHITE.encode().decode("unicode_escape"))
+#: New words that the library gets in one text, and bytes of words and ids kept in lists.
+WORDS_AT_ONCE, LIST_BYTES = 1024, 32 << 20
 
 
 def _byte_letters() -> dict[int, str]:
@@ -72,6 +82,10 @@ class Encoder:
         self.pieces = blank_pieces if self.lower else signs_apart
         # A byte-level vocabulary has pieces of their own for each case, and with and without the blank.
         self.kept = Kept(self._of_bytes) if self.lower else Kept(self._of_text, times=2)
+        vocabulary = self.library.get_vocab()
+        #: Which ids begin with a blank, as byte-level vocabularies spell it.
+        self.blank = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.blank[[i for token, i in vocabulary.items() if token[0] == "Ġ"]] = True
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
@@ -110,6 +124,61 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.kept.__getitem__, self.pieces(text)))
 
+    def encode_all(self, texts: list[str], end: bytes) -> pa.ListArray:
+        """The ids of each text, with the id ``end`` after them.
+
+        A byte-level pattern cuts before a blank unless white space stands on both sides of it. So texts are
+        cut at blanks, a word with the signs at it goes to the library once, in a row with others, and the ids
+        are put together by number. Texts with other blanks, and what is before a first, go through ``encode``."""
+        if self.lower:
+            return _lists([self.encode(t) + end for t in texts])
+        apart = [_BLANK_WITHIN.search(t) is not None for t in texts]
+        cut = pc.split_pattern(pa.array(["" if a else t for t, a in zip(texts, apart, strict=True)], pa.large_string()), " ")
+        bounds = cut.offsets.to_numpy()
+        words = cut.values.dictionary_encode()
+        known, known_ids = self.kept.lists or (pa.array([], pa.large_string()), _lists([]))
+        at = pc.index_in(words.dictionary, value_set=known)
+        new = words.dictionary.filter(at.is_null())
+        found = pa.concat_arrays([known_ids, self._after_blanks(new)])
+        at = at.fill_null(-1).to_numpy().copy()
+        at[at < 0] = np.arange(len(known), len(found))
+        heads = [self.encode(t if a else t.partition(" ")[0]) for t, a in zip(texts, apart, strict=True)]
+        numbers = at[words.indices.to_numpy()]
+        numbers[bounds[:-1]] = np.arange(len(found), len(found) + len(heads))
+        numbers = np.insert(numbers, bounds[1:], len(found) + len(heads))
+        if known.nbytes + known_ids.nbytes < LIST_BYTES:
+            self.kept.lists = pa.concat_arrays([known, new]), found
+        else:  # only the words of these texts stay
+            self.kept.lists = words.dictionary, found.take(pa.array(at))
+        ids = pa.concat_arrays([found, _lists([*heads, end])]).take(pa.array(numbers))
+        # Each text has one number more than words.
+        starts = ids.offsets.to_numpy()[bounds + np.arange(len(bounds))]
+        return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), ids.values)
+
+    def _after_blanks(self, words: pa.LargeStringArray) -> pa.ListArray:
+        """The ids of each word with a blank before it."""
+        odd = pc.match_substring_regex(words, _OUTER_WHITE)
+        plain = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), words.filter(pc.invert(odd)), pa.scalar(" ", pa.large_string()))
+        found, ends = [_lists([self.encode(f" {w}") for w in words.filter(odd).to_pylist()])], 0
+        for i in range(0, len(plain), WORDS_AT_ONCE):
+            some = plain.slice(i, WORDS_AT_ONCE)
+            a, b = np.frombuffer(some.buffers()[1], np.int64)[[some.offset, some.offset + len(some)]].tolist()
+            text = some.buffers()[2][a:b].to_pybytes().decode()
+            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+            starts = np.append(np.flatnonzero(self.blank[ids]), len(ids))
+            if len(starts) != len(some) + 1:
+                raise ValueError("a word's ids begin with one blank")
+            found.append(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids)))
+        odd = odd.to_numpy(zero_copy_only=False).astype(bool)
+        order = np.empty(len(words), np.int64)
+        order[odd], order[~odd] = np.arange(odd.sum()), np.arange(odd.sum(), len(words))
+        return pa.concat_arrays(found).take(pa.array(order))
+
+
+def _lists(held: list[bytes]) -> pa.ListArray:
+    offsets = np.fromiter(accumulate(map(len, held), initial=0), np.int64, len(held) + 1) >> 2
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(held), "<i4")))
+
 
 _ENCODERS: dict[str, Encoder] = {}
 

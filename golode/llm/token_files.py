@@ -29,20 +29,24 @@ INDEX_STRIDE = 1000
 FILE_SCHEMA = "doc_id long, n_tokens long, row long, ids array<int>"
 
 
+#: Characters of the texts that are encoded at once: a word that they share is looked up once.
+AT_ONCE = 6_000_000
+
+
 def in_portions(batches, enc, end_id: int):
     """Batches of ids of batches (doc_id, text), about a million characters of texts each."""
     end = end_id.to_bytes(4, "little")
     written = 0
     for batch in batches:
         at = 0
-        for texts in portions(t.as_py() for t in batch.column(1)):
-            held = [enc.encode(t) + end for t in texts]
-            sizes = np.array([len(x) >> 2 for x in held], np.int64)
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(held), "<i4")))
-            numbers = pa.array(np.arange(written, written + len(held), dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(held)), pa.array(sizes), numbers, ids], ["doc_id", "n_tokens", "row", "ids"])
-            at, written = at + len(held), written + len(held)
+        for texts in portions((t.as_py() for t in batch.column(1)), AT_ONCE):
+            ids = enc.encode_all(texts, end)
+            sizes, done = np.diff(ids.offsets.to_numpy()), 0
+            for n in map(len, portions(texts)):
+                numbers = pa.array(np.arange(written, written + n, dtype=np.int64))
+                columns = [batch.column(0).slice(at, n), pa.array(sizes[done : done + n], pa.int64()), numbers, ids.slice(done, n)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "row", "ids"])
+                at, written, done = at + n, written + n, done + n
 
 
 def tokenised(docs: DataFrame, encode_name: str, end_id: int = END_ID, id_col="doc_id", text_col="text") -> DataFrame:

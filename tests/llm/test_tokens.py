@@ -327,3 +327,24 @@ def test_token_files_hand_ids_over_in_portions():
     for r, text in zip(rows, texts + texts, strict=True):
         ids = array("I", r["ids"]).tobytes()
         assert r["n_tokens"] == len(r["ids"]) and ids == encoder("byte_bpe_50k.json").encode(text) + (2).to_bytes(4, "little")
+
+
+def test_texts_together_equal_the_library(monkeypatch):
+    """Words go to the library in a row with others, each once; the ids of each text are the library's."""
+    enc = encoder("byte_bpe_50k.json")
+    enc.kept.forget()
+    random.seed(6)
+    marks = ["word", "été", "don't", "a1", "日本", " ", " ", " ", "  ", "\n", "\t", "\xa0", "\u2003", "\x1c", ",", "...", "'s", "\"", "é", "–", "\r\n", "<|endoftext|>", "Ġ", "ÿ×"]
+    made = ["".join(random.choices("abcdefgé", k=6)) for _ in range(5000)]
+    texts = ["".join(random.choices(marks, k=random.randrange(12))) for _ in range(3000)] + [" ".join(made)] + [t or "" for t in TEXTS]
+    end = (2).to_bytes(4, "little")
+    want = [[*enc.library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    asked, ask = [], enc._after_blanks
+    monkeypatch.setattr(enc, "_after_blanks", lambda words: asked.append(len(words)) or ask(words))
+    assert [enc.encode_all(texts, end).to_pylist() for _ in range(2)] == [want, want] and asked[0] > 4000 and asked[1] == 0
+    monkeypatch.setattr("golode.llm.encoding.LIST_BYTES", 0)
+    for part in (texts[:1000], texts[1000:], texts):
+        got = enc.encode_all(part, end).to_pylist()
+        assert got == (want if part is texts else want[:1000] if len(part) == 1000 else want[1000:])
+        assert len(enc.kept.lists[0]) <= len({w for t in part for w in t.split(" ")} | {""})
+    assert enc.encode_all([], end).to_pylist() == []
